@@ -45,9 +45,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8; bytes.split() splits at exactly U+0020 and U+0009..U+000D."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words of a text as UTF-8, with A-Z lower-cased if asked; bytes.split() splits at exactly U+0020 and U+0009..U+000D."""
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    return (raw.lower() if lower else raw).split()
 
 
 # 64-bit polynomial hashes of byte ranges: prefix sums of T[byte] * P^position, moved to position 0 by P^-start.
