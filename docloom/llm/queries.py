@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprint, mixing, near_dup, quality_rules, secret_scan
+from docloom.llm import fingerprint, mixing, near_dup, pu_quality, quality_rules, secret_scan
 from docloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(documents(spark, sf_dir))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classified(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "host_rejected")
     return quality_rules.judge(documents(spark, sf_dir)).select(*columns)
