@@ -4,11 +4,12 @@
    hashes, and keys of `rows` minima each; as many that a pair at the threshold shares none with a probability of at
    most MISS.
 2. Equal sets are one class, found by a 128-bit digest; only a class's representative goes on. So copies cost nothing.
-3. Every member of a key is compared with the key's smallest member (a star, not all pairs). Confirmed links are
-   joined to components.
+3. Every member of a key is compared with the key's head (a star, not all pairs): the member that shares the most
+   keys with others. Confirmed links are joined to components.
 4. Keys whose members still lie in different components get the rest: their members are compared in blocks by the
-   stored signature, and each pair across components whose estimate is within five standard deviations of the
-   threshold is confirmed on the full sets. Nothing is capped, so no link between components is lost.
+   stored signature, each pair in the first key that it shares. Pairs across components whose estimate is within five
+   standard deviations of the threshold are confirmed on the full sets: few pairs of a block by a join, many within
+   the block, to which its members then bring their sets. Nothing is capped, so no link between components is lost.
 5. Components by alternating large-star and small-star over the confirmed links, one table per iteration.
 
 Defined cases: null or empty texts have an empty set, link with nothing and are kept; equal doc_ids share what their
@@ -23,14 +24,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import map_texts, mix64, shingle_hashes, small, stage, words_of
 
 #: Members of a key that are compared with each other in one block.
-BLOCK = 1000
+BLOCK = 500
 #: A pair at the threshold shares no key with at most this probability.
 MISS = 1e-6
 
@@ -115,13 +115,18 @@ def _both(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def shingle_sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, text: str, k: int) -> DataFrame:
+    """id and shingles (its representative's full set) for ids (id, distinct), from the texts. reps: id, set."""
+    ids = stage(ids, "ids")
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(small(ids, 24), F.col("doc_id") == F.col("id")).select("id", "text")
+    sets = stage(map_texts(rows, _sets(k), "shingles binary, set binary"), "sets")
+    return sets.join(reps.select("id", "set"), ["id", "set"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """Those (u, v) of pairs whose full sets have 100 * intersection >= percent * union. reps: id, set (digest)."""
     pairs = stage(pairs, "pairs")
-    ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids")
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(small(ids, 24), F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = stage(map_texts(rows, _sets(k), "shingles binary, set binary"), "sets")
-    sets = sets.join(reps.select("id", "set"), ["id", "set"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, reps, text, k)
     u, v = sets.toDF("u", "su"), sets.toDF("v", "sv")
     joined = pairs.join(v, "v").join(u, "u").select("u", "v", "su", "sv")
 
@@ -159,28 +164,95 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _cross(percent: int, minima: int):
-    """Pairs across components of one block of a key, by size and signature."""
-    least = percent / 100 - 5 * math.sqrt(percent * (100 - percent)) / 100 / math.sqrt(minima)
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["id"]).sort_values("id")
-        ids, comps, n, sides = (rows[c].to_numpy() for c in ("id", "comp", "n", "side"))
-        within = rows["bi"].iloc[0] == rows["bj"].iloc[0]
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), minima)
-        u, v = [], []
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            fits = (comps[rest] != comps[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if not within:
-                fits &= sides[rest] != sides[i]
-            j = np.flatnonzero(fits) + i + 1
-            j = j[(sigs[j] == sigs[i]).mean(axis=1) >= least] if len(j) else j
-            u += ids[j].tolist()
-            v += [int(ids[i])] * len(j)
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
-
-    return pairs
+class _Block:
+    """Members of a key (or of two parts of a large one) and the pairs in it that may be links."""
+
+    def __init__(self, key: int, members: list[dict], percent: int, minima: int):
+        members = sorted(members, key=lambda r: r["id"])
+        self.members, self.key, self.percent = members, key, percent
+        self.ids, self.comps, self.n, self.sides = (np.array([r[c] for r in members], np.int64) for c in ("id", "comp", "n", "side"))
+        self.keys = np.array([r["keys"] for r in members], np.int64)
+        self.sigs = np.frombuffer(b"".join(r["sig"] for r in members), np.uint8).reshape(len(members), minima)
+        self.least = percent / 100 - 5 * math.sqrt(percent * (100 - percent)) / 100 / math.sqrt(minima)
+
+    def after(self, i: int) -> np.ndarray:
+        """Members beyond i that may link with it across components; each pair only in the first key that it shares."""
+        rest = slice(i + 1, None)
+        fits = (self.comps[rest] != self.comps[i]) & (100 * np.minimum(self.n[rest], self.n[i]) >= self.percent * np.maximum(self.n[rest], self.n[i]))
+        if self.sides.any():
+            fits &= self.sides[rest] != self.sides[i]
+        j = np.flatnonzero(fits) + i + 1
+        if len(j):
+            j = j[self.keys[i, (self.keys[j] == self.keys[i]).argmax(axis=1)] == self.key]
+        if len(j):
+            j = j[(self.sigs[j] == self.sigs[i]).mean(axis=1) >= self.least]
+        return j
+
+
+MEMBER = "id: long, n: long, comp: long, keys: array<long>, sig: binary, side: int"
+
+
+def _candidates(percent: int, minima: int):
+    """For each block its candidate pairs, or, where they are many, the members that have any."""
+
+    def found(blocks: list) -> list:
+        pairs, dense = [], []
+        for b in blocks:
+            block = _Block(b["key"], b["members"], percent, minima)
+            near = [block.after(i) for i in range(len(block.ids))]
+            few = sum(map(len, near)) <= 4 * len(near)
+            pairs.append([{"u": int(block.ids[x]), "v": int(block.ids[i])} for i, j in enumerate(near) for x in j] if few else [])
+            has = set() if few else {i for i, j in enumerate(near) if len(j)}.union(*(j.tolist() for j in near))
+            dense.append([block.members[i] for i in sorted(has)])
+        return [pairs, dense]
+
+    return found
+
+
+def _linked(percent: int, minima: int):
+    """Links across components within dense blocks, whose members bring their sets; a link joins their components."""
+
+    def found(blocks: list) -> list:
+        out = []
+        for b in blocks:
+            block, links = _Block(b["key"], b["members"], percent, minima), []
+            sets = [np.frombuffer(r["shingles"], np.uint64) for r in block.members]
+            for i in range(len(sets)):
+                for j in block.after(i):
+                    if block.comps[i] != block.comps[j]:
+                        both = _both(sets[i], sets[j])
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                            links.append({"u": int(block.ids[j]), "v": int(block.ids[i])})
+                            block.comps[block.comps == block.comps[j]] = block.comps[i]
+            out.append(links)
+        return [out]
+
+    return found
+
+
+def _across(placed: DataFrame, reps: DataFrame, docs: DataFrame, text: str, k: int, banding: Banding) -> DataFrame:
+    """Links (u, v) between components within keys; placed: key, id, n, members, comp."""
+    percent, minima = banding.percent, banding.minima
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = placed.join(split, "key").join(reps.select("id", "keys", "sig"), "id")
+    # a large key is dealt to parts, and every two parts are a block: BLOCK members on either side at most, about
+    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("part") <= F.col("other"), 0).otherwise(1)
+    rest = rest.select("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), F.struct("id", "n", "comp", "keys", "sig", side.alias("side")).alias("m"))
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        blocks = rows.groupBy("key", "bi", "bj").agg(F.collect_list("m").alias("members"))
+        return blocks.select("key", "bi", "bj", F.struct("key", "members").alias("block"))
+
+    found = map_texts(gathered(rest), _candidates(percent, minima), f"pairs array<struct<u: long, v: long>>, dense array<struct<{MEMBER}>>")
+    found = stage(found, "candidates")
+    sparse = confirmed(found.select(F.explode("pairs").alias("p")).select("p.u", "p.v"), docs, reps, text, k, percent)
+    dense = found.select("key", "bi", "bj", F.explode("dense").alias("m"))
+    sets = shingle_sets(dense.select("m.id").distinct(), docs, reps, text, k)
+    dense = dense.join(sets, F.col("m.id") == F.col("id")).select("key", "bi", "bj", F.col("m").withField("shingles", F.col("shingles")).alias("m"))
+    close = map_texts(gathered(dense), _linked(percent, minima), "links array<struct<u: long, v: long>>")
+    return sparse.unionByName(close.select(F.explode("links").alias("p")).select("p.u", "p.v"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
@@ -196,9 +268,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 3, percent: in
     reps = stage(reps.select("id", "n", "set", "keys", "sig").dropDuplicates(["id"]), "representatives")
 
     dealt = reps.select("id", "n", F.explode("keys").alias("key"))
-    heads = dealt.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1")
-    heads = stage(heads, "heads")
-    members = stage(dealt.join(heads, "key").select("key", "id", "n", "head", "members"), "members")
+    counts = stage(dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
+    members = stage(dealt.join(counts, "key").select("key", "id", "n", "members"), "members")
+    # a key's head is the member that shares the most keys with others: the text that a group's copies were made from
+    company = members.groupBy("id").agg(F.sum("members").alias("company"))
+    ranked = members.join(company, "id").select("key", F.struct("company", (-F.col("id")).alias("id")).alias("rank"))
+    heads = ranked.groupBy("key").agg((-F.max("rank")["id"]).alias("head"))
+    members = stage(members.join(heads, "key"), "headed")
     fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
     head_sizes = reps.select(F.col("id").alias("head"), F.col("n").alias("hn"))
     stars = members.where("id <> head").select(F.col("id").alias("u"), F.col("head"), "n").distinct()
@@ -209,13 +285,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 3, percent: in
     # keys whose members are not yet joined
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     placed = stage(placed.select("key", "id", "n", "members", "comp"), "placed")
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key").join(reps.select("id", "sig"), "id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("b", F.pmod(F.xxhash64("id", "key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "id", "n", "comp", "sig", F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"), F.when(F.col("b") <= F.col("other"), 0).otherwise(1).alias("side"))
-    cross = rest.groupBy("key", "bi", "bj").applyInPandas(_cross(percent, banding.minima), "u long, v long").distinct()
-    more = stage(confirmed(cross, docs, reps, text, k, percent), "more")
+    more = stage(_across(placed, reps, docs, text, k, banding), "more")
     if not more.isEmpty():
         found = stage(components(links.unionByName(more)), "components")
 
