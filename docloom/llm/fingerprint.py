@@ -136,7 +136,9 @@ def compared(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = with_next(docs, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     keys = ("bucket", "row", "side", "extra", "doc_id", "n_chars", "edited_sha256")
-    rows = rows.select("bucket", "row", "extra", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.explode(F.concat(units(F.col("text"), 0), units(F.col("edited"), 1))).alias("u"))
+    rows = rows.select("bucket", "row", "extra", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.concat(units(F.col("text"), 0), units(F.col("edited"), 1)).alias("units"))
+    # exploded in a step of its own, else the digest would be taken again for every unit
+    rows = rows.select("bucket", "row", "extra", "doc_id", "n_chars", "edited_sha256", F.explode("units").alias("u"))
     fps = summed(rows.select("bucket", "row", "u.side", "extra", "doc_id", "n_chars", "edited_sha256", "u.whole", "u.unit"), *keys)
     order = Window.partitionBy("bucket").orderBy("row", "side")
     fps = fps.withColumns({"edited_fp": F.lead("fp").over(order), "next_fp": F.lead("fp", 2).over(order)}).where("side = 0 AND extra = 0")
