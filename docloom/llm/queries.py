@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprint, license_scan, mixing, near_dup, pieces, pu_quality, quality_rules, secret_scan
+from docloom.llm import fingerprint, html_extract, license_scan, mixing, near_dup, pieces, pu_quality, quality_rules, secret_scan
 from docloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(documents(spark, sf_dir))
 
