@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import fingerprint, html_extract, license_scan, mixing, near_dup, pieces, pu_quality, quality_rules, secret_scan
+from docloom.llm import fingerprint, html_extract, license_scan, mixing, near_dup, pieces, pu_quality, quality_rules, secret_scan, url_filter
 from docloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("sources"))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
