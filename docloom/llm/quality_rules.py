@@ -50,10 +50,14 @@ def repeated(words: list[bytes]) -> int:
     return total
 
 
+def _columns(texts: list) -> list:
+    return list(zip(*map(measure, texts), strict=True)) or [()] * len(MEASURES)
+
+
 def measures(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """doc_id, host and the measures, one row per input row; texts travel one Arrow batch at a time."""
     rows = docs.select("doc_id", F.col(host).alias("host"), F.col(text).alias("text"))
-    return map_texts(rows, lambda texts: list(zip(*map(measure, texts), strict=True)) or [()] * len(MEASURES), ", ".join(f"{m} long" for m in MEASURES))
+    return map_texts(rows, _columns, ", ".join(f"{m} long" for m in MEASURES))
 
 
 def base_failed(min_words: int = 50, max_repeat: int = 50) -> Column:
@@ -82,3 +86,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_words:
     joined = measured.join(small(bad, 64), F.col("host").eqNullSafe(F.col("bad_host")), "left").drop("bad_host")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def filtered(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 50, max_repeat: int = 50, host_rate: float = 0.9) -> DataFrame:
+    """The rows of docs that judge() keeps. Measured again on the way, so that no join by id is needed."""
+    rejected = judge(docs, text, host, min_words, max_repeat, host_rate).where("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad")).distinct()
+    rows = map_texts(docs.select("*", F.col(text).alias("__text")), _columns, ", ".join(f"__{m} long" for m in MEASURES))
+    failed = (F.col("__n_words") < min_words) | (100 * F.col("__n_repeat_words") > max_repeat * F.col("__n_words"))
+    rows = rows.where(~failed).join(small(stage(rejected, "rejected"), 64), F.col(host).eqNullSafe(F.col("__host")), "left")
+    return rows.where("__bad IS NULL").select(*docs.columns)
