@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import map_texts
 
 SPACE = "▁"
-#: Runs kept by a worker before it starts anew, and characters of text encoded at once.
-KEPT_RUNS, CHUNK_CHARS = 500_000, 16_000_000
+#: Runs kept by a worker before it lets rare ones go, characters of text split at once, and of runs indexed at once.
+KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 400_000, 4_000_000, 800_000
 _RANK = np.int64(1) << 40
 _UNKNOWN = -1
 
@@ -177,21 +177,29 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of codes in the order of their next depth codes (prefix doubling)."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank, have, order = rank.astype(np.int64), 1, None
+    """Positions of codes in the order of their next depth codes: packed into one number as far as they fit, then by
+    prefix doubling."""
+    seen = np.bincount(codes)
+    dense = np.cumsum(seen > 0)
+    bits = int(dense[-1]).bit_length()
+    have = max(1, min(depth, 63 // bits))
+    small = np.concatenate([dense[codes], np.zeros(have, np.int64)])
+    key = np.zeros(len(codes), np.int64)
+    for d in range(have):
+        key = key << bits | small[d : d + len(codes)]
+    order = np.argsort(key)
     while have < depth:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - have] = rank[have:] + 1
-        key = rank * (int(rank.max()) + 2) + ahead
-        order = np.argsort(key, kind="stable")
         step = np.empty(len(key), np.int64)
-        step[0] = 0
-        np.cumsum(key[order][1:] != key[order][:-1], out=step[1:])
+        step[0] = 1
+        step[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty_like(step)
-        rank[order] = step
+        rank[order] = np.cumsum(step)
+        ahead = np.zeros(len(rank), np.int64)
+        ahead[: len(rank) - have] = rank[have:]
+        key = rank << 31 | ahead
+        order = np.argsort(key)
         have *= 2
-    return order if order is not None else np.argsort(rank, kind="stable")
+    return order
 
 
 def piece_ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,22 +257,22 @@ def _relaxed(runs: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     order = suffix_array(codes, vocab.longest)
     lo, hi = piece_ranges(codes, order, vocab.codes, vocab.lengths)
     counts = hi - lo
-    piece = np.repeat(np.arange(len(counts)), counts)
+    piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    begin = order[np.arange(len(piece)) - np.repeat(first - lo, counts)]
-    end = begin + vocab.lengths[piece]
-    ids = vocab.usable[piece]
+    begin = order[np.arange(len(piece)) - np.repeat(first - lo, counts)].astype(np.int32)
+    end = begin + vocab.lengths[piece].astype(np.int32)
+    ids = vocab.usable[piece].astype(np.int32)
 
     # characters without a piece: an edge of their own
     run_of = np.repeat(np.arange(len(runs)), sizes + 1)
     offset = np.arange(n) - starts[run_of]
     covered = np.zeros(n, bool)
     covered[begin[vocab.lengths[piece] == 1]] = True
-    bare = np.flatnonzero(~covered & (offset < sizes[run_of]))
-    begin, end, ids = np.concatenate([begin, bare]), np.concatenate([end, bare + 1]), np.concatenate([ids, np.full(len(bare), _UNKNOWN)])
+    bare = np.flatnonzero(~covered & (offset < sizes[run_of])).astype(np.int32)
+    begin, end, ids = np.concatenate([begin, bare]), np.concatenate([end, bare + 1]), np.concatenate([ids, np.full(len(bare), _UNKNOWN, np.int32)])
 
     # relax: all edges that end at the same offset of their runs together
-    step = offset[begin] + end - begin
+    step = (offset[begin] + end - begin).astype(np.uint16)
     sort = np.argsort(step, kind="stable")
     begin, end, ids = begin[sort], end[sort], ids[sort]
     last = np.full(n + 1, -2, np.int64)  # the piece that ends at a position; -2 none, -3 a run's start
@@ -277,7 +285,7 @@ def _relaxed(runs: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
         before = last[b]
         ok = (before == -3) | ((before != -2) & ((before == _UNKNOWN) | (i == _UNKNOWN)))
         check = np.flatnonzero((before >= 0) & (i >= 0))
-        ok[check] = vocab.stand(before[check], i[check])
+        ok[check] = vocab.stand(before[check], i[check].astype(np.int64))
         # a run's start keeps its mark; ends lie beyond it
         last[e[ok]], came[e[ok]] = i[ok], b[ok]
 
@@ -293,63 +301,81 @@ def _relaxed(runs: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
         at, who = at[more], who[more]
     ends = np.flatnonzero(stop)
     found, owner = last[ends], run_of[ends]
-    if (found == _UNKNOWN).any():
-        chars = [text[p].encode() if i == _UNKNOWN else b"" for p, i in zip(came[ends], found, strict=True)]
-        width = np.array([max(1, len(c)) for c in chars])
-        owner = np.repeat(owner, width)
-        found = np.fromiter(chain.from_iterable([vocab.bytes[b] for b in c] if c else (i,) for c, i in zip(chars, found, strict=True)), np.int64, int(width.sum()))
+    odd = np.flatnonzero(found == _UNKNOWN)
+    if len(odd):
+        chars = [text[p].encode() for p in came[ends[odd]]]
+        width = np.ones(len(found), np.int64)
+        width[odd] = list(map(len, chars))
+        at = np.cumsum(width)[odd] - width[odd]
+        owner, found = np.repeat(owner, width), np.repeat(found, width)
+        for k, c in zip(at, chars, strict=True):
+            found[k : k + len(c)] = [vocab.bytes[b] for b in c]
     return found.astype(np.int32), np.bincount(owner, minlength=len(runs)), failed
 
 
 class Encoder:
-    """Encodes texts and keeps the runs it has met, up to KEPT_RUNS."""
+    """Encodes texts and keeps the runs it has met more than once, about KEPT_RUNS at most."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.starts, self.met = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def runs(self, text: str | None) -> list[str]:
         return self.vocab.runs.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def forget(self) -> None:
+        """Keep the runs that were met more than once, if that makes enough room."""
+        kept = np.flatnonzero(self.met > 1)
+        kept = kept[: KEPT_RUNS // 2] if len(kept) > KEPT_RUNS // 2 else kept
+        names = list(self.index)
+        self.index = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.ids, upto = _gathered(self.ids, self.starts, kept)
+        self.starts, self.met = upto, np.zeros(len(kept), np.int64)
+
     def learn(self, new: list[str]) -> None:
-        ids, counts = encode_runs(new, self.vocab)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, ids])
+        """Encode new runs, INDEX_CHARS at a time."""
+        for part in _chunks(new, INDEX_CHARS):
+            ids, counts = encode_runs(part, self.vocab)
+            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+            self.ids = np.concatenate([self.ids, ids])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets of the texts in them."""
         split = [self.runs(t) for t in texts]
-        new = set().union(*split)
-        if len(self.index) + len(new) > KEPT_RUNS:
+        if len(self.index) > KEPT_RUNS:
             self.forget()
-        if new := sorted(new.difference(self.index)):
+        if new := list(set().union(*split).difference(self.index)):
             self.learn(new)
         n = np.fromiter(map(len, split), np.int64, len(split))
         which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
-        begin, width = self.starts[which], self.starts[which + 1] - self.starts[which]
-        upto = np.concatenate(([0], np.cumsum(width)))
-        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], width)]
+        self.met += np.bincount(which, minlength=len(self.met))
+        ids, upto = _gathered(self.ids, self.starts, which)
         return ids, upto[np.concatenate(([0], np.cumsum(n)))]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.vocab.text_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ids[starts[k] : starts[k + 1]] for each k of which, one after another, and their offsets."""
+    begin, width = starts[which], starts[which + 1] - starts[which]
+    upto = np.concatenate(([0], np.cumsum(width)))
+    return ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], width)], upto
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _chunks(texts: list):
-    """Consecutive texts of about CHUNK_CHARS together; a longer text alone."""
+def _chunks(texts: list, chars: int):
+    """Consecutive texts of about so many characters together; a longer text alone."""
     part, size = [], 0
     for t in texts:
-        if part and size + len(t or "") > CHUNK_CHARS:
+        if part and size + len(t or "") > chars:
             yield part
             part, size = [], 0
         part.append(t)
@@ -367,7 +393,7 @@ def encoded(docs: DataFrame, text: str = "text", model: str | None = None) -> Da
     def encode(texts: list) -> list:
         own = encoder(path)
         out: list[list] = [[], [], [], []]
-        for part in _chunks(texts):
+        for part in _chunks(texts, CHUNK_CHARS):
             ids, at = own.encode(part)
             out[0] += [len(t or "") for t in part]
             out[1] += np.diff(at).tolist()
