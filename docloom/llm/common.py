@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if its measured rows times its row width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Arrow bytes that a Python function gets as objects at a time.
+SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,25 +101,33 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return mix64((sums[ends] - sums[starts]) * _power("q", _P_INVERSE, n + 1)[starts])
 
 
-def map_texts(rows: DataFrame, fn, fields: str) -> DataFrame:
-    """rows' columns but the last, which holds texts, beside the columns that fn makes of each batch of texts.
+def map_texts(rows: DataFrame, fn, fields: str, keep: bool = False) -> DataFrame:
+    """rows' columns, the last of which holds texts and goes unless kept, beside what fn makes of each batch of texts.
 
-    fn takes a list of str or None and returns one list per field. Arrow batches keep ids exact, nulls included.
+    fn takes a list of str or None and returns one list per field. Arrow batches keep ids exact, nulls included; where
+    the session doesn't set their size, they get BATCH_ROWS rows, so that long texts don't add up.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    kept = rows.schema.fields[:-1]
+    if rows.sparkSession.conf.get(_BATCH, None) is None:
+        rows.sparkSession.conf.set(_BATCH, BATCH_ROWS)
+    last = len(rows.columns) - 1
+    kept = rows.schema.fields if keep else rows.schema.fields[:-1]
     schema = StructType([*kept, *_parse_datatype_string(fields).fields])
     arrow = to_arrow_schema(schema)
     n = len(kept)
 
     def batches(it):
-        for batch in it:
-            made = fn(batch.column(n).to_pylist())
-            arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
-            arrays += [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(n + i).type) for i, v in enumerate(made)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for whole in it:
+            # Python objects of a few MB at a time, whatever the size of Spark's batches
+            step = max(1, SLICE_BYTES * whole.num_rows // max(whole.nbytes, 1))
+            for at in range(0, max(whole.num_rows, 1), step):
+                batch = whole.slice(at, step)
+                made = fn(batch.column(last).to_pylist())
+                arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
+                arrays += [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(n + i).type) for i, v in enumerate(made)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return rows.mapInArrow(batches, schema)

@@ -32,7 +32,7 @@ from docloom.llm.common import map_texts
 
 SPACE = "▁"
 #: Runs kept by a worker before it lets rare ones go, characters of text split at once, and of runs indexed at once.
-KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 400_000, 4_000_000, 800_000
+KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 150_000, 4_000_000, 400_000
 _RANK = np.int64(1) << 40
 _UNKNOWN = -1
 
@@ -399,6 +399,8 @@ def encoded(docs: DataFrame, text: str = "text", model: str | None = None) -> Da
             out[1] += np.diff(at).tolist()
             out[2].append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
             out[3] += [own.decode(ids[a:b].tolist()) == (t or "").replace(SPACE, " ") for t, a, b in zip(part, at, at[1:], strict=False)]
+        if len(own.index) > KEPT_RUNS:
+            own.forget()
         arrays = pa.concat_arrays(out[2]) if out[2] else pa.array([], pa.list_(pa.int32()))
         return [out[0], out[1], arrays, out[3]]
 

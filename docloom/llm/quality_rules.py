@@ -91,7 +91,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", min_words:
 def filtered(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = 50, max_repeat: int = 50, host_rate: float = 0.9) -> DataFrame:
     """The rows of docs that judge() keeps. Measured again on the way, so that no join by id is needed."""
     rejected = judge(docs, text, host, min_words, max_repeat, host_rate).where("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad")).distinct()
-    rows = map_texts(docs.select("*", F.col(text).alias("__text")), _columns, ", ".join(f"__{m} long" for m in MEASURES))
+    others = [c for c in docs.columns if c != text]
+    rows = map_texts(docs.select(*others, text), _columns, ", ".join(f"__{m} long" for m in MEASURES), keep=True)
     failed = (F.col("__n_words") < min_words) | (100 * F.col("__n_repeat_words") > max_repeat * F.col("__n_words"))
     rows = rows.where(~failed).join(small(stage(rejected, "rejected"), 64), F.col(host).eqNullSafe(F.col("__host")), "left")
     return rows.where("__bad IS NULL").select(*docs.columns)
