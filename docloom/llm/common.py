@@ -68,7 +68,9 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
         size = 1 << (n - 1).bit_length()
         have = np.full(size, base, np.uint64)
         have[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if size <= 1 << 20:  # those of longer texts aren't kept
+            _powers[kind] = have
     return have
 
 
@@ -101,11 +103,12 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     return mix64((sums[ends] - sums[starts]) * _power("q", _P_INVERSE, n + 1)[starts])
 
 
-def map_texts(rows: DataFrame, fn, fields: str, keep: bool = False) -> DataFrame:
+def map_texts(rows: DataFrame, fn, fields: str, keep: bool = False, done=None) -> DataFrame:
     """rows' columns, the last of which holds texts and goes unless kept, beside what fn makes of each batch of texts.
 
     fn takes a list of str or None and returns one list per field. Arrow batches keep ids exact, nulls included; where
-    the session doesn't set their size, they get BATCH_ROWS rows, so that long texts don't add up.
+    the session doesn't set their size, they get BATCH_ROWS rows, so that long texts don't add up. done is called at a
+    task's end; then the worker, which lives on, gives back what it has freed.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -129,5 +132,23 @@ def map_texts(rows: DataFrame, fn, fields: str, keep: bool = False) -> DataFrame
                 arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(n)]
                 arrays += [v if isinstance(v, pa.Array) else pa.array(v, arrow.field(n + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                del batch, made, arrays
+        if done:
+            done()
+        give_back()
 
     return rows.mapInArrow(batches, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -32,7 +32,7 @@ from docloom.llm.common import map_texts
 
 SPACE = "▁"
 #: Runs kept by a worker before it lets rare ones go, characters of text split at once, and of runs indexed at once.
-KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 150_000, 4_000_000, 400_000
+KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 150_000, 2_000_000, 300_000
 _RANK = np.int64(1) << 40
 _UNKNOWN = -1
 
@@ -324,10 +324,9 @@ class Encoder:
     def runs(self, text: str | None) -> list[str]:
         return self.vocab.runs.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def forget(self) -> None:
-        """Keep the runs that were met more than once, if that makes enough room."""
-        kept = np.flatnonzero(self.met > 1)
-        kept = kept[: KEPT_RUNS // 2] if len(kept) > KEPT_RUNS // 2 else kept
+    def forget(self, most: int = KEPT_RUNS // 2, often: int = 2) -> None:
+        """Keep the runs that were met so often, the first `most` of them."""
+        kept = np.flatnonzero(self.met >= often)[:most]
         names = list(self.index)
         self.index = {names[k]: i for i, k in enumerate(kept.tolist())}
         self.ids, upto = _gathered(self.ids, self.starts, kept)
@@ -399,12 +398,10 @@ def encoded(docs: DataFrame, text: str = "text", model: str | None = None) -> Da
             out[1] += np.diff(at).tolist()
             out[2].append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
             out[3] += [own.decode(ids[a:b].tolist()) == (t or "").replace(SPACE, " ") for t, a, b in zip(part, at, at[1:], strict=False)]
-        if len(own.index) > KEPT_RUNS:
-            own.forget()
         arrays = pa.concat_arrays(out[2]) if out[2] else pa.array([], pa.list_(pa.int32()))
         return [out[0], out[1], arrays, out[3]]
 
-    return map_texts(docs.select("doc_id", F.col(text).alias("text")), encode, "n_chars long, n_pieces long, ids array<int>, round_trip boolean")
+    return map_texts(docs.select("doc_id", F.col(text).alias("text")), encode, "n_chars long, n_pieces long, ids array<int>, round_trip boolean", done=lambda: encoder(path).forget(20_000, 3))
 
 
 def decoded(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
