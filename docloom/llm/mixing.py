@@ -160,7 +160,7 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     Documents are matched to the mix by doc_id; rows that share a doc_id take the most copies of any of them.
     """
     sized = docs.select("doc_id", word_count("text").alias("size"), F.array("source").alias("sources"))
-    taken = mix(sized, **kwargs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = stage(taken.select(F.col("doc_id").alias("__id"), "copies"), "taken")
-    rows = docs.join(small(taken, 24), F.col("doc_id").eqNullSafe(F.col("__id"))).where("copies > 0")
-    return rows.select("*", F.explode(F.expr("sequence(1L, copies)")).alias("__copy")).select(*docs.columns)
+    taken = mix(sized, **kwargs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    taken = stage(taken, "taken")
+    rows = docs.join(small(taken, 24), F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
+    return rows.select("*", F.explode(F.expr("sequence(1L, __copies)")).alias("__copy")).select(*docs.columns)

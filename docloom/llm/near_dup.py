@@ -298,10 +298,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", k: int = 3, percent: in
 
 def deduplicated(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: the one whose id names it, once. Rows without an id stay."""
-    marked = near_duplicates(docs, text, k, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    marked = stage(marked.select(F.col("doc_id").alias("__id"), "n"), "kept")
+    marked = near_duplicates(docs, text, k, percent).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    marked = stage(marked, "kept")
     rows = docs.join(small(marked, 24), F.col("doc_id") == F.col("__id"), "left").where("doc_id IS NULL OR __id IS NOT NULL").drop("__id")
-    if marked.where("n > 1").isEmpty():
-        return rows.drop("n")
-    once = rows.where("n = 1 OR n IS NULL").drop("n")
-    return once.unionByName(rows.where("n > 1").drop("n").dropDuplicates(["doc_id"]))
+    if marked.where("__n > 1").isEmpty():
+        return rows.drop("__n")
+    once = rows.where("__n = 1 OR __n IS NULL").drop("__n")
+    return once.unionByName(rows.where("__n > 1").drop("__n").dropDuplicates(["doc_id"]))
