@@ -3,8 +3,8 @@
 Tokens of a page are its tags with their paths and the texts between them with theirs. Per host, tokens that occur in
 the same number in the same pages share an occurrence vector; they form an equivalence class. A class is part of the
 host's template if it has at least `min_class` tokens, spans at least `support` of the host's pages, and is valid:
-its tokens come in one order on every page, so that classes nest. Texts in the template are boilerplate wherever they
-stand; what lies between template tokens are slots. A page's main text are its slots' blocks inside the content
+its tokens come in one order on every page, so that classes nest. A block all of whose texts are in the template is
+boilerplate; what lies between template tokens are slots. A page's main text are its slots' blocks inside the content
 element, without the elements that hold menus, notices, adverts, forms, scripts and comments.
 
 Occurrence vectors are compared by order-independent sums of hashes of (page, count), so a class is found by grouping
@@ -157,10 +157,13 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
         some = [t for t in texts if not t[2]]
     whole = some and some[0][1]
     blocks: dict[int, list[str]] = {}
+    own: set[int] = set()  # blocks with a text that isn't the template's
     for block, content, dropped, text in texts:
-        if not dropped and (content or not whole) and not (template and not text.isspace() and _hash(text.strip()) in template):
+        if not dropped and (content or not whole):
             blocks.setdefault(block, []).append(text)
-    joined = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
+            if not text.isspace() and not (template and _hash(text.strip()) in template):
+                own.add(block)
+    joined = (" ".join(html.unescape("".join(parts)).split()) for block, parts in blocks.items() if block in own)
     return "\n\n".join(b for b in joined if b)
 
 

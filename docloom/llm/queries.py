@@ -59,5 +59,22 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+RULES_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT r, unnest(list_transform(range(1, len(ws) - 1), lambda i: concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]))) AS g, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+o AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM o WHERE n > 1) GROUP BY r),
+m AS (SELECT r, doc_id, source, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w),
+b AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN c USING (r)),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY 1),
+p AS (SELECT avg(f / n::DOUBLE) AS m, var_pop(f / n::DOUBLE) AS v FROM h),
+s AS (SELECT m, greatest(1.0, least(1e6, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 WHEN m > 0 THEN 1e6 ELSE 0 END)) AS s FROM p),
+x AS (SELECT source, (f + m * s) / (n + s) >= 0.9 AS host_rejected FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries have no SQL: iterative graphs, suffix arrays, learned models and Python's regular expressions."""
+    return {"op10_quality_rules": RULES_SQL}
