@@ -32,7 +32,7 @@ from docloom.llm.common import map_texts
 
 SPACE = "▁"
 #: Runs kept by a worker before it lets rare ones go, characters of text split at once, and of runs indexed at once.
-KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 150_000, 2_000_000, 300_000
+KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 100_000, 2_000_000, 200_000
 _RANK = np.int64(1) << 40
 _UNKNOWN = -1
 
