@@ -79,9 +79,10 @@ def with_context(text: Column, start: Column, end: Column, window: int = 50) ->
 
 def merge(*lists: Column) -> Column:
     """Entities of the lists in order; of equal lower-cased texts with one label the first stays."""
-    every = F.concat(*(F.coalesce(x, F.array().cast(f"array<{ENTITY}>")) for x in lists))
+    joined = F.concat(*(F.coalesce(x, F.array().cast(f"array<{ENTITY}>")) for x in lists))
     name = lambda e: F.concat_ws("\x01", F.lower(e["text"]), e["label"])
-    return let(F.transform(every, name), lambda keys: F.filter(every, lambda e, i: F.array_position(keys, name(e)) == i + 1))
+    first = lambda every: let(F.transform(every, name), lambda keys: F.filter(every, lambda e, i: F.array_position(keys, name(e)) == i + 1))
+    return let(joined, first)
 
 
 def model_label(label: Column, text: Column) -> Column:

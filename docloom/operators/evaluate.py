@@ -159,20 +159,25 @@ def nli_label(label: Column) -> Column:
 NliModel = Callable[[pd.Series, pd.Series], pd.Series]
 
 
-def check_with_model(claim: Column, evidence: Column, model: Callable[[], NliModel]) -> Column:
-    """struct (label, score) of a plugged-in model: `model()` once per worker maps (evidence, claim) to lists of
-    (label, score); the best known label wins."""
+def check_with_model(rows: DataFrame, model: Callable[[], NliModel]) -> DataFrame:
+    """rows (claim, evidence, ...) with check (label, score) of a plugged-in model.
 
-    @F.pandas_udf("array<struct<label: string, score: double>>")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    `model()` is called once per task and maps (evidence, claim) to lists of (label, score); the best known label wins.
+    """
+    given = rows.withColumn("__trimmed", trim_evidence(F.col("claim"), F.col("evidence")))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded = model()
-        for evidences, claim_texts in batches:
-            yield loaded(evidences, claim_texts)
+        for batch in batches:
+            found = loaded(batch["__trimmed"], batch["claim"])
+            yield batch.drop(columns="__trimmed").assign(__found=[[{"label": x["label"], "score": x["score"]} for x in scores] for scores in found])
 
-    found = scored(trim_evidence(claim, evidence), claim)
-    named = F.filter(F.transform(found, lambda s: F.struct((-s["score"]).alias("o"), nli_label(s["label"]).alias("label"), round4(s["score"]).alias("score"))), lambda s: s["label"].isNotNull())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    held = given.mapInPandas(scored, f"{fields}, __found array<struct<label: string, score: double>>")
+    named = F.filter(F.transform("__found", lambda s: F.struct((-s["score"]).alias("o"), nli_label(s["label"]).alias("label"), round4(s["score"]).alias("score"))), lambda s: s["label"].isNotNull())
     top = F.try_element_at(F.array_sort(named), F.lit(1))
-    return F.struct(F.coalesce(top["label"], F.lit("NEUTRAL")).alias("label"), F.coalesce(top["score"], F.lit(0.0)).alias("score"))
+    check = F.struct(F.coalesce(top["label"], F.lit("NEUTRAL")).alias("label"), F.coalesce(top["score"], F.lit(0.0)).alias("score"))
+    return held.withColumn("check", check).drop("__found")
 
 
 def ranked(rows: DataFrame, by: str = "score") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions.constants import CLAIM_STOP_WORDS, ENTITY_PATTERNS, QUERY_STOP_WORDS
+from docloom.session import materialize
 from docloom.operators import answer, chunking, corpus, entities, evaluate, explain, index, lexical, retrieval, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it has fewer files than there are cores: one small file would be one task's work.
+
+    Tables of many files stay as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 # --- text -----------------------------------------------------------------------------------------------------------
 
 LEGAL = (
@@ -46,7 +56,7 @@ PAGED = "concat('Page 1 of 9', chr(10), 'CONFIDENTIAL copy', chr(10), '# Heading
 
 
 def documents(spark: SparkSession, sf_dir: str, expr: str = "text") -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(expr).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(expr).alias("text"))
 
 
 def _digest(rows: DataFrame, made) -> DataFrame:
@@ -395,3 +405,527 @@ def entity_lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entity_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = index.retrieve(index.postings(mentions(spark, sf_dir)), spark.sql(_ASKED))
     return rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------------------
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
+
+
+def _corpus_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: vectors whose id is divisible by 20."""
+    return _corpus_vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+_PAIRS = f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
+_TOP = "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {s}"
+
+
+@query(f"{_PAIRS} SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(sum(score), 4) AS total FROM p GROUP BY query_id")
+def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.scores(_corpus_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query(f"{_PAIRS}, r AS ({_TOP.format(s='p')}) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 20")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.search(_corpus_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir))
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.CellIndex(_corpus_vectors(spark, sf_dir)).search(_asked_vectors(spark, sf_dir))
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_fallback_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", vectors.embed_fallback("text").alias("v"))
+    return rows.select("item_id", F.size("v").alias("dim"), F.round(vectors.dot(F.col("v"), F.col("v")), 4).alias("norm"))
+
+
+# --- lexical and hybrid retrieval -----------------------------------------------------------------------------------
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
+    """The documents' index with its postings written once: they feed term weights and scores."""
+    built = lexical.build(documents(spark, sf_dir), "doc_id")
+    return lexical.of_postings(materialize(built.postings, "terms"), built.stats)
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.scores(_index(spark, sf_dir), _questions(spark, sf_dir))
+
+
+_BM25 = (
+    f"t AS (SELECT doc_id, {_TOKENS.format(t='text')} AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM t), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), "
+    "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st), "
+    "idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END AS idf FROM raw), "
+    f"q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format(t='text')}) AS term FROM benchmark) GROUP BY 1, 2), "
+    "bm AS (SELECT * FROM (SELECT query_id, doc_id AS id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2) WHERE score > 0), "
+    "nm AS (SELECT query_id, id, score, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM bm WINDOW w AS (PARTITION BY query_id)), "
+    f"bt AS ({_TOP.format(s='bm')})"
+)
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM bm")
+def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25(spark, sf_dir).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, rank, round(score, 6) AS score FROM bt WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexical.top_k(_bm25(spark, sf_dir), 10)
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, round(norm, 6) AS norm FROM nm")
+def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.normalized_scores(_bm25(spark, sf_dir)).select("query_id", "id", F.round("norm", 6).alias("norm"))
+
+
+_INTENT = (
+    "CASE WHEN contains(q, 'what is') OR contains(q, 'define') OR contains(q, 'meaning of') OR contains(q, 'definition') THEN 'definition' WHEN contains(q, 'section') THEN 'section' WHEN contains(q, 'why') OR contains(q, 'reason') THEN 'reasoning' "
+    "WHEN contains(q, 'can') OR contains(q, 'when') OR contains(q, 'if') THEN 'condition' WHEN contains(q, 'how to') OR contains(q, 'procedure') OR contains(q, 'process') OR contains(q, 'steps') THEN 'procedure' "
+    "WHEN contains(q, 'compare') OR contains(q, 'difference') OR contains(q, 'versus') OR contains(q, 'vs') THEN 'comparison' WHEN contains(q, 'case') OR contains(q, 'judgment') OR contains(q, 'ruling') OR contains(q, 'verdict') OR contains(q, 'held') THEN 'case_based' "
+    "WHEN contains(q, 'who') OR contains(q, 'which court') OR contains(q, 'which judge') THEN 'factual' ELSE 'general' END"
+)
+
+
+@query(f"WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations) SELECT conv_id, turn, {_INTENT} AS intent FROM c")
+def query_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.intent(F.col("text")).alias("intent"))
+
+
+_BONUS = "(CASE WHEN contains(lower(x), 'section') THEN 0.08::DOUBLE ELSE 0 END) + (CASE WHEN doc_id % 20 / 20.0::DOUBLE <= 0.15 THEN 0.03::DOUBLE ELSE 0 END) - (CASE WHEN contains(lower(x), 'prayer') THEN 0.08::DOUBLE ELSE 0 END)"
+
+
+@query(f"WITH d AS (SELECT doc_id, {LEGAL} AS x FROM documents) SELECT doc_id, round({_BONUS}, 6) AS bonus FROM d")
+def structure_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, LEGAL)
+    bonus = retrieval.structure_bonus(F.col("text"), F.lit("section"), F.col("doc_id") % 20, F.lit(20))
+    return rows.select("doc_id", F.round(bonus, 6).alias("bonus"))
+
+
+@query(f"{_M}, e AS (SELECT doc_id, count(*) AS n FROM m WHERE len(list_intersect({_TOKENS.format(t='text')}, ['supreme', 'court', 'section'])) > 0 GROUP BY 1) SELECT doc_id, least(1.0::DOUBLE, 0.25 * coalesce(n, 0)) AS overlap FROM documents LEFT JOIN e USING (doc_id)")
+def entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, LEGAL).select("doc_id", F.flatten(F.transform(entities.label_matches("text"), lambda m: m["texts"])).alias("es"))
+    return rows.select("doc_id", retrieval.entity_overlap(F.lit("Supreme Court section"), F.col("es")).alias("overlap"))
+
+
+# Vectors aren't keyed to documents: vector i stands for document i, and item i asks with vector i.
+_DENSE = f"ds AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a JOIN benchmark ON a.vec_id = item_id, embeddings b JOIN documents ON b.vec_id = doc_id), dt AS ({_TOP.format(s='ds')})"
+_HYBRID = (
+    f"WITH {_BM25}, {_DENSE}, d6 AS (SELECT * FROM dt WHERE rank <= 60), dn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS semantic FROM d6 WINDOW w AS (PARTITION BY query_id)), "
+    "ln AS (SELECT query_id, id, norm AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, id) AS place FROM nm), "
+    "cd AS (SELECT query_id, id, coalesce(semantic, 0) AS semantic, coalesce(lexical, 0) AS lexical FROM dn FULL JOIN ln USING (query_id, id) WHERE semantic IS NOT NULL OR place <= 40), "
+    "hs AS (SELECT query_id, id, floor(least(greatest(0.7::DOUBLE * semantic + 0.2::DOUBLE * lexical + (CASE WHEN id % 20 / 20.0::DOUBLE <= 0.15 THEN 0.03::DOUBLE ELSE 0 END) - (CASE WHEN contains(lower(text), 'prayer') THEN 0.08::DOUBLE ELSE 0 END), 0), 1) * 10000 + 0.5) / 10000 AS score FROM cd JOIN documents ON id = doc_id), "
+    f"hr AS ({_TOP.format(s='hs')})"
+)
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _corpus_vectors(spark, sf_dir)
+    held = store.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    asked = store.join(_questions(spark, sf_dir).select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
+    return vectors.scores(held, asked)
+
+
+@query(f"{_HYBRID} SELECT query_id, id, rank, round(score, 4) AS score FROM hr WHERE rank <= 20")
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 20).alias("chunk_index"), F.lit(20).alias("total_chunks"), F.array().cast("array<string>").alias("entity_texts"))
+    asked = _questions(spark, sf_dir).withColumn("intent", F.lit("general"))
+    rows = retrieval.hybrid(_dense(spark, sf_dir), _bm25(spark, sf_dir), chunks, asked)
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+def _ranked_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return vectors.best(_dense(spark, sf_dir), 20), lexical.top_k(_bm25(spark, sf_dir), 20)
+
+
+_FUSED = f"WITH {_BM25}, {_DENSE}, u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part, score FROM dt WHERE rank <= 20 UNION ALL SELECT query_id, id, 0.5::DOUBLE / (60 + rank), score FROM bt WHERE rank <= 20), fs AS (SELECT query_id, id, sum(part) AS score, max(score) AS original FROM u GROUP BY 1, 2)"
+
+
+@query(f"{_FUSED}, r AS (SELECT query_id, id, score, original, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fs) SELECT query_id, id, rank, round(score, 6) AS score, round(original, 6) AS original_score FROM r")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.fuse(list(_ranked_pair(spark, sf_dir)), weights=[1.0, 0.5])
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round("original_score", 6).alias("original_score"))
+
+
+@query(f"WITH {_BM25}, {_DENSE}, u AS (SELECT query_id, id, score FROM dt WHERE rank <= 20 UNION ALL SELECT query_id, id, score FROM bt WHERE rank <= 10), g AS (SELECT query_id, id, max(score) AS score FROM u GROUP BY 1, 2), r AS ({_TOP.format(s='g')}) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 20")
+def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, other = _ranked_pair(spark, sf_dir)
+    rows = retrieval.expanded(own.select("query_id", "id", "score").unionByName(other.where("rank <= 10").select("query_id", "id", "score")))
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25}, {_DENSE}, b AS (SELECT DISTINCT query_id FROM dt INTERSECT SELECT DISTINCT query_id FROM bt), u AS (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS part FROM dt WHERE rank <= 20 UNION ALL SELECT query_id, id, 1.0::DOUBLE / (60 + rank) FROM bt WHERE rank <= 20), fs AS (SELECT query_id, id, sum(part) AS score FROM u JOIN b USING (query_id) GROUP BY 1, 2), r AS ({_TOP.format(s='fs')}), o AS (SELECT query_id, id, score, rank FROM dt WHERE rank <= 20 UNION ALL SELECT query_id, id, score, rank FROM bt WHERE rank <= 20) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10 UNION ALL SELECT query_id, id, rank, round(score, 6) FROM o WHERE rank <= 10 AND query_id NOT IN (SELECT query_id FROM b)")
+def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, words = _ranked_pair(spark, sf_dir)
+    rows = retrieval.combined(dense, words, top=10)
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, id, rank, round(score, 6) AS score FROM bt WHERE rank <= 5")
+def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.rerank(lexical.top_k(_bm25(spark, sf_dir), 20), 5)
+    return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query()
+def rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a plug-in scorer: the share of the question's characters that are in the text."""
+    found = lexical.top_k(_bm25(spark, sf_dir), 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(_questions(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id")
+
+    def load():
+        import pandas as pd
+
+        return lambda qs, ts: pd.Series([len(set(q.split()) & set(t.split())) / max(len(set(q.split())), 1) for q, t in zip(qs, ts, strict=True)])
+
+    return retrieval.rerank(found, 5, load).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), F.round("original_score", 6).alias("original_score"))
+
+
+_TOP3 = "SELECT query_id, list(norm ORDER BY rank) AS s FROM (SELECT query_id, norm, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM nm) WHERE rank <= 3 GROUP BY 1"
+_ROUTE = f"WITH {_BM25}, s AS ({_TOP3}), c AS (SELECT query_id, floor(least(greatest((0.6::DOUBLE * s[1] + coalesce(0.3::DOUBLE * s[2], 0) + coalesce(0.1::DOUBLE * s[3], 0)) / (0.6::DOUBLE + (CASE WHEN len(s) > 1 THEN 0.3::DOUBLE ELSE 0 END) + (CASE WHEN len(s) > 2 THEN 0.1::DOUBLE ELSE 0 END)), 0), 1) * 10000 + 0.5) / 10000 AS confidence FROM s)"
+
+
+def _route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = lexical.top_k(lexical.normalized_scores(_bm25(spark, sf_dir)), 3)
+    held = scaled.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "norm"))), lambda r: r["norm"]).alias("s"))
+    return held.select("query_id", answer.route_confidence(F.col("s")).alias("confidence"))
+
+
+@query(f"{_ROUTE} SELECT query_id, round(confidence, 4) AS confidence FROM c")
+def router_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _route_rows(spark, sf_dir).select("query_id", F.round("confidence", 4).alias("confidence"))
+
+
+@query(f"{_ROUTE} SELECT query_id, CASE WHEN confidence < 0.75 THEN 'web_search' ELSE 'local' END AS route, 'local' AS default_route FROM c")
+def route_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("confidence")
+    return _route_rows(spark, sf_dir).select("query_id", answer.route(c, True).alias("route"), answer.route(c).alias("default_route"))
+
+
+# --- answers --------------------------------------------------------------------------------------------------------
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _questions(spark, sf_dir)
+    return q.select("query_id", F.col("text").alias("question"), retrieval.intent(F.col("text")).alias("intent"), F.array().cast("array<string>").alias("entity_texts"))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each item, with scaled scores, as passages."""
+    top = lexical.top_k(lexical.normalized_scores(_bm25(spark, sf_dir)).drop("score").withColumnRenamed("norm", "score"), 5)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("doc_name"), "lang")
+    spans = F.flatten(F.transform(entities.label_matches("text"), lambda m: F.transform(m["texts"], lambda t: F.struct(t.alias("text"), m["label"].alias("label")))))
+    return top.join(docs, "id").select("query_id", "rank", F.col("id").cast("string").alias("chunk_id"), "text", "score", "doc_name", (F.col("id") % 7).cast("int").alias("page_num"), F.col("lang").alias("section"), F.lit("local").alias("source"), spans.alias("entities"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in QUERY_STOP_WORDS) + "]"
+_ANSWER = (
+    f"WITH {_BM25}, pr AS (SELECT query_id, id, norm AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, id) AS rank FROM nm), ps AS (SELECT query_id, id, score, rank, text, source AS doc_name, lang FROM pr JOIN documents ON id = doc_id WHERE rank <= 5), "
+    f"sa AS (SELECT query_id, id, rank, score AS passage_score, {_ANSWER_SENTENCES.format(t='text')} AS ss FROM ps), sx AS (SELECT query_id, id, rank, passage_score, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_idx FROM sa), "
+    f"qt AS (SELECT item_id AS query_id, lower(text) AS q, list_filter(list_distinct({_TOKENS.format(t='text')}), lambda w: NOT list_contains({_STOP}, w)) AS terms FROM benchmark), qi AS (SELECT query_id, terms, {_INTENT} AS intent FROM qt), "
+    f"so AS (SELECT query_id, id, rank, sent_idx, sentence, passage_score, intent, lower(sentence) AS l, list_distinct({_TOKENS.format(t='sentence')}) AS st, terms FROM sx JOIN qi USING (query_id)), sl AS (SELECT *, len(list_intersect(terms, st)) AS o FROM so), "
+    "sc AS (SELECT query_id, id, rank, sent_idx, sentence, passage_score, CASE WHEN len(st) = 0 THEN 0 ELSE floor(least(greatest(0.7::DOUBLE * o / greatest(len(terms), 1) + 0.3::DOUBLE * o / greatest(len(st), 1) "
+    "+ (CASE WHEN intent = 'definition' AND (contains(l, 'means') OR contains(l, 'refers to') OR contains(l, 'defined as')) THEN 0.12::DOUBLE ELSE 0 END) + (CASE WHEN intent = 'section' AND contains(l, 'section') THEN 0.12::DOUBLE ELSE 0 END) "
+    "+ (CASE WHEN intent = 'condition' AND (contains(l, 'if') OR contains(l, 'provided that') OR contains(l, 'subject to') OR contains(l, 'shall')) THEN 0.12::DOUBLE ELSE 0 END) + (CASE WHEN intent = 'reasoning' AND (contains(l, 'because') OR contains(l, 'therefore') OR contains(l, 'since') OR contains(l, 'held')) THEN 0.12::DOUBLE ELSE 0 END) "
+    "- (CASE WHEN length(sentence) < 25 THEN 0.1::DOUBLE ELSE 0 END) - (CASE WHEN length(sentence) > 400 THEN 0.08::DOUBLE ELSE 0 END) - (CASE WHEN l LIKE 'prayer%' OR contains(l, 'it is therefore prayed') THEN 0.4::DOUBLE ELSE 0 END), 0), 1.2) * 10000 + 0.5) / 10000 END AS score FROM sl)"
+)
+
+
+@query(f"{_ANSWER} SELECT query_id, CAST(id AS VARCHAR) AS chunk_id, rank AS passage_rank, sent_idx, round(score, 4) AS score, md5(sentence) AS digest FROM sc")
+def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answer.scored_sentences(_passages(spark, sf_dir), _asked(spark, sf_dir))
+    return rows.select("query_id", "chunk_id", F.col("passage_rank").cast("long").alias("passage_rank"), F.col("sent_idx").cast("long").alias("sent_idx"), F.round("score", 4).alias("score"), F.md5("sentence").alias("digest"))
+
+
+@query()
+def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answer.selected(answer.scored_sentences(_passages(spark, sf_dir), _asked(spark, sf_dir)))
+    return rows.select("query_id", "pos", "chunk_id", "passage_rank", "sent_idx", "score", "sentence")
+
+
+@query()
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passages = materialize(_passages(spark, sf_dir), "passages")
+    chosen = answer.selected(answer.scored_sentences(passages, _asked(spark, sf_dir)))
+    return answer.citations(chosen, passages).select("query_id", "citation_id", "chunk_id", "doc_name", "page_num", "section", "source")
+
+
+@query()
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.answers(materialize(_passages(spark, sf_dir), "passages"), _asked(spark, sf_dir))
+
+
+@query(f"{_M}, f AS (SELECT doc_id, label, text, concat(text, ' (', label, ')') AS name FROM m) SELECT doc_id, count(DISTINCT lower(name)) AS n FROM f GROUP BY doc_id")
+def key_entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mentions(spark, sf_dir)
+    held = m.groupBy(F.col("chunk_id").alias("query_id")).agg(F.collect_list(F.struct("text", "label")).alias("entities")).withColumn("pos", F.lit(1))
+    rows = answer.key_entities(held, most=1_000_000)
+    return rows.select(F.col("query_id").alias("doc_id"), F.size("key_entities").cast("long").alias("n"))
+
+
+# --- explanations ---------------------------------------------------------------------------------------------------
+
+_TURNS = "SELECT u.conv_id * 1000 + u.turn AS query_id, u.text AS question, a.text AS answer, lag(a.text) OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS before FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, question, answer, before (the conversation's previous answer): each user turn with its reply."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations")
+    u, a = c.where("role = 'user'"), c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    rows = u.join(a, ["conv_id", "turn"])
+    before = F.lag("answer").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), "answer", before.alias("before"))
+
+
+_CLAIMS = r"list_filter(" + _SENTENCES.format(t=r"regexp_replace(regexp_replace(concat_ws(' ', nullif(question, ''), nullif(answer, '')), '\*\*.*?\*\*', '', 'g'), '\[.*?\]', '', 'g')") + ", lambda s: length(s) > 20 AND NOT starts_with(s, 'Note:') AND NOT starts_with(s, '*'))"
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir)
+    return explain.claim_table(t.select("query_id", F.col("question").alias("simple_answer"), F.col("answer").alias("answer_text")))
+
+
+@query(f"WITH t AS ({_TURNS}), c AS (SELECT query_id, {_CLAIMS} AS cs FROM t) SELECT query_id, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_idx FROM c")
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _claims(spark, sf_dir).select("query_id", F.col("claim_idx").cast("long").alias("claim_idx"), "claim")
+
+
+def _turn_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn's passages: its answer, and the answer before it where there is one."""
+    t = _turns(spark, sf_dir)
+    own = t.select("query_id", F.lit(1).alias("rank"), F.concat(F.col("query_id").cast("string"), F.lit("a")).alias("chunk_id"), F.col("answer").alias("text"))
+    old = t.where("before IS NOT NULL").select("query_id", F.lit(2).alias("rank"), F.concat(F.col("query_id").cast("string"), F.lit("b")).alias("chunk_id"), F.col("before").alias("text"))
+    return own.unionByName(old)
+
+
+_CSTOP = "[" + ", ".join(f"'{w}'" for w in CLAIM_STOP_WORDS) + "]"
+_SOURCES = (
+    f"WITH t AS ({_TURNS}), c AS (SELECT query_id, {_CLAIMS} AS cs FROM t), cl AS (SELECT query_id, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_idx FROM c), pa AS (SELECT query_id, 1 AS rank, concat(query_id, 'a') AS chunk_id, answer AS text FROM t UNION ALL SELECT query_id, 2, concat(query_id, 'b'), before FROM t WHERE before IS NOT NULL), "
+    f"cw AS (SELECT *, list_filter({_WORDS.format(t='claim')}, lambda w: NOT list_contains({_CSTOP}, w)) AS cw FROM cl), pw AS (SELECT *, list_filter({_WORDS.format(t='text')}, lambda w: NOT list_contains({_CSTOP}, w)) AS pw FROM pa), "
+    "sc AS (SELECT query_id, claim_idx, claim, rank, chunk_id, text, len(list_intersect(cw, pw))::DOUBLE / len(list_distinct(list_concat(cw, pw))) AS sim FROM cw JOIN pw USING (query_id) WHERE len(cw) > 0 AND len(pw) > 0), "
+    "bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, claim_idx ORDER BY sim DESC, rank) AS r FROM sc) WHERE r = 1 AND sim >= 0.05)"
+)
+
+
+@query(f"{_SOURCES} SELECT query_id, claim_idx, rank - 1 AS source_passage_idx, chunk_id, floor(sim * 10000 + 0.5) / 10000 AS similarity FROM bs")
+def claim_best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = explain.best_sources(_claims(spark, sf_dir), _turn_passages(spark, sf_dir))
+    return rows.select("query_id", F.col("claim_idx").cast("long").alias("claim_idx"), F.col("source_passage_idx").cast("long").alias("source_passage_idx"), "chunk_id", "similarity")
+
+
+@query(
+    f"{_SOURCES}, se AS (SELECT query_id, claim_idx, claim, text, {_SENTENCES.format(t='text')} AS ss FROM bs), sx AS (SELECT query_id, claim_idx, claim, text, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM se), "
+    f"so AS (SELECT query_id, claim_idx, s, i, len(list_intersect({_WORDS.format(t='claim')}, {_WORDS.format(t='s')})) AS o FROM sx), sb AS (SELECT query_id, claim_idx, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id, claim_idx ORDER BY o DESC, i) AS r FROM so WHERE o > 0) WHERE r = 1) "
+    "SELECT query_id, claim_idx, substr(coalesce(s, text), 1, 200) AS snippet FROM bs LEFT JOIN sb USING (query_id, claim_idx)"
+)
+def evidence_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = explain.best_sources(_claims(spark, sf_dir), _turn_passages(spark, sf_dir))
+    return rows.select("query_id", F.col("claim_idx").cast("long").alias("claim_idx"), F.col("evidence_snippet").alias("snippet"))
+
+
+@query(f"{_SOURCES}, f AS (SELECT query_id, claim_idx, floor(sim * 10000 + 0.5) / 10000 AS s FROM bs) SELECT query_id, claim_idx, floor(least(1.0::DOUBLE, s * 1.5) * 10000 + 0.5) / 10000 AS confidence, least(1.0::DOUBLE, s * 1.5) > 0.4 AS supported FROM f")
+def claim_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = explain.best_sources(_claims(spark, sf_dir), _turn_passages(spark, sf_dir))
+    return rows.select("query_id", F.col("claim_idx").cast("long").alias("claim_idx"), explain.claim_confidence(F.col("similarity")).alias("c")).select("query_id", "claim_idx", "c.confidence", "c.supported")
+
+
+_AGREE = "SELECT l_orderkey AS id, list(l_discount * 10 ORDER BY l_linenumber) AS s, list(l_tax * 10 ORDER BY l_linenumber) AS t, list(l_suppkey ORDER BY l_linenumber) AS d FROM lineitem GROUP BY 1"
+
+
+@query(
+    f"WITH r AS ({_AGREE}), m AS (SELECT id, list_sum(s) / len(s) AS a, list_max(s) AS top, list_sum(t) / len(t) AS b, len(list_filter(t, lambda x: x > 0.3))::DOUBLE / len(t) AS g, len(list_distinct(d)) AS n FROM r) "
+    "SELECT id, round(0.3 * (0.6 * (CASE WHEN a > 1 THEN least(1, (a + 10) / 20) ELSE a END) + 0.4 * (CASE WHEN top > 1 THEN least(1, (top + 10) / 20) ELSE top END)) + 0.25 * 0.7 + 0.3 * (0.5 * b + 0.5 * g) + 0.15 * (CASE WHEN n >= 3 THEN 1.0 WHEN n = 2 THEN 0.8 ELSE 0.5 END), 6) AS confidence FROM m"
+)
+def confidence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over order lines as stand-ins: discounts as passage scores, taxes as similarities, suppliers as documents."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_discount") * 10).alias("s"), (F.col("l_tax") * 10).alias("t"), "l_suppkey"))).alias("x"))
+    pick = lambda f: F.transform("x", lambda r: r[f])
+    none = F.array().cast("array<string>")
+    parts = (explain.retrieval_quality(pick("s")), explain.entity_coverage(none, none, none), explain.claim_alignment(pick("t")), explain.source_diversity(pick("l_suppkey")))
+    return rows.select("id", F.round(0.3 * parts[0] + 0.25 * parts[1] + 0.3 * parts[2] + 0.15 * parts[3], 6).alias("confidence"))
+
+
+@query()
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, LEGAL).withColumn("e", entities.extract_spans("text")).select("doc_id", F.posexplode(explain.annotations(F.col("text"), F.col("e"))).alias("pos", "a"))
+    return rows.select("doc_id", "pos", "a.*")
+
+
+@query()
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir, LEGAL).withColumn("e", entities.extract_spans("text")).withColumn("marks", explain.annotations(F.col("text"), F.col("e")))
+    return rows.select("doc_id", F.md5(explain.highlight_markdown(F.col("text"), F.col("marks"))).alias("markdown"), F.md5(explain.highlight_html(F.col("text"), F.col("marks"))).alias("html"))
+
+
+@query("SELECT event_id, round(CASE WHEN value - 50 BETWEEN 0 AND 1 THEN value - 50 ELSE 1 / (1 + exp(-(value - 50))) END, 6) AS shown FROM events")
+def display_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.round(explain.display_score(F.col("value") - 50), 6).alias("shown"))
+
+
+@query()
+def entity_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.legend(spark)
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------------
+
+_HITS = f"WITH {_BM25}, r AS (SELECT query_id, id, rank FROM bt WHERE rank <= 10), rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance by containment: the items are the stated queries, counted before they are broadcast."""
+    docs, q = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    relevant = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(vectors._checked(q), F.contains("t", F.col("text"))).select("query_id", "id")
+    return evaluate.retrieval_metrics(lexical.top_k(_bm25(spark, sf_dir), 10), relevant, q)
+
+
+@query(
+    f"{_HITS}, g AS (SELECT r.query_id, count(*) FILTER (rank <= 5) AS n, count(rel.id) FILTER (rank <= 5) AS h FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.id = rel.id GROUP BY 1), k AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1) "
+    "SELECT item_id AS query_id, round(coalesce(h / nullif(n, 0)::DOUBLE, 0), 6) AS precision, round(coalesce(h / total::DOUBLE, 0), 6) AS recall FROM benchmark LEFT JOIN g ON item_id = g.query_id LEFT JOIN k ON item_id = k.query_id"
+)
+def precision_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).select("query_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"{_HITS}, f AS (SELECT r.query_id, min(rank) AS first FROM r JOIN rel ON r.query_id = rel.query_id AND r.id = rel.id GROUP BY 1) SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM benchmark LEFT JOIN f ON item_id = query_id")
+def mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.mean_reciprocal_rank(_metrics(spark, sf_dir)).select(F.round("mrr", 6).alias("mrr"))
+
+
+@query(
+    f"{_M}, s AS (SELECT DISTINCT doc_id, lower(text) AS x, label FROM m), p AS (SELECT * FROM s WHERE label IN ('COURT', 'STATUTE', 'ACT')), g AS (SELECT * FROM s WHERE label IN ('COURT', 'JUDGE', 'ACT')), "
+    "n AS (SELECT doc_id, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id)::DOUBLE AS a, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::DOUBLE AS b, (SELECT count(*) FROM p WHERE p.doc_id = d.doc_id AND p.label <> 'STATUTE')::DOUBLE AS t FROM documents d), "
+    "f AS (SELECT doc_id, t / a AS p, t / b AS r FROM n) SELECT doc_id, floor(p * 10000 + 0.5) / 10000 AS precision, floor(r * 10000 + 0.5) / 10000 AS recall, floor(2 * p * r / (p + r) * 10000 + 0.5) / 10000 AS f1 FROM f"
+)
+def entity_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = F.flatten(F.transform(entities.label_matches("text"), lambda m: F.transform(m["texts"], lambda t: F.struct(t.alias("text"), m["label"].alias("label")))))
+    rows = documents(spark, sf_dir, LEGAL).select("doc_id", every.alias("es"))
+    some = lambda *labels: F.filter("es", lambda e: e["label"].isin(*labels))
+    return rows.select("doc_id", evaluate.entity_f1(some("COURT", "STATUTE", "ACT"), some("COURT", "JUDGE", "ACT")).alias("f")).select("doc_id", "f.*")
+
+
+@query()
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir)
+    return t.select("query_id", evaluate.rouge_l(F.col("answer"), F.concat_ws(" ", "before", "question")).alias("r")).select("query_id", "r.*")
+
+
+_CONTEXTS = "CASE WHEN before IS NULL THEN [question] ELSE [question, before] END"
+
+
+def _with_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).withColumn("contexts", F.when(F.col("before").isNull(), F.array("question")).otherwise(F.array("question", "before")))
+
+
+@query(f"WITH t AS ({_TURNS}), w AS (SELECT query_id, {_WORDS.format(t='answer')} AS a, {_WORDS.format(t=f'array_to_string({_CONTEXTS}, chr(32))')} AS c FROM t) SELECT query_id, CASE WHEN len(a) > 0 THEN floor(len(list_intersect(a, c))::DOUBLE / len(a) * 10000 + 0.5) / 10000 ELSE 0 END AS faithfulness FROM w")
+def faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_contexts(spark, sf_dir).select("query_id", evaluate.faithfulness(F.col("answer"), F.col("contexts")).alias("faithfulness"))
+
+
+@query(f"WITH t AS ({_TURNS}), w AS (SELECT query_id, {_WORDS.format(t='question')} AS q, {_WORDS.format(t='answer')} AS a, {_WORDS.format(t='before')} AS b, before FROM t) SELECT query_id, floor(((len(list_intersect(q, a)) > 0)::INT + (CASE WHEN before IS NULL THEN 0 ELSE (len(list_intersect(q, b)) > 0)::INT END))::DOUBLE / (CASE WHEN before IS NULL THEN 1 ELSE 2 END) * 10000 + 0.5) / 10000 AS precision FROM w")
+def context_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contexts = F.when(F.col("before").isNull(), F.array("answer")).otherwise(F.array("answer", "before"))
+    return _turns(spark, sf_dir).select("query_id", evaluate.context_precision(F.col("question"), contexts).alias("precision"))
+
+
+_CHECKSTOP = "['the', 'a', 'an', 'is', 'are', 'was', 'were', 'in', 'of', 'to', 'for', 'and', 'or', 'not', 'with', 'that', 'this']"
+_HCLAIMS = r"list_filter(" + _SENTENCES.format(t=r"regexp_replace(regexp_replace(coalesce(nullif(answer, ''), ''), '\*\*.*?\*\*', '', 'g'), '\[.*?\]', '', 'g')") + ", lambda s: length(s) > 20 AND NOT starts_with(s, 'Note'))"
+
+
+@query(
+    f"WITH t AS ({_TURNS}), h AS (SELECT query_id, {_HCLAIMS} AS cs, concat_ws(' ', question, before) AS ev FROM t), c AS (SELECT query_id, unnest(cs) AS claim, ev FROM h), "
+    f"w AS (SELECT query_id, list_filter({_WORDS.format(t='claim')}, lambda w: NOT list_contains({_CHECKSTOP}, w)) AS cw, {_WORDS.format(t='ev')} AS ew, ev FROM c), l AS (SELECT query_id, trim(ev) <> '' AND len(cw) > 0 AND len(list_intersect(cw, ew))::DOUBLE / nullif(len(cw), 0) >= 0.6 AS good FROM w), "
+    "g AS (SELECT query_id, count(*) AS n, count(*) FILTER (good) AS s FROM l GROUP BY 1) SELECT h.query_id, coalesce(n, 0) AS total_claims, coalesce(s, 0) AS supported, coalesce(n - s, 0) AS unsupported, coalesce(floor((n - s)::DOUBLE / n * 10000 + 0.5) / 10000, 0) AS hallucination_rate FROM h LEFT JOIN g ON h.query_id = g.query_id"
+)
+def hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir).select("query_id", F.lit("").alias("simple_answer"), F.col("answer").alias("answer_text"), F.concat_ws(" ", "question", "before").alias("evidence"))
+    return evaluate.hallucination(t)
+
+
+@query(f"WITH t AS ({_TURNS}), w AS (SELECT {_WORDS.format(t='answer')} AS a, {_WORDS.format(t=f'array_to_string({_CONTEXTS}, chr(32))')} AS c FROM t WHERE question <> '' AND answer <> ''), f AS (SELECT CASE WHEN len(a) > 0 THEN floor(len(list_intersect(a, c))::DOUBLE / len(a) * 10000 + 0.5) / 10000 ELSE 0 END AS f FROM w) SELECT count(*) AS total_samples, round(avg(f), 3) AS faithfulness_mean FROM f")
+def eval_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_contexts(spark, sf_dir).withColumn("reference_answer", F.lit(None).cast("string"))
+    return evaluate.evaluate_dataset(rows).select("total_samples", F.round("faithfulness_mean", 3).alias("faithfulness_mean"))
+
+
+# --- corpus ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"{_M} SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT round(avg(length(t)), 1) FROM d) AS avg_chunk_chars, (SELECT max(length(t)) FROM d) AS max_chunk_chars, (SELECT count(*) FROM m) AS total_entities, (SELECT count(DISTINCT (source, lang)) FROM documents) AS distinct_pages")
+def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("lang").alias("page_num"), F.expr(LEGAL).alias("text"))
+    names = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".txt")).alias("doc_name")).distinct()
+    return corpus.metrics(chunks, mentions(spark, sf_dir), names).select("total_chunks", "avg_chunk_chars", "max_chunk_chars", "total_entities", "distinct_pages")
+
+
+@query("SELECT source AS doc_name, count(*) AS chunks, count(DISTINCT (lang, 'x')) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def metrics_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.by_document(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("lang").alias("section"), F.lit("x").alias("section_num"), "text"))
+
+
+@query()
+def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, _SECTIONED).select(F.col("doc_id").cast("string").alias("doc_name"), F.col("text").alias("raw"), T.clean("text").alias("clean"))
+    chunks = chunking.chunk_documents(docs.select("doc_name", F.col("clean").alias("text")))
+    rows = corpus.traces(docs, chunks)
+    return rows.select("doc_name", "raw_chars", "clean_chars", "total_chunks", F.size("chunk_samples").alias("samples"), F.array_join("section_titles", "|").alias("titles"))
+
+
+@query(f"{_M} SELECT doc_id AS doc_name, count(*) AS total, count(DISTINCT label) AS n_labels FROM m GROUP BY 1")
+def trace_entity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mentions(spark, sf_dir).select(F.col("chunk_id").alias("doc_name"), F.lit(0).alias("chunk_index"), "pos", "label", "text")
+    return corpus.entity_rollup(m).select("doc_name", "total", F.size("by_label").cast("long").alias("n_labels"))
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.latest(table(spark, sf_dir, "events"), by="ts", tie="event_id").select("event_id", "event_type")
+
+
+@query("SELECT doc_id FROM documents WHERE source <> 'src0'")
+def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return index.without_documents(docs, spark.createDataFrame([("src0",)], "source string"), "source").select("doc_id")
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming aggregation, run until all that is there has been read."""
+    import uuid
+
+    from docloom.streaming.ingest import event_counts
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if path.endswith("/") else sf_dir + "/events.parq*")
+    name = f"events_{uuid.uuid4().hex}"
+    started = event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query()
+def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path over legal documents for all items."""
+    from docloom.plans import ingest
+    from docloom.plans import query as plan
+
+    docs = documents(spark, sf_dir, LEGAL).select(F.concat("doc_id", F.lit(".txt")).alias("doc_name"), "text")
+    chunks = materialize(ingest.tagged(ingest.chunks_of(docs)), "chunks")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" under Section 7 of the Indian Penal Code?")).alias("question"))
+    return plan.run(asked, chunks, materialize(index.postings(ingest.mentions_of(chunks)), "postings")).select("query_id", "answer_type", "confidence", "route", "num_sources", "simple_answer", "highlighted")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, EngineConfig
 from docloom.functions.text import clamp, round4
+from docloom.session import materialize
 from docloom.operators import answer, entities, explain, index, lexical, retrieval, vectors
 
 
@@ -37,7 +38,9 @@ def respond(questions: DataFrame, results: DataFrame, chunks: DataFrame, config:
     ranked = retrieval.rerank(results.join(chunks.select(F.col("chunk_id").alias("id"), "text"), "id").join(questions.select("query_id", "question"), "query_id"), config.rerank_top_k, scorer)
     place = "place" if "place" in ranked.columns else "rank"
     passages = ranked.select("query_id", F.col(place).alias("rank"), F.col("id").alias("chunk_id"), "score").join(chunks.select("chunk_id", "text", "doc_name", "page_num", "section", F.lit("local").alias("source"), "entities"), "chunk_id")
-    told = answer.answers(passages, questions)
+    # a few rows per question that five steps read
+    passages = materialize(passages, "passages")
+    told = materialize(answer.answers(passages, questions), "answers")
     mapped = explain.best_sources(explain.claim_table(told.where("answer_type <> 'insufficient_context'")), passages)
     per_claim = mapped.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_idx", "claim", "source_passage_idx", "chunk_id", "similarity", "evidence_snippet"))).alias("claims"))
     seen = passages.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score", "doc_name", "text"))), lambda p: p).alias("ps"), F.flatten(F.collect_list(F.transform("entities", lambda e: e["text"]))).alias("passage_entities"))
@@ -57,9 +60,13 @@ def respond(questions: DataFrame, results: DataFrame, chunks: DataFrame, config:
 
 
 def run(questions: DataFrame, chunks: DataFrame, postings: DataFrame, bm25: lexical.Bm25Index | None = None, dense: DataFrame | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
-    asked = prepared(questions)
-    own = bm25 or lexical.build(chunks, "chunk_id")
-    return respond(asked, retrieve(asked, chunks, own, postings, dense, config), chunks, config)
+    asked = materialize(prepared(questions), "questions")
+    own = bm25
+    if own is None:
+        built = lexical.build(chunks, "chunk_id", config=config)
+        own = lexical.of_postings(materialize(built.postings, "terms"), built.stats, config)
+    found = materialize(retrieve(asked, chunks, own, postings, dense, config), "retrieved")
+    return respond(asked, found, chunks, config)
 
 
 def best_by_vector(chunk_vectors: DataFrame, question_vectors: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:

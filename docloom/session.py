@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -32,6 +33,25 @@ def local_session(cpus: str = "*", name: str = "docloom", **conf: str) -> SparkS
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that all executors share; a temporary one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table of the shared folder and read back: its plan ends there, and lost executors lose nothing."""
+    path = f"{shared_dir(df.sparkSession)}/docloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
