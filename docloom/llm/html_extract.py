@@ -49,21 +49,23 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("ul ol dl table article section main div body html nav footer aside header form".split())
 CLOSES_P = BLOCKS - frozenset("html body head option optgroup td th tr tbody thead tfoot caption li dt dd legend summary".split())
 # Words of class and id names, and roles, that mark what isn't main text.
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond reply replies cookie cookies consent gdpr disclaimer footer foot header masthead menu menus nav navbar navigation newsletter notice notices alert popup modal promo promotion promoted related recommended recommendations share sharing social sidebar side sponsor sponsored subscribe subscription toolbar widget widgets pagination pager skip login signup search disqus paywall copyright hidden".split())
+BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist respond reply replies cookie cookies consent gdpr disclaimer footer foot menu menus nav navbar navigation newsletter notice notices alert popup modal promo promotion promoted related recommended recommendations share sharing social sidebar side sponsor sponsored subscribe subscription toolbar widget widgets pagination pager skip login signup search disqus paywall copyright hidden".split())
+BAD_OUTSIDE = frozenset("header masthead banner".split())  # an article's own header stays
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
 KEPT_BY_NAME = frozenset(["html", "body", "article", "main"])
 
 
-def _marks(rest: str) -> tuple[str, bool]:
+def _marks(rest: str, content: bool) -> tuple[str, bool]:
     """The class and id words of a tag, and whether they mark what isn't main text."""
     if not rest or rest.isspace():
         return "", False
+    bad_words = BAD_WORDS if content else BAD_WORDS | BAD_OUTSIDE
     names, bad = [], False
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             names.append(value)
-            bad = bad or not BAD_WORDS.isdisjoint(_WORDS.findall(value))
+            bad = bad or not bad_words.isdisjoint(_WORDS.findall(value))
         elif key == "role":
             bad = bad or value.strip() in BAD_ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -115,7 +117,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str]], list[str
             block += 1
         if name == "br":
             texts.append((block, content, dropped, " "))
-        names, bad = _marks(m["rest"])
+        names, bad = _marks(m["rest"], content)
         tokens.append(f"{path}<{name} {names}")
         if name in VOID or m["self"]:
             continue

@@ -329,3 +329,10 @@ def test_pipeline(spark, sf):
     assert Counter(r.doc_id for r in frames["sentencepiece"]) == n and all(r.round_trip for r in frames["sentencepiece"])
     rows = corpus_pipeline.run(spark, sf).collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == Counter((r.doc_id, tuple(r.ids)) for r in frames["sentencepiece"])
+
+
+def test_structure_alone():
+    parts = ['<div class="site-header"><p>Top</p></div><main><div class="entry-header"><h1>Title</h1></div>', "<p>One<br>two &mdash; <i>three</i></p><ul><li>a<li>b</ul><table><tr><td>x<td>y</table>", '<div class="share-buttons">Share</div><div role="navigation">Nav</div><p hidden>no</p><noscript>n</noscript>', "<!-- <p>gone</p> --><pre> a  b </pre></main><section id=comments><p>Reader</p></section>"]
+    assert html_extract.main_text("<html><body>" + "".join(parts)) == "Title\n\nOne two — three\n\na\n\nb\n\nx\n\ny\n\na b"
+    assert html_extract.main_text("<div>no article</div><p>but text</p><footer>f</footer>") == "no article\n\nbut text"
+    assert html_extract.main_text("<p>open <b>tags <p>next &am") == "open tags\n\nnext &am"
