@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -40,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docloom-"))
+        own = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
 
