@@ -1,14 +1,13 @@
-"""Helpers shared by the operators of this folder: materialising, counted broadcasts, words and shingles."""
+"""Helpers shared by the operators of this folder: counted broadcasts, words and shingles, Python over texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import materialize as stage
+
 #: Words are runs of anything but space and U+0009..U+000D (JVM and DuckDB regex dialects agree on it).
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if its measured rows times its row width stay below this.
@@ -19,27 +18,6 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where none is (tests, local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        base = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.sparkContext.setCheckpointDir(base)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df marked for broadcast if its counted rows fit BROADCAST_BYTES, else df as it is (a shuffled join)."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

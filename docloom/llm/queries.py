@@ -75,6 +75,21 @@ x AS (SELECT source, (f + m * s) / (n + s) >= 0.9 AS host_rejected FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
 """
 
+def license_sql() -> str:
+    """The exact containment of every template in every window of its scale."""
+    rows = ", ".join(f"('{name}', '{words}', {m}, {scale})" for name, words, m, scale in license_scan.template_shingles(license_scan.TEMPLATES))
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {rows}) AS v(license, shingle, m, scale)),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS p FROM w WHERE len(ws) >= 5),
+g AS (SELECT doc_id, p, concat_ws(' ', ws[p + 1], ws[p + 2], ws[p + 3], ws[p + 4], ws[p + 5]) AS shingle FROM s),
+x AS (SELECT doc_id, license, m, p, shingle, unnest([p // scale, greatest(p // scale - 1, 0)]) AS win FROM g JOIN t USING (shingle)),
+c AS (SELECT doc_id, license, win, count(DISTINCT shingle) / m::DOUBLE AS containment, min(p) AS p FROM x GROUP BY doc_id, license, win, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, win) AS r FROM c WHERE containment >= 0.8)
+SELECT doc_id, license, containment, p AS "at" FROM r WHERE r = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries have no SQL: iterative graphs, suffix arrays, learned models and Python's regular expressions."""
-    return {"op10_quality_rules": RULES_SQL}
+    return {"op6_license_scan": license_sql(), "op10_quality_rules": RULES_SQL}
