@@ -53,6 +53,7 @@ def test_route(spark):
     get = lambda c: row.select(c.alias("x")).first().x
     lits = lambda *xs: F.array(*map(F.lit, xs)).cast("array<double>")
     assert get(answer.route_confidence(lits(1.0, 0.5))) == pytest.approx(0.8333) and get(answer.route_confidence(lits())) == 0.0
+    assert tuple(get(answer.route_info(lits(0.2), True))) == (0.2, 0.75, True, "web_search")
     assert get(answer.route(F.lit(0.5), True)) == "web_search" and get(answer.route(F.lit(0.5))) == "local"
 
 
