@@ -146,6 +146,17 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
+def run_lengths(terms: Column) -> Column:
+    """array of (term, tf): how often each term is in an array, by sorting it: n log n, no shuffle."""
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        ends = lambda at: F.transform(at, lambda p, k: F.struct(F.element_at(s, p).alias("term"), (F.coalesce(F.try_element_at(at, (k + 2).cast("int")), F.size(s) + 1) - p).cast("long").alias("tf")))
+        return let(starts, ends)
+
+    return F.when(F.size(terms) > 0, let(F.array_sort(terms), counted))
+
+
 def word_set(c: Column | str) -> Column:
     """Distinct white-space separated words, lower-cased."""
     return F.array_distinct(words(c))

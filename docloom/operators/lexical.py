@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS, EngineConfig
-from docloom.functions.text import tokens
+from docloom.functions.text import run_lengths, tokens
 from docloom.operators.vectors import best, min_max
 
+#: Query terms (with repeats over queries) up to which they are broadcast.
+MAX_TERMS = 500_000
+
 
 @dataclass(frozen=True)
 class Bm25Index:
@@ -25,13 +28,22 @@ class Bm25Index:
 
 
 def build(corpus: DataFrame, key: str = "id", text: str = "text", config: EngineConfig = DEFAULTS) -> Bm25Index:
-    """Index of a corpus. Persist `postings` (or write it) to query it more than once."""
-    counted = corpus.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    postings = counted.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    return of_postings(postings, counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), config)
+    """Index of a corpus. A document's terms are counted within its row, so postings need no shuffle.
+
+    Write `postings` and continue with `of_postings` to read the texts once only.
+    """
+    held = corpus.select(F.col(key).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    counted = held.select("id", F.size("tokens").cast("long").alias("dl"), F.explode(run_lengths(F.col("tokens"))).alias("t"))
+    return of_postings(counted.select("t.term", "id", "dl", "t.tf"), document_count(corpus), config)
+
+
+def document_count(corpus: DataFrame) -> DataFrame:
+    return corpus.agg(F.count("*").alias("n"))
 
 
-def of_postings(postings: DataFrame, stats: DataFrame, config: EngineConfig = DEFAULTS) -> Bm25Index:
+def of_postings(postings: DataFrame, documents: DataFrame, config: EngineConfig = DEFAULTS) -> Bm25Index:
+    """documents: n, the number of documents, those without terms included (one row)."""
+    stats = documents.crossJoin(postings.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     # stats is one row
     raw = terms.crossJoin(F.broadcast(stats)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -48,8 +60,11 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 def scores(index: Bm25Index, queries: DataFrame, text: str = "text", config: EngineConfig = DEFAULTS) -> DataFrame:
     """query_id, id, score for every pair with a positive score."""
     k1, b = config.bm25_k1, config.bm25_b
-    wanted = query_terms(queries, text).join(index.weights, "term")
-    rows = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats))
+    wanted = query_terms(queries, text)
+    # the queries' terms are counted; if few, postings are cut to them where they lie and are not shuffled
+    few = (lambda df: F.broadcast(df)) if wanted.count() <= MAX_TERMS else (lambda df: df)
+    weighted = index.weights.join(few(wanted), "term").select("query_id", "term", "qtf", "idf")
+    rows = index.postings.join(few(weighted), "term").crossJoin(F.broadcast(index.stats))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 

@@ -458,8 +458,8 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
     """The documents' index with its postings written once: they feed term weights and scores."""
-    built = lexical.build(documents(spark, sf_dir), "doc_id")
-    return lexical.of_postings(materialize(built.postings, "terms"), built.stats)
+    docs = documents(spark, sf_dir)
+    return lexical.of_postings(materialize(lexical.build(docs, "doc_id").postings, "terms"), lexical.document_count(docs))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def run(questions: DataFrame, chunks: DataFrame, postings: DataFrame, bm25: lexi
     own = bm25
     if own is None:
         built = lexical.build(chunks, "chunk_id", config=config)
-        own = lexical.of_postings(materialize(built.postings, "terms"), built.stats, config)
+        own = lexical.of_postings(materialize(built.postings, "terms"), lexical.document_count(chunks), config)
     found = materialize(retrieve(asked, chunks, own, postings, dense, config), "retrieved")
     return respond(asked, found, chunks, config)
 
