@@ -5,9 +5,10 @@ the sum of its paragraphs' vectors modulo powers of two, so it doesn't depend on
 inserted or deleted by adding or subtracting its vector (`combined`).
 
 - EQUAL lanes of 32 bits, from hashes of the whole paragraph: equal texts have equal lanes, others differ.
-- SIGNS lanes of 24 bits: counts of set bits in hashes of the paragraph's runs of up to four words. Read as sums of
-  plus and minus one they are a tug-of-war sketch: their distance estimates how many runs two texts don't share, which
-  gives `likeness` from 0 to 1 without the texts.
+- SIGNS lanes of 24 bits: counts of set bits in hashes of the paragraph's runs of up to four words, one from every word
+  on, so that a word put in or taken out changes only the runs it lies in. Read as sums of plus and minus one they are
+  a tug-of-war sketch: their distance estimates how many runs two texts don't share, which gives `likeness` from 0 to 1
+  without the texts.
 
 The lanes are fast public hashes (xxHash64): made against chance, not against an adversary.
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 EQUAL_SEEDS, SIGN_SEEDS = 8, 2
 EQUAL, SIGNS = 2 * EQUAL_SEEDS, 64 * SIGN_SEEDS
-#: Up to four words of a line, from its start.
-RUN = r"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){0,3}+"
+#: Group 1 has up to four words of a line; only the first is consumed, so that a run starts at every word.
+RUN = r"(?=([^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){0,3}+))[^\x20\x09-\x0D]++"
 _LOW, _PAIR, _SIGN_MASK = 0xFFFFFFFF, 0x100000001, 0xFFFFFF
 
 
@@ -32,7 +33,7 @@ def units(text: Column, side: int = 0) -> Column:
     """The text's hashed parts: array of (side, whole, unit), whole for paragraphs and not for runs of words."""
     t = F.coalesce(text, F.lit(""))
     paragraphs = F.transform(F.split(t, "\n", -1), lambda p: F.struct(F.lit(side).alias("side"), F.lit(True).alias("whole"), p.alias("unit")))
-    runs = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(0)), lambda u: F.struct(F.lit(side).alias("side"), F.lit(False).alias("whole"), u.alias("unit")))
+    runs = F.transform(F.regexp_extract_all(t, F.lit(RUN), F.lit(1)), lambda u: F.struct(F.lit(side).alias("side"), F.lit(False).alias("whole"), u.alias("unit")))
     return F.concat(paragraphs, runs)
 
 

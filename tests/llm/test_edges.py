@@ -89,6 +89,15 @@ def test_fingerprints(docs, nothing):
     assert fingerprint.compared(docs.where("doc_id = 4")).collect()[0].near_next == 1.0
 
 
+def test_fingerprints_of_shifted_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(["new", *words])), (3, " ".join(words[:30] + words[31:])), (4, " ".join(f"v{i}" for i in range(60)))]
+    got = {r.doc_id: r.near_next for r in fingerprint.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] > 0.8 and got[2] > 0.8 and got[3] < 0.4
+    runs = fingerprint.fingerprints(spark.createDataFrame([(1, "a b c d e\n\nf")], "doc_id long, text string")).first().fp.runs
+    assert runs == 6
+
+
 def test_licenses(docs, nothing):
     got = license_scan.licenses(docs).collect()
     assert [(r.doc_id, r.license) for r in got] == [(9, "MIT-short")]
