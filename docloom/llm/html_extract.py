@@ -1,19 +1,25 @@
 """HTML extraction by template deduction over the pages of a host.
 
 Tokens of a page are its tags with their paths and the texts between them with theirs. Per host, tokens that occur in
-the same number in the same pages share an occurrence vector; they form an equivalence class. A class is part of the
-host's template if it has at least `min_class` tokens, spans at least `support` of the host's pages, and is valid:
-its tokens come in one order on every page, so that classes nest. A block all of whose texts are in the template is
-boilerplate; what lies between template tokens are slots. A page's main text are its slots' blocks inside the content
-element, without the elements that hold menus, notices, adverts, forms, scripts and comments.
+the same number in the same pages share an occurrence vector; they form an equivalence class. A class that spans at
+least `support` of the host's different pages goes through two checks, each a pass over all pages:
+
+- order: tokens that leave the class's order on some page are taken out of it, the rest must be at least `min_class`;
+- nesting: of two classes, the instances of one must lie in the same slot (between two neighbours) of the other or
+  outside on all pages. Of two that don't nest, the one on more pages stays, of equal ones the larger.
+
+The classes left nest into the host's template; slots are what lies between their tokens. A page's main text are the
+slots' texts inside the content element, without the elements that hold menus, notices, adverts, forms, scripts and
+comments. A block all of whose texts are template tokens is boilerplate; a text of the same words elsewhere is not.
 
 Occurrence vectors are compared by order-independent sums of hashes of (page, count), so a class is found by grouping
-a host's tokens by that sum; tokens are counted per batch before they are shuffled, and no page list is gathered. A
-host's template has a bounded size (tokens in at least `support` of its pages: the mean tokens of a page over
-support), and templates are broadcast only if all of them are small, else joined by host with salted keys.
+a host's tokens by that sum; tokens are counted per batch before they are shuffled, and no page list is gathered. Equal
+pages of a host count once. A host's template has a bounded size (tokens in at least `support` of its pages: the mean
+tokens of a page over support), and templates are broadcast only if all of them are small, else joined by host with
+salted keys.
 
-Defined cases: null or empty html gives an empty text; pages whose host has fewer than `min_pages` pages have no
-template and are extracted by structure alone; rows with equal ids are extracted one by one; an empty table gives no
+Defined cases: null or empty html gives an empty text; pages whose host has fewer than `min_pages` different pages
+have no template and are extracted by structure alone; rows with equal ids are extracted one by one; an empty table gives no
 rows; other columns are ignored; null urls share the empty host. Unclosed tags end where their parent ends; a comment
 or script without an end runs to the end of the page.
 """
@@ -23,12 +29,13 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, map_texts, stage
+from docloom.llm.common import BROADCAST_BYTES, map_texts, small, stage
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -73,12 +80,12 @@ def _marks(rest: str, content: bool) -> tuple[str, bool]:
     return " ".join(names), bad
 
 
-def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str]], list[str]]:
-    """Texts of a page: (block, in content, dropped, text) in order; and its template tokens in order.
+def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str, str]], list[str]]:
+    """Texts of a page: (block, in content, dropped, text, token) in order; and its template tokens in order.
 
     A block is what block elements or their ends enclose; texts of one block belong together.
     """
-    texts: list[tuple[int, bool, bool, str]] = []
+    texts: list[tuple[int, bool, bool, str, str]] = []
     tokens: list[str] = []
     stack: list[tuple[str, bool, bool, str]] = []  # name, dropped so far, in content so far, path
     block, at, path, dropped, content = 0, 0, "", False, False
@@ -92,8 +99,8 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str]], list[str
 
     def add(text: str) -> None:
         if text and not text.isspace():
-            texts.append((block, content, dropped, text))
             tokens.append(f"{path}#{text.strip()}")
+            texts.append((block, content, dropped, text, tokens[-1]))
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
         add(page[at : m.start()])
@@ -116,7 +123,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str]], list[str
         if name in BLOCKS:
             block += 1
         if name == "br":
-            texts.append((block, content, dropped, " "))
+            texts.append((block, content, dropped, " ", ""))
         names, bad = _marks(m["rest"], content)
         tokens.append(f"{path}<{name} {names}")
         if name in VOID or m["self"]:
@@ -152,18 +159,18 @@ def _hash(token: str) -> int:
 
 
 def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text's blocks, joined by an empty line. template: hashes of the host's boilerplate texts."""
+    """The main text's blocks, joined by an empty line. template: hashes of the host's template tokens that are texts."""
     texts, _ = parse(page)
     some = [t for t in texts if t[1] and not t[2] and not t[3].isspace()]
     if not some:
         some = [t for t in texts if not t[2]]
     whole = some and some[0][1]
     blocks: dict[int, list[str]] = {}
-    own: set[int] = set()  # blocks with a text that isn't the template's
-    for block, content, dropped, text in texts:
+    own: set[int] = set()  # blocks with a text in a slot
+    for block, content, dropped, text, token in texts:
         if not dropped and (content or not whole):
             blocks.setdefault(block, []).append(text)
-            if not text.isspace() and not (template and _hash(text.strip()) in template):
+            if not text.isspace() and not (template and _hash(token) in template):
                 own.add(block)
     joined = (" ".join(html.unescape("".join(parts)).split()) for block, parts in blocks.items() if block in own)
     return "\n\n".join(b for b in joined if b)
@@ -174,9 +181,139 @@ def _host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*", 0))
 
 
-def template_texts(pages: DataFrame, min_pages: int = 8, support: float = 0.5, min_class: int = 3) -> DataFrame:
-    """host, texts: hashes of the texts in valid classes of the host's template."""
-    rows = pages.select(_host_of("url").alias("host"), F.col("html").alias("html"))
+def different(rows: DataFrame) -> DataFrame:
+    """host, html: equal pages of a host once. Only pages that have copies are shuffled, by digest."""
+    marked = rows.withColumn("digest", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256))
+    often = small(stage(marked.groupBy("host", "digest").count().where("count > 1").select("host", "digest"), "copies"), 160)
+    keys = ["host", "digest"]
+    once = marked.join(often, keys, "left_semi").groupBy(*keys).agg(F.first("html").alias("html"))
+    return marked.join(often, keys, "left_anti").select("host", "html").unionByName(once.select("host", "html"))
+
+
+def displaced(places: list[tuple[int, int]], size: int) -> set[int]:
+    """Of a class's (position, count so far) as a page has them, positions out of a longest run in order of all instances."""
+    keys = [n * size + p for p, n in places]
+    if all(a < b for a, b in zip(keys, keys[1:], strict=False)):
+        return set()
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for i, key in enumerate(keys):
+        at = bisect_left(tails, key)
+        before.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [key], [i]
+    kept, i = set(), ends[-1]
+    while i >= 0:
+        kept.add(i)
+        i = before[i]
+    return {p for i, (p, _) in enumerate(places) if i not in kept}
+
+
+def disordered(tokens: list[int], classes: list[list[int]]) -> Counter:
+    """(class, token's position, 0, 0) of tokens that are out of their class's order on a page."""
+    where = {t: (c, p) for c, members in enumerate(classes) for p, t in enumerate(members)}
+    seen: Counter = Counter()
+    places: dict[int, list[tuple[int, int]]] = {}
+    for t in tokens:
+        if t in where:
+            c, p = where[t]
+            places.setdefault(c, []).append((p, seen[t]))
+            seen[t] += 1
+    return Counter((c, p, 0, 0) for c, found in places.items() for p in displaced(found, len(classes[c])))
+
+
+INSIDE, ALL, ACROSS = 0, 1, 2
+
+
+def nesting(tokens: list[int], classes: list[list[int]]) -> Counter:
+    """Instances of ordered classes on a page: (b, a, slot, INSIDE) b's that start in a slot of a, (b, b, 0, ALL) all of b's, (b, a, 0, ACROSS) b's that go on beyond the slot."""
+    where = {t: (c, p) for c, members in enumerate(classes) for p, t in enumerate(members)}
+    facts: Counter = Counter()
+    opened: dict[int, int] = {}  # the slot that each open instance is in, outer ones first
+    for t in tokens:
+        if t not in where:
+            continue
+        c, p = where[t]
+        if p == 0:
+            facts[c, c, 0, ALL] += 1
+            facts.update((c, a, slot, INSIDE) for a, slot in opened.items())
+        elif c in opened:
+            inner = list(opened)
+            facts.update((b, c, 0, ACROSS) for b in inner[inner.index(c) + 1 :])
+        if p == len(classes[c]) - 1:
+            opened.pop(c, None)
+        else:
+            opened[c] = p
+    return facts
+
+
+def ordered_classes(classes: list[list[int]], facts: list, min_class: int) -> list[list[int]]:
+    """The classes without the tokens that are out of order on some page."""
+    out = {(c, p) for c, p, _, _, _ in facts}
+    left = ([t for p, t in enumerate(members) if (c, p) not in out] for c, members in enumerate(classes))
+    return [members for members in left if len(members) >= min_class]
+
+
+def nested_classes(classes: list[list[int]], facts: list, min_class: int) -> list[list[int]]:
+    """The classes, by rank, that nest with all of those before them."""
+    total = {b: n for b, _, _, kind, n in facts if kind == ALL}
+    clash: dict[int, set[int]] = {}
+    for b, a, _, kind, n in facts:
+        if kind == ACROSS or kind == INSIDE and n < total[b]:
+            clash.setdefault(a, set()).add(b)
+            clash.setdefault(b, set()).add(a)
+    kept: set[int] = set()
+    for c in range(len(classes)):
+        if kept.isdisjoint(clash.get(c, ())):
+            kept.add(c)
+    return [classes[c] for c in sorted(kept)]
+
+
+_FACT = "struct<b: int, a: int, slot: int, kind: int, n: bigint>"
+
+
+def _with_host(rows: DataFrame, perhost: DataFrame, width, salts: int, how: str) -> DataFrame:
+    """rows beside their host's row of perhost: broadcast if all of it is small, else by host and salt."""
+    if (perhost.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(perhost), "host", how)
+    salted = perhost.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c != "host")), F.lit(salts)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, ["host", "salt"], how).drop("salt")
+
+
+def _checked(rows: DataFrame, classes: DataFrame, seen, choose, min_class: int, salts: int) -> DataFrame:
+    """host, classes: those that choose leaves of each host, given the sums of what seen counts on each page."""
+    paired = _with_host(rows, classes, F.aggregate("classes", F.lit(64), lambda s, x: s + 8 * F.size(x) + 16), salts, "inner")
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            facts: Counter = Counter()
+            for host, page, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for key, n in seen([_hash(t) for t in parse(page)[1]], held).items():
+                    facts[(host, *key)] += n
+            keys = list(zip(*facts, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[0], pa.string()), *(pa.array(k, pa.int32()) for k in keys[1:]), pa.array(list(facts.values()), pa.int64())],
+                names=["host", "b", "a", "slot", "kind", "n"],
+            )
+
+    counted = paired.select("host", "html", "classes").mapInArrow(count, "host string, b int, a int, slot int, kind int, n long")
+    facts = counted.groupBy("host", "b", "a", "slot", "kind").agg(F.sum("n").alias("n"))
+    facts = facts.groupBy("host").agg(F.collect_list(F.struct("b", "a", "slot", "kind", "n")).alias("facts"))
+    both = classes.join(facts, "host", "left").select("host", F.struct("classes", F.coalesce("facts", F.array().cast(f"array<{_FACT}>")).alias("facts")).alias("both"))
+
+    def left(batch: list) -> list:
+        return [[choose(r["classes"], [tuple(f.values()) for f in r["facts"]], min_class) for r in batch]]
+
+    return map_texts(both, left, "classes array<array<long>>")
+
+
+def template(pages: DataFrame, min_pages: int = 8, support: float = 0.5, min_class: int = 3, salts: int = 16) -> DataFrame:
+    """host, classes: the tokens of the host's nested classes, each in order."""
+    rows = different(pages.select(_host_of("url").alias("host"), F.col("html").alias("html")))
+    sizes = rows.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= min_pages)
 
     def vectors(batches):
         import pyarrow as pa
@@ -186,29 +323,28 @@ def template_texts(pages: DataFrame, min_pages: int = 8, support: float = 0.5, m
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, tokens = parse(page)
                 mark = _hash(page or "")
-                first = {t: i for i, t in reversed(list(enumerate(tokens)))}
-                before = 0
-                for token, n in sorted(Counter(tokens).items(), key=lambda x: first[x[0]]):
+                # in order of their first places
+                for before, (token, n) in enumerate(Counter(tokens).items(), 1):
                     got = counted.setdefault((host, token), [0, 0, 0])
                     got[0] += 1
                     got[1] = (got[1] + _mixed(mark, n)) & 0x7FFFFFFFFFFF
-                    before += 1
                     got[2] += before
             hosts, tokens = [k[0] for k in counted], [k[1] for k in counted]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array([_hash(t) for t in tokens], pa.int64()), pa.array([_hash(t.split("#", 1)[1]) if "#" in t else None for t in tokens], pa.int64()), *(pa.array([v[i] for v in counted.values()], pa.int64()) for i in range(3))],
-                names=["host", "token", "text", "pages", "vector", "place"],
+                [pa.array(hosts, pa.string()), pa.array([_hash(t) for t in tokens], pa.int64()), *(pa.array([v[i] for v in counted.values()], pa.int64()) for i in range(3))],
+                names=["host", "token", "pages", "vector", "place"],
             )
 
-    partial = rows.mapInArrow(vectors, "host string, token long, text long, pages long, vector long, place long")
+    partial = rows.mapInArrow(vectors, "host string, token long, pages long, vector long, place long")
     modulus = F.lit(1 << 47)
-    tokens = partial.groupBy("host", "token").agg(F.first("text").alias("text"), F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), modulus).alias("vector"), F.sum("place").alias("place"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= min_pages)
+    tokens = partial.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), modulus).alias("vector"), F.sum("place").alias("place"))
     often = tokens.where("pages >= 2").join(sizes, "host").where(F.col("pages") >= support * F.col("all"))
-    # a class: one occurrence vector; valid if its tokens' mean places are distinct, so that they have an order
-    classes = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("n"), F.countDistinct("place").alias("places"), F.collect_list("text").alias("texts"))
-    valid = classes.where((F.col("n") >= min_class) & (F.col("places") == F.col("n")))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts")).where(F.size("texts") > 0)
+    # a class: one occurrence vector; if its tokens have one order on all pages, it's that of their places' sums
+    classes = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members")).where(F.col("n") >= min_class)
+    ranked = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("p"), (-F.col("n")).alias("n"), "vector", F.col("members.token").alias("tokens")))).alias("ranked"))
+    found = stage(ranked.select("host", F.col("ranked.tokens").alias("classes")), "classes")
+    found = stage(_checked(rows, found, disordered, ordered_classes, min_class, salts), "ordered")
+    return stage(_checked(rows, found, nesting, nested_classes, min_class, salts), "nested").where(F.size("classes") > 0)
 
 
 def _mixed(mark: int, n: int) -> int:
@@ -219,17 +355,12 @@ def _mixed(mark: int, n: int) -> int:
 
 def extracted(pages: DataFrame, salts: int = 16, **kwargs) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    templates = stage(template_texts(pages, **kwargs), "templates")
+    templates = stage(template(pages, salts=salts, **kwargs).select("host", F.flatten("classes").alias("tokens")), "templates")
     rows = pages.select("page_id", "url", "html", _host_of("url").alias("host"))
-    held = templates.agg(F.sum(F.size("texts") * 8 + 64)).first()[0] or 0
-    if held <= BROADCAST_BYTES:
-        rows = rows.join(F.broadcast(templates), "host", "left")
-    else:
-        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = _with_host(rows, templates, F.size("tokens") * 8 + 64, salts, "left")
 
     def texts(batch: list) -> list:
-        found = [main_text(r["html"], set(r["texts"] or ())) for r in batch]
+        found = [main_text(r["html"], set(r["tokens"] or ())) for r in batch]
         return [found, [len(t) for t in found]]
 
-    return map_texts(rows.select("page_id", "url", F.struct("html", "texts").alias("page")), texts, "text string, n_chars long")
+    return map_texts(rows.select("page_id", "url", F.struct("html", "tokens").alias("page")), texts, "text string, n_chars long")

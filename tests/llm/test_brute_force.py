@@ -304,6 +304,48 @@ def test_template(spark):
     assert got[3] == "Story number 3 is <long> and good"
 
 
+def test_template_order_nesting_and_slots(spark):
+    import random
+
+    rng = random.Random(3)
+    schema = "page_id long, url string, html string"
+
+    def extracted(pages):
+        rows = [(i, f"http://h.com/{i}", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)]
+        return {r.page_id: r.text.split("\n\n") for r in html_extract.extracted(spark.createDataFrame(rows, schema)).collect()}
+
+    # texts in another order on each page are no class, those in one order are
+    pages = []
+    for i in range(30):
+        mixed = ["Red", "Green", "Blue"]
+        rng.shuffle(mixed)
+        pages.append("<p>Top</p><p>Middle</p>" + "".join(f"<p>{x}</p>" for x in mixed) + f"<p>Story {i}</p><p>End</p>")
+    got = extracted(pages)
+    assert all({"Red", "Green", "Blue"} <= set(t) and f"Story {i}" in t for i, t in got.items())
+    assert not any({"Top", "Middle", "End"} & set(t) for t in got.values())
+
+    # the same words outside of the template's place are in a slot
+    got = extracted([f"<div><p>Home</p><p>News</p><p>Mail</p></div><article><p>Story {i}</p><p>Home</p></article>" if i == 5 else f"<div><p>Home</p><p>News</p><p>Mail</p></div><article><p>Story {i}</p></article>" for i in range(12)])
+    assert got[5] == ["Story 5", "Home"] and got[4] == ["Story 4"]
+
+    # copies of one page are one page, no template
+    assert extracted(["<article><p>One</p><p>Two</p></article>"] * 12)[0] == ["One", "Two"]
+
+
+def test_classes_nest():
+    outer, inner = [1, 2, 3], [11, 12, 13]
+    page = [1, 11, 12, 13, 2, 3]
+    facts = lambda classes, *pages: [(*k, n) for k, n in sum((html_extract.nesting(p, classes) for p in pages), Counter()).items()]
+    kept = lambda classes, *pages: html_extract.nested_classes(classes, facts(classes, *pages), 3)
+    assert kept([outer, inner], page, page) == [outer, inner]
+    assert kept([outer, inner], page, [1, 2, 11, 12, 13, 3]) == [outer]  # another slot
+    assert kept([outer, inner], page, [1, 2, 3, 11, 12, 13]) == [outer]  # once outside
+    assert kept([outer, inner], [1, 11, 2, 12, 13, 3]) == [outer]  # across slots
+    assert kept([outer, inner], [1, 11, 12, 13, 11, 12, 13, 2, 3]) == [outer, inner]
+    assert html_extract.disordered([1, 2, 3, 1, 2, 3], [outer]) == Counter()
+    assert html_extract.disordered([1, 3, 2], [outer]).total() == 1 and html_extract.disordered([1, 2, 1, 3, 2, 3], [outer]).total() >= 1
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
