@@ -1,7 +1,7 @@
 """Vector search over tables with a vector column: exact top-k, cells by k-means, embedding plug-ins.
 
-Dot products are taken in double precision. A batch of queries is the small side: it is counted before it is broadcast,
-and larger batches go through in slices.
+Dot products are taken in double precision. A batch of queries is counted before it is broadcast; a larger one is a table
+of its own, joined to the corpus by cell or, where there is no key, partition by partition. Results are the same.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.config import DEFAULTS
+from docloom.session import materialize
 
-#: Queries of one pass over the corpus; their vectors are broadcast.
+#: Queries that are broadcast at most.
 MAX_QUERIES = 10_000
 
 
@@ -53,13 +54,21 @@ def embed(c: Column | str, model: Callable[[], Callable[[pd.Series], pd.Series]]
 
 def _checked(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
     if queries.count() > most:
-        raise ValueError(f"more than {most} queries in one pass; search in slices")
+        raise ValueError(f"more than {most} queries to broadcast")
     return F.broadcast(queries)
 
 
+def joinable(queries: DataFrame) -> DataFrame:
+    """queries to be joined to all rows: marked for broadcast up to MAX_QUERIES, else written once and not marked."""
+    try:
+        return _checked(queries, MAX_QUERIES)
+    except ValueError:
+        return materialize(queries, "queries")
+
+
 def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id, score for a stated set of queries against all rows. corpus: id, vector; queries: query_id, vector."""
-    q = _checked(queries.select("query_id", F.col("vector").cast("array<double>").alias("qv")))
+    q = joinable(queries.select("query_id", F.col("vector").cast("array<double>").alias("qv")))
     rows = corpus.select("id", F.col("vector").cast("array<double>").alias("cv")).crossJoin(q)
     return rows.select("query_id", "id", dot(F.col("qv"), F.col("cv")).alias("score"))
 
@@ -105,8 +114,8 @@ class CellIndex:
         return rows.withColumn("cell", F.explode(F.transform(F.slice(ranked, 1, k), lambda c: c["cell"])))
 
     def search(self, queries: DataFrame, k: int = DEFAULTS.dense_top_k) -> DataFrame:
-        probing = self._nearest(_checked(queries.select("query_id", "vector")), "query_id", self.probes)
-        rows = self.filed.withColumnRenamed("vector", "cv").join(F.broadcast(probing), "cell")
+        probing = joinable(self._nearest(queries.select("query_id", "vector"), "query_id", self.probes))
+        rows = self.filed.withColumnRenamed("vector", "cv").join(probing, "cell")
         return best(rows.select("query_id", "id", dot(F.col("vector"), F.col("cv")).alias("score")), k)
 
 

@@ -788,9 +788,9 @@ _HITS = f"WITH {_BM25}, r AS (SELECT query_id, id, rank FROM bt WHERE rank <= 10
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevance by containment: the items are the stated queries, counted before they are broadcast."""
+    """Relevance by containment: the items are the stated queries, broadcast only if counted and few."""
     docs, q = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
-    relevant = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(vectors._checked(q), F.contains("t", F.col("text"))).select("query_id", "id")
+    relevant = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(vectors.joinable(q), F.contains("t", F.col("text"))).select("query_id", "id")
     return evaluate.retrieval_metrics(lexical.top_k(_bm25(spark, sf_dir), 10), relevant, q)
 
 

@@ -54,6 +54,26 @@ def test_vector_search(spark):
         vectors._checked(asked, 3)
 
 
+def test_more_queries_than_are_broadcast(spark, sf, monkeypatch):
+    from docloom.plans import catalog
+
+    v = np.random.default_rng(4).normal(size=(200, 8))
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>").cache()
+    asked = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    cells = vectors.CellIndex(corpus)
+    runs = (lambda: vectors.search(corpus, asked, 5), lambda: cells.search(asked, 5), lambda: catalog.precision_recall_at_k(spark, sf), lambda: catalog.mrr(spark, sf))
+    want = [sorted(map(repr, f().collect())) for f in runs]
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vectors.search(corpus, asked, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Broadcast" not in plan
+        assert [sorted(map(repr, f().collect())) for f in runs] == want and all(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_fallback_vectors(spark):
     got = [r.v for r in spark.createDataFrame([("a",), ("a",), ("b",)], "t string").select(vectors.embed_fallback("t", 16).alias("v")).collect()]
     assert got[0] == got[1] != got[2] and sum(x * x for x in got[0]) == pytest.approx(1, abs=1e-5)
