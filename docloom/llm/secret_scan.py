@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +73,9 @@ def linked_spans(text: str, base: list[Span], scope: int = 400) -> list[Span]:
 
     secrets = bare + [s for s in base if s[1] in (0, 2)]
     kept = joined(ids, secrets) + joined(bare, ids, strong_ids) + joined(ends, ids, strong_ids, secrets)
-    by_start = [(s[0], s[2]) for s in base]
-    return sorted({s for s in kept if not any(a <= s[0] and s[2] <= b for a, b in by_start[: bisect_left(by_start, (s[0] + 1, 0))][-3:])})
+    # s is inside a base span if one that starts no later reaches its end
+    starts, reach = [s[0] for s in base], [0, *accumulate((s[2] for s in base), max)]
+    return sorted({s for s in kept if reach[bisect_right(starts, s[0])] < s[2]})
 
 
 def mixed(token: str) -> bool:
