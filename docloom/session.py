@@ -36,12 +36,14 @@ def local_session(cpus: str = "*", name: str = "docloom", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that all executors share; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir that all executors share. Where none is set, a local master gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="docloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -56,11 +58,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame | None) -> None:
+    """Delete the table that materialize() wrote for df, once nothing reads it any more."""
+    if df is None:
+        return
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        if path.getParent().getName() == "docloom":
+            path.getFileSystem(conf).delete(path, True)
+
+
+#: Rows of an Arrow batch that a Python worker gets, where the session doesn't set it: long texts add up.
+ARROW_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for the whole session, unless it has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's source as an archive, once per application, unless PYTHONPATH already has it."""
+    """Give the executors this package's source as an archive, once per application, unless PYTHONPATH already has it.
+
+    Every registered query starts here, so the bound on Arrow batches holds for all of a session's steps.
+    """
+    bound_batches(spark)
     context = spark.sparkContext
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if context.applicationId in _shipped or str(ROOT.parent) in paths:
