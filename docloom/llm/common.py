@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import bound_batches
 from docloom.session import materialize as stage
 
 #: Words are runs of anything but space and U+0009..U+000D (JVM and DuckDB regex dialects agree on it).
@@ -14,8 +15,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 #: Arrow bytes that a Python function gets as objects at a time.
 SLICE_BYTES = 4 << 20
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -85,15 +84,14 @@ def map_texts(rows: DataFrame, fn, fields: str, keep: bool = False, done=None) -
     """rows' columns, the last of which holds texts and goes unless kept, beside what fn makes of each batch of texts.
 
     fn takes a list of str or None and returns one list per field. Arrow batches keep ids exact, nulls included; where
-    the session doesn't set their size, they get BATCH_ROWS rows, so that long texts don't add up. done is called at a
+    the session doesn't set their size, bound_batches() does, so that long texts don't add up. done is called at a
     task's end; then the worker, which lives on, gives back what it has freed.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    if rows.sparkSession.conf.get(_BATCH, None) is None:
-        rows.sparkSession.conf.set(_BATCH, BATCH_ROWS)
+    bound_batches(rows.sparkSession)
     last = len(rows.columns) - 1
     kept = rows.schema.fields if keep else rows.schema.fields[:-1]
     schema = StructType([*kept, *_parse_datatype_string(fields).fields])

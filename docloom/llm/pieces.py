@@ -9,8 +9,10 @@ split differently beside the last piece of the rest. Two neighbours stand if, un
 one, no pair that touches across the border would have merged earlier. So the result is the one that merging by
 score gives, without merging.
 
-Characters without a piece become byte pieces. Runs of two spaces or more, whose pieces' scores don't follow their merge
-order, and runs that the relaxation leaves open, are merged directly.
+Characters without a piece become byte pieces. Of a run with two spaces or more the last space and the word are matched;
+the spaces before it are left over after all other merges (checked when the vocabulary is read) and are joined from the
+left. Long runs are cut where no piece holds the two characters that meet, since nothing merges there. Runs that the
+relaxation leaves open, and space runs of a vocabulary that joins them earlier, are merged directly.
 
 Defined cases: null and empty texts have no pieces; U+2581 itself decodes as a space (it is what a space is written
 as); whole texts are encoded; an empty table gives no rows; other columns are ignored; equal ids are encoded one by
@@ -20,6 +22,7 @@ one. Decoding returns the text exactly (but for U+2581).
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from functools import lru_cache
 from itertools import chain
@@ -33,6 +36,8 @@ from docloom.llm.common import map_texts
 SPACE = "▁"
 #: Runs kept by a worker before it lets rare ones go, characters of text split at once, and of runs indexed at once.
 KEPT_RUNS, CHUNK_CHARS, INDEX_CHARS = 100_000, 2_000_000, 200_000
+#: Runs beyond this are cut before they are indexed; the pieces are the same.
+CUT_CHARS = 64
 _RANK = np.int64(1) << 40
 _UNKNOWN = -1
 
@@ -76,6 +81,11 @@ class Vocabulary:
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
         self._pair_table()
         inner = {c for p in self.ids if len(p) > 1 for c in p}
+        #: Pairs of characters that some piece holds.
+        self.met = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        wide = [p for p in self.ids if SPACE in p[1:]]
+        #: Whether several spaces merge among themselves only, and after all that a space and a word make.
+        self.spaces_last = all(not p.strip(SPACE) for p in wide) and min((self.rank[p] for p in wide), default=math.inf) > max((self.rank[p] for p in self.ids if len(p) > 1 and p[0] == SPACE and p not in wide), default=0)
         #: Runs: spaces with the word after them; a line break that no piece holds stands alone.
         alone = "" if "\n" in inner else "\n"
         self.runs = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + ("|\n" if alone else ""))
@@ -87,7 +97,16 @@ class Vocabulary:
             codes[k, : len(self.pieces[i])] = np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32)
         self.codes = codes
         self.lengths = np.array([len(self.pieces[i]) for i in self.usable], np.int64)
-        self.single = {self.pieces[i] for i in self.usable if len(self.pieces[i]) == 1}
+
+    def cut(self, run: str) -> list[str]:
+        """A run in parts that no merge joins."""
+        at = [0, *(k for k in range(1, len(run)) if run[k - 1 : k + 1] not in self.met), len(run)]
+        return [run[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def direct(self, text: str) -> np.ndarray:
+        """Piece ids by merging, unknown characters as their bytes."""
+        parts, _ = self.merged(text)
+        return np.array(list(chain.from_iterable([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()] for p in parts)), np.int32)
 
     def merged(self, text: str) -> tuple[list[str], tuple[int, int] | None]:
         """Byte-pair merging by score, leftmost first among equals: the parts, and the ids of the last merge."""
@@ -195,7 +214,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty_like(step)
         rank[order] = np.cumsum(step)
         ahead = np.zeros(len(rank), np.int64)
-        ahead[: len(rank) - have] = rank[have:]
+        ahead[: max(0, len(rank) - have)] = rank[have:]
         key = rank << 31 | ahead
         order = np.argsort(key)
         have *= 2
@@ -227,24 +246,25 @@ def piece_ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengt
 
 def encode_runs(runs: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all runs one after another (unknown characters as their bytes), and each run's count."""
-    direct = {k for k, r in enumerate(runs) if SPACE in r[1:] or len(r) > 2000}
-    some = [r for k, r in enumerate(runs) if k not in direct]
-    ids, counts, failed = _relaxed(some, vocab) if some else (np.empty(0, np.int32), np.empty(0, np.int64), [])
-    if not direct and not failed:
+    wide = [k for k, r in enumerate(runs) if SPACE in r[1:]]
+    words = list(runs)
+    for k in wide if vocab.spaces_last else ():
+        words[k] = SPACE + runs[k].lstrip(SPACE)
+    ids, counts, failed = _relaxed(words, vocab)
+    if not wide and not failed:
         return ids, counts
-    made: dict[int, np.ndarray] = {}
-    place = [k for k in range(len(runs)) if k not in direct]
-    for k in [*direct, *(place[f] for f in failed)]:
-        parts, _ = vocab.merged(runs[k])
-        made[k] = np.array(list(chain.from_iterable([vocab.ids[p]] if p in vocab.ids else [vocab.bytes[b] for b in p.encode()] for p in parts)), np.int32)
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    every = [made[k] if k in made else None for k in range(len(runs))]
-    n = 0
-    for k in range(len(runs)):
-        if k not in direct:
-            if every[k] is None:
-                every[k] = ids[starts[n] : starts[n + 1]]
-            n += 1
+    upto = np.concatenate(([0], np.cumsum(counts)))
+    every = [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
+    for k in failed:
+        every[k] = vocab.direct(words[k])
+    for k in wide:
+        if not vocab.spaces_last:
+            every[k] = vocab.direct(runs[k])
+            continue
+        # the last space is one of the others if its word didn't take it
+        alone = every[k][0] == vocab.ids.get(SPACE, _UNKNOWN)
+        spaces = SPACE * (len(runs[k]) - len(words[k]) + int(alone))
+        every[k] = np.concatenate([vocab.direct(spaces), every[k][int(alone) :]])
     return np.concatenate(every), np.array([len(e) for e in every], np.int64)
 
 
@@ -272,7 +292,8 @@ def _relaxed(runs: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     begin, end, ids = np.concatenate([begin, bare]), np.concatenate([end, bare + 1]), np.concatenate([ids, np.full(len(bare), _UNKNOWN, np.int32)])
 
     # relax: all edges that end at the same offset of their runs together
-    step = (offset[begin] + end - begin).astype(np.uint16)
+    step = offset[begin] + end - begin
+    step = step.astype(np.uint16 if step.max(initial=0) < 1 << 16 else np.int32)
     sort = np.argsort(step, kind="stable")
     begin, end, ids = begin[sort], end[sort], ids[sort]
     last = np.full(n + 1, -2, np.int64)  # the piece that ends at a position; -2 none, -3 a run's start
@@ -322,7 +343,10 @@ class Encoder:
         self.ids, self.starts, self.met = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def runs(self, text: str | None) -> list[str]:
-        return self.vocab.runs.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        found = self.vocab.runs.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if max(map(len, found), default=0) <= CUT_CHARS:
+            return found
+        return list(chain.from_iterable([r] if len(r) <= CUT_CHARS or SPACE in r[1:] else self.vocab.cut(r) for r in found))
 
     def forget(self, most: int = KEPT_RUNS // 2, often: int = 2) -> None:
         """Keep the runs that were met so often, the first `most` of them."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -46,15 +46,10 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _near(span: Span, others: list[Span], starts: list[int], longest: int, scope: int) -> bool:
-    """Whether one of others (sorted, no longer than longest) lies within scope of span."""
-    low, high = span[0] - scope, span[2] + scope
-    k = bisect_left(starts, low - longest)
-    while k < len(others) and starts[k] <= high:
-        if others[k][2] >= low and others[k][:2] != span[:2]:
-            return True
-        k += 1
-    return False
+def _near(span: Span, starts: list[int], reach: list[int], scope: int) -> bool:
+    """Whether a part lies within scope of span: of those that start in time, by start, the one that reaches farthest."""
+    at = bisect_right(starts, span[2] + scope)
+    return at > 0 and reach[at - 1] >= span[0] - scope
 
 
 def linked_spans(text: str, base: list[Span], scope: int = 400) -> list[Span]:
@@ -68,8 +63,8 @@ def linked_spans(text: str, base: list[Span], scope: int = 400) -> list[Span]:
 
     def joined(some: list[Span], *parts: list[Span]) -> list[Span]:
         others = sorted(x for part in parts for x in part)
-        starts, longest = [x[0] for x in others], max((x[2] - x[0] for x in others), default=0)
-        return [s for s in some if _near(s, others, starts, longest, scope)]
+        starts, reach = [x[0] for x in others], list(accumulate((x[2] for x in others), max))
+        return [s for s in some if _near(s, starts, reach, scope)]
 
     secrets = bare + [s for s in base if s[1] in (0, 2)]
     kept = joined(ids, secrets) + joined(bare, ids, strong_ids) + joined(ends, ids, strong_ids, secrets)
