@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import bound_batches
+from docloom.session import bound_batches, discard  # noqa: F401
 from docloom.session import materialize as stage
 
 #: Words are runs of anything but space and U+0009..U+000D (JVM and DuckDB regex dialects agree on it).
@@ -22,6 +22,28 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows of one key that a join leaves in one part.
+HOT_ROWS = 500
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """many joined with one (a row per key) by key. Keys of more than HOT_ROWS rows are dealt to so many parts that each
+    has about HOT_ROWS, and their row of one is repeated for every part. many should be a written table, since its keys
+    are counted; hot (key, count) saves that.
+    """
+    counted = many.groupBy(key).count() if hot is None else hot
+    hot = stage(counted.where(F.col("count") > HOT_ROWS).select(key, F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("__parts")), "hot")
+    n = hot.count()
+    if not n:
+        return many.join(one, key, how)
+    hot = F.broadcast(hot) if n * 48 <= BROADCAST_BYTES else hot
+    parts = F.coalesce("__parts", F.lit(1))
+    part = F.pmod(F.xxhash64(*many.columns), parts).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("__part", part).drop("__parts")
+    repeated = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(repeated, [key, "__part"], how).drop("__part")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

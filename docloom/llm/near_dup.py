@@ -3,18 +3,22 @@
 1. Each text becomes the set of its distinct k-word shingles (64-bit hashes), minima of multiply-shift universal
    hashes, and keys of `rows` minima each; as many that a pair at the threshold shares none with a probability of at
    most MISS.
-2. Equal sets are one class, found by a 128-bit digest; only a class's representative goes on. So copies cost nothing.
+2. Equal sets are one class, found by a 128-bit digest; only a class goes on, under a number of its own. So copies cost
+   nothing, and documents are told apart by their texts, whatever their ids are.
 3. Every member of a key is compared with the key's head (a star, not all pairs): the member that shares the most
    keys with others. Confirmed links are joined to components.
 4. Keys whose members still lie in different components get the rest: their members are compared in blocks by the
    stored signature, each pair in the first key that it shares. Pairs across components whose estimate is within five
    standard deviations of the threshold are confirmed on the full sets: few pairs of a block by a join, many within
    the block, to which its members then bring their sets. Nothing is capped, so no link between components is lost.
-5. Components by alternating large-star and small-star over the confirmed links, one table per iteration.
-
-Defined cases: null or empty texts have an empty set, link with nothing and are kept; equal doc_ids share what their
-smallest row class has, row by row; a null doc_id is judged by its class and is kept if its class has no id; an empty
-table gives no rows; other columns are ignored.
+5. Components by alternating large-star and small-star over the confirmed links, one table per iteration. Joins by the
+   head of a star or the centre of a component deal keys of many rows to parts.
+
+Defined cases: null or empty texts have an empty set, link with nothing and are kept; rows that share a doc_id are one
+document, so `near_duplicates` joins the components of their texts; a row without an id has its component's smallest id,
+and is kept if the component has none. `deduplicated` goes by texts alone: it keeps one row of each component, the one
+of the smallest id (a missing one comes last, of equal ones the text of the smaller hash), and all rows of empty texts.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_texts, mix64, shingle_hashes, small, stage, words_of
+from docloom.llm.common import WORD, discard, join_hot, map_texts, mix64, shingle_hashes, small, stage, words_of
 
 #: Members of a key that are compared with each other in one block.
 BLOCK = 500
@@ -94,15 +98,20 @@ def _signatures(k: int, banding: Banding):
     return signed
 
 
+def located(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, h1, h2 (128 bits of the text's hash) and text: the first three find a text again."""
+    t = F.col(text)
+    return docs.select("doc_id", F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), t.alias("text"))
+
+
 def signatures(docs: DataFrame, banding: Banding, text: str = "text", k: int = 3) -> DataFrame:
-    """doc_id, n (set size), set (digest), keys, sig; the last three null for empty sets."""
-    return map_texts(docs.select("doc_id", F.col(text).alias("text")), _signatures(k, banding), "n long, set binary, keys array<long>, sig binary")
+    """doc_id, h1, h2, n (set size), set (digest), keys, sig; the last three null for empty sets."""
+    return map_texts(located(docs, text), _signatures(k, banding), "n long, set binary, keys array<long>, sig binary")
 
 
 def _sets(k: int):
     def sets(texts: list) -> list:
-        found = [shingle_set(t, k) for t in texts]
-        return [[s.tobytes() for s in found], [digest(s) for s in found]]
+        return [[shingle_set(t, k).tobytes() for t in texts]]
 
     return sets
 
@@ -115,20 +124,24 @@ def _both(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def shingle_sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, text: str, k: int) -> DataFrame:
-    """id and shingles (its representative's full set) for ids (id, distinct), from the texts. reps: id, set."""
-    ids = stage(ids, "ids")
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(small(ids, 24), F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = stage(map_texts(rows, _sets(k), "shingles binary, set binary"), "sets")
-    return sets.join(reps.select("id", "set"), ["id", "set"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+def same_text(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h1"] == b["h1"]) & (a["h2"] == b["h2"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """Those (u, v) of pairs whose full sets have 100 * intersection >= percent * union. reps: id, set (digest)."""
+def shingle_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, text: str, k: int) -> DataFrame:
+    """id and shingles (the class's full set) for ids (id, distinct), from the texts."""
+    wanted = stage(ids.join(classes.select("id", "place.*"), "id"), "ids")
+    rows, wanted = located(docs, text), small(wanted, 48)
+    rows = rows.join(wanted, same_text(rows, wanted)).select("id", "text")
+    return stage(map_texts(rows, _sets(k), "shingles binary"), "sets").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """Those (u, v) of pairs whose full sets have 100 * intersection >= percent * union."""
     pairs = stage(pairs, "pairs")
-    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, reps, text, k)
+    sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, classes, text, k)
     u, v = sets.toDF("u", "su"), sets.toDF("v", "sv")
-    joined = pairs.join(v, "v").join(u, "u").select("u", "v", "su", "sv")
+    joined = join_hot(pairs, v, "v").join(u, "u").select("u", "v", "su", "sv")
 
     def check(batches):
         for rows in batches:
@@ -142,24 +155,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, text: str, k:
     return joined.mapInPandas(check, pairs.select("u", "v").schema)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (u, v), by alternating large-star and small-star."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) for every node of edges (u, v), by alternating large-star and small-star.
+
+    Each round shortens every path to a component's smallest node, so the edges settle.
+    """
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = stage(join_hot(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = join_hot(large, least, "u")
         star = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stage(star.distinct(), "small")
+        discard(large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -230,11 +246,11 @@ def _linked(percent: int, minima: int):
     return found
 
 
-def _across(placed: DataFrame, reps: DataFrame, docs: DataFrame, text: str, k: int, banding: Banding) -> DataFrame:
+def _across(placed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k: int, banding: Banding) -> DataFrame:
     """Links (u, v) between components within keys; placed: key, id, n, members, comp."""
     percent, minima = banding.percent, banding.minima
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key").join(reps.select("id", "keys", "sig"), "id")
+    rest = placed.join(split, "key").join(classes.select("id", "keys", "sig"), "id")
     # a large key is dealt to parts, and every two parts are a block: BLOCK members on either side at most, about
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -247,61 +263,95 @@ def _across(placed: DataFrame, reps: DataFrame, docs: DataFrame, text: str, k: i
 
     found = map_texts(gathered(rest), _candidates(percent, minima), f"pairs array<struct<u: long, v: long>>, dense array<struct<{MEMBER}>>")
     found = stage(found, "candidates")
-    sparse = confirmed(found.select(F.explode("pairs").alias("p")).select("p.u", "p.v"), docs, reps, text, k, percent)
+    sparse = confirmed(found.select(F.explode("pairs").alias("p")).select("p.u", "p.v"), docs, classes, text, k, percent)
     dense = found.select("key", "bi", "bj", F.explode("dense").alias("m"))
-    sets = shingle_sets(dense.select("m.id").distinct(), docs, reps, text, k)
+    sets = shingle_sets(dense.select("m.id").distinct(), docs, classes, text, k)
     dense = dense.join(sets, F.col("m.id") == F.col("id")).select("key", "bi", "bj", F.col("m").withField("shingles", F.col("shingles")).alias("m"))
     close = map_texts(gathered(dense), _linked(percent, minima), "links array<struct<u: long, v: long>>")
     return sparse.unionByName(close.select(F.explode("links").alias("p")).select("p.u", "p.v"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is its own component's id)."""
-    banding = Banding(percent)
-    signed = stage(signatures(docs, banding, text, k), "signatures")
-    filled = signed.where("n > 0")
-    classes = filled.where("doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("id"))
-    classes = stage(classes, "classes")
-    # a class is represented by its smallest id; classes that share one, by the class of the smallest digest
-    first = classes.groupBy("id").agg(F.min("set").alias("s"))
-    reps = filled.join(first, (F.col("doc_id") == F.col("id")) & (F.col("set") == F.col("s")))
-    reps = stage(reps.select("id", "n", "set", "keys", "sig").dropDuplicates(["id"]), "representatives")
-
-    dealt = reps.select("id", "n", F.explode("keys").alias("key"))
+def _classes(signed: DataFrame) -> DataFrame:
+    """id (a number), set, n, keys, sig, first (smallest doc_id, null if none), place (of one text), count of each set."""
+    first = lambda c: F.first(c).alias(c)
+    found = signed.where("n > 0").withColumn("place", F.struct("doc_id", "h1", "h2")).groupBy("set")
+    found = found.agg(F.min("doc_id").alias("first"), F.count("*").alias("count"), *map(first, ("n", "keys", "sig", "place")))
+    # unique whatever the order of rows; fixed by being written
+    return stage(found.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+
+def _text_links(docs: DataFrame, classes: DataFrame, banding: Banding, text: str, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """Confirmed links (u, v) that join classes to components, and the components if these are all their links."""
+    percent = banding.percent
+    dealt = classes.select("id", "n", F.explode("keys").alias("key"))
     counts = stage(dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
     members = stage(dealt.join(counts, "key").select("key", "id", "n", "members"), "members")
     # a key's head is the member that shares the most keys with others: the text that a group's copies were made from
     company = members.groupBy("id").agg(F.sum("members").alias("company"))
-    ranked = members.join(company, "id").select("key", F.struct("company", (-F.col("id")).alias("id")).alias("rank"))
-    heads = ranked.groupBy("key").agg((-F.max("rank")["id"]).alias("head"))
-    members = stage(members.join(heads, "key"), "headed")
+    ranked = members.join(company, "id").select("key", F.struct("company", (-F.col("id")).alias("id"), "n").alias("rank"))
+    heads = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.id")).alias("head"), F.col("rank.n").alias("hn"))
+    members = stage(join_hot(members, heads, "key", hot=counts.withColumnRenamed("members", "count")), "headed")
     fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    head_sizes = reps.select(F.col("id").alias("head"), F.col("n").alias("hn"))
-    stars = members.where("id <> head").select(F.col("id").alias("u"), F.col("head"), "n").distinct()
-    stars = stars.join(head_sizes, "head").where(fits).select("u", F.col("head").alias("v"))
-    links = stage(confirmed(stars, docs, reps, text, k, percent), "links")
+    stars = members.where("id <> head").where(fits).select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
+    links = stage(confirmed(stars, docs, classes, text, k, percent), "links")
     found = stage(components(links), "components")
 
     # keys whose members are not yet joined
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     placed = stage(placed.select("key", "id", "n", "members", "comp"), "placed")
-    more = stage(_across(placed, reps, docs, text, k, banding), "more")
-    if not more.isEmpty():
-        found = stage(components(links.unionByName(more)), "components")
+    more = stage(_across(placed, classes, docs, text, k, banding), "more")
+    return (links, found) if more.isEmpty() else (links.unionByName(more), None)
+
+
+def _id_links(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (u, v) between classes that a doc_id stands in; None if there is no such id."""
+    rows = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "set")
+    marks = rows.select("doc_id", F.xxhash64("set").alias("m")).groupBy("doc_id").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    shared = stage(marks.where("lo <> hi").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return None
+    rows = stage(rows.join(small(shared, 16), "doc_id").distinct().join(classes.select("set", "id"), "set").select("doc_id", F.col("id").alias("u")), "of_shared")
+    return join_hot(rows, rows.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v")
+
+
+def _judged(docs: DataFrame, text: str, k: int, percent: int, by_id: bool) -> DataFrame:
+    """doc_id, h1, h2, n, comp (a number, null for empty sets), component_id (smallest doc_id, null if none) of every row."""
+    banding = Banding(percent)
+    signed = stage(signatures(docs, banding, text, k), "signatures")
+    classes = _classes(signed)
+    links, found = _text_links(docs, classes, banding, text, k)
+    ids = _id_links(signed, classes) if by_id else None
+    if found is None or ids is not None:
+        found = stage(components(links if ids is None else links.unionByName(ids)), "components")
+    joined = stage(found.join(classes.select(F.col("id").alias("node"), "first"), "node"), "joined")
+    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    joined = join_hot(joined, least, "component").select(F.col("node").alias("id"), "component", "component_id")
+    named = classes.select("id", "set", "first").join(joined, "id", "left")
+    named = named.select("set", F.coalesce("component", "id").alias("comp"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return join_hot(signed.select("doc_id", "h1", "h2", "n", "set"), small(named, 64), "set", "left", hot=classes.select("set", "count")).drop("set")
+
 
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n", "set").join(small(named, 48), "set", "left")
+def near_duplicates(docs: DataFrame, text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is its own component's id)."""
+    rows = _judged(docs, text, k, percent, by_id=True)
     component = F.coalesce("component_id", "doc_id")
-    kept = F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull())
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, component.isNull())
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one whose id names it, once. Rows without an id stay."""
-    marked = near_duplicates(docs, text, k, percent).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    marked = stage(marked, "kept")
-    rows = docs.join(small(marked, 24), F.col("doc_id") == F.col("__id"), "left").where("doc_id IS NULL OR __id IS NOT NULL").drop("__id")
-    if marked.where("__n > 1").isEmpty():
-        return rows.drop("__n")
-    once = rows.where("__n = 1 OR __n IS NULL").drop("__n")
-    return once.unionByName(rows.where("__n > 1").drop("__n").dropDuplicates(["doc_id"]))
+    """docs with one row of each component of texts, and all rows without words."""
+    rows = _judged(docs, text, k, percent, by_id=False).where("comp IS NOT NULL")
+    rows = rows.groupBy("comp", "doc_id", "h1", "h2").agg(F.count("*").alias("times"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", "times")
+    chosen = stage(rows.groupBy("comp").agg(F.min(rank).alias("r")).select("r.*").drop("none"), "chosen")
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    marked = docs.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text), "__words": worded})
+    keys = chosen.select(F.col("doc_id").alias("__id"), F.col("h1").alias("__k1"), F.col("h2").alias("__k2"), F.col("times").alias("__times"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2"))
+    rows = marked.join(small(keys, 64), same, "left").where("NOT __words OR __times IS NOT NULL")
+    if chosen.where("times > 1").isEmpty():
+        return rows.select(*docs.columns)
+    again = (F.col("__times") > 1) & F.col("__words")
+    once = rows.where(~F.coalesce(again, F.lit(False))).select(*docs.columns)
+    return once.unionByName(rows.where(again).dropDuplicates(["doc_id", "__h1", "__h2"]).select(*docs.columns))
