@@ -1,25 +1,28 @@
-"""License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
+"""License scans: MinHash bands over overlapping windows of the text retrieve templates, exact containment verifies them.
 
-Words are runs of letters and digits, lower-cased; shingles are five words. Only shingles that some template has can
-count for a template, so windows are sketched over those alone: a text's shingles are joined with the template
-shingles (a table of fixed size) and the few that match are what windows hold.
+Words are runs of letters and digits, lower-cased; shingles are five words. Templates of similar length share a scale:
+the power of two `s` of at least their shingles. Windows have 2s shingles of the text at a stride of s, so a template of
+up to s shingles lies whole in one of them. With a containment of 0.8 or more the window's similarity to the template is
+0.19 or more, and with 64 bands of one minimum each, none agrees with a probability below 2e-6.
 
-Templates of similar length share a scale: the power of two `s` of at least their shingles. Windows have 2s shingles
-at a stride of s, so a template of up to s shingles lies whole in one of them. A window holds at most 2s template
-shingles; with a containment of 0.8 or more its similarity to the template is 0.19 or more, and with 64 bands of one
-minimum each, none agrees with a probability below 2e-6. Candidates are then verified by exact containment of the
-template's shingle set in the window's.
+A band's key is the window's shingle of the least hash, so a window can agree with a template in a band only if it holds
+the shingle that is the template's own key there. Texts and windows that hold no such shingle are left out before
+anything is sketched: they cannot be retrieved. All shingles of the windows left are sketched, the sketches are joined
+with the templates' by band, and only what that retrieves is verified: the share of the template's shingles that the
+window holds.
+
+Texts are read in one pass without a shuffle; what follows works on the texts that hold a template's key.
 
 Defined cases: null and empty texts and texts below five words match nothing and give no rows; a license found in
-several windows is one row with its best window (the first of equals); rows with equal ids are one document; an empty
-table gives no rows; other columns are ignored. DataFrame functions only.
+several windows is one row with its best window (the first of equals); rows are scanned one by one, whether they share
+an id or have none; an empty table gives no rows; other columns are ignored. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import stage
@@ -59,41 +62,56 @@ def _template_table(spark: SparkSession, templates: dict[str, str], k: int) -> D
     return rows.select("license", F.xxhash64("words").alias("shingle"), "m", "scale")
 
 
-def _minima() -> list:
-    """One minimum of a universal family for each band."""
-    return [F.min(F.xxhash64(F.lit(b), F.col("shingle"))).alias(f"m{b}") for b in range(BANDS)]
+def _hash(band: int, shingle: Column) -> Column:
+    return F.xxhash64(F.lit(band), shingle)
+
+
+def sketched(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, band, minimum: for rows (keys, shingle) the least hash of each group's shingles in every band."""
+    minima = rows.groupBy(*keys).agg(*(F.min(_hash(b, F.col("shingle"))).alias(f"m{b}") for b in range(BANDS)))
+    return minima.select(*keys, F.posexplode(F.array(*(f"m{b}" for b in range(BANDS)))).alias("band", "minimum"))
 
 
-def _banded(df: DataFrame, *keys: str) -> DataFrame:
-    bands = F.array(*(F.xxhash64(F.lit(b), F.col(f"m{b}")) for b in range(BANDS)))
-    return df.select(*keys, F.explode(bands).alias("band"))
+def anchors(known: DataFrame) -> DataFrame:
+    """scale, keys: the shingles that are a band's key of some template (BANDS a template at most)."""
+    hashed = known.select("license", "scale", "shingle", F.posexplode(F.array(*(_hash(b, F.col("shingle")) for b in range(BANDS)))).alias("band", "h"))
+    least = hashed.groupBy("license", "scale", "band").agg(F.min_by("shingle", "h").alias("shingle"))
+    return least.groupBy("scale").agg(F.collect_set("shingle").alias("keys"))
 
 
-def matching(docs: DataFrame, known: DataFrame, text: str = "text", k: int = K) -> DataFrame:
-    """doc_id, at (word number from 0), shingle: the places whose k words some template has."""
+def shingled(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
+    """doc_id and shingles (hashes in order; none below k words)."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     n = F.size("words")
-    shingles = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("words", i, k), " "))))
-    placed = docs.select("doc_id", words.alias("words")).select("doc_id", F.posexplode(shingles).alias("at", "shingle"))
-    # the template table has a fixed size
-    return placed.join(F.broadcast(known.select("shingle").distinct()), "shingle").select("doc_id", F.col("at").cast("long").alias("at"), "shingle")
+    hashes = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("words", i, k), " ")))
+    return docs.select("doc_id", words.alias("words")).select("doc_id", F.when(n >= k, hashes).alias("shingles"))
+
+
+def windows(docs: DataFrame, known: DataFrame, text: str = "text", k: int = K) -> DataFrame:
+    """row (a number), doc_id, scale, window (from 0), held (its shingles): those that hold a template's key."""
+    keys = anchors(known)
+    # one row, and one per scale; both hold BANDS shingles a template at most
+    every = keys.agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("every"))
+    some = shingled(docs, text, k).crossJoin(F.broadcast(every)).where(F.arrays_overlap("shingles", "every"))
+    some = stage(some.select("doc_id", F.monotonically_increasing_id().alias("row"), "shingles"), "licensed")
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.size("shingles") - 1) / F.col("scale")).cast("int")))
+    cut = some.crossJoin(F.broadcast(keys)).withColumn("window", number)
+    cut = cut.withColumn("held", F.slice("shingles", F.col("window") * F.col("scale") + 1, 2 * F.col("scale")))
+    return cut.where(F.arrays_overlap("held", "keys")).select("row", "doc_id", "scale", "window", "held")
 
 
 def licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
-    """doc_id, license, containment, at (the first matching word's number): one row per document and license found."""
+    """doc_id, license, containment, at (the first matching word's number): a row for each license found in a row of docs."""
     known = _template_table(docs.sparkSession, templates or TEMPLATES, K)
-    found = stage(matching(docs, known, text), "shingles")
-    scales = F.broadcast(known.select("scale").distinct())
-    # the scales are a handful of powers of two
-    windowed = found.crossJoin(scales).withColumn("first", F.floor(F.col("at") / F.col("scale")))
-    windowed = windowed.withColumn("window", F.explode(F.array(F.col("first"), F.col("first") - 1))).where("window >= 0 OR first = 0").withColumn("window", F.greatest("window", F.lit(0))).drop("first").distinct()
-
-    sketched = _banded(windowed.groupBy("doc_id", "scale", "window").agg(*_minima()), "doc_id", "scale", "window")
-    template_bands = _banded(known.groupBy("license", "m", "scale").agg(*_minima()), "license", "m", "scale")
-    candidates = sketched.join(F.broadcast(template_bands), ["scale", "band"]).select("doc_id", "scale", "window", "license", "m").distinct()
-
-    hits = windowed.join(F.broadcast(known.select("shingle", "scale", "license")), ["shingle", "scale"])
-    hits = hits.groupBy("doc_id", "scale", "window", "license").agg(F.countDistinct("shingle").alias("shared"), F.min("at").alias("at"))
-    verified = candidates.join(hits, ["doc_id", "scale", "window", "license"]).withColumn("containment", F.col("shared") / F.col("m")).where(F.col("containment") >= containment)
-    best = Window.partitionBy("doc_id", "license").orderBy(F.desc("containment"), "window")
-    return verified.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "license", "containment", "at")
+    cut = stage(windows(docs, known, text), "windows")
+
+    own = sketched(cut.select("row", "scale", "window", F.explode("held").alias("shingle")), "row", "scale", "window")
+    theirs = F.broadcast(sketched(known, "license", "scale"))  # BANDS rows a template
+    candidates = own.join(theirs, ["scale", "band", "minimum"]).select("row", "scale", "window", "license").distinct()
+
+    whole = known.groupBy("license", "m").agg(F.collect_list("shingle").alias("template"))
+    found = candidates.join(cut, ["row", "scale", "window"]).join(F.broadcast(whole), "license")
+    found = found.withColumn("shared", F.array_intersect("held", "template")).withColumn("containment", F.size("shared") / F.col("m")).where(F.col("containment") >= containment)
+    at = F.col("window") * F.col("scale") + F.array_min(F.transform("shared", lambda x: F.array_position("held", x))) - 1
+    best = found.groupBy("row", "doc_id", "license").agg(F.max(F.struct("containment", (-F.col("window")).alias("w"), at.cast("long").alias("at"))).alias("best"))
+    return best.select("doc_id", "license", "best.containment", "best.at")
