@@ -51,7 +51,7 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "host_rejected")
+    columns = ("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "host_rejected", "failed", "host_verdict")
     return quality_rules.judge(documents(spark, sf_dir)).select(*columns)
 
 
@@ -68,11 +68,14 @@ c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i
 m AS (SELECT r, doc_id, source, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars, len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w),
 b AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN c USING (r)),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY 1),
-p AS (SELECT avg(f / n::DOUBLE) AS m, var_pop(f / n::DOUBLE) AS v FROM h),
-s AS (SELECT m, greatest(1.0, least(1e6, CASE WHEN v > 0 THEN m * (1 - m) / v - 1 WHEN m > 0 THEN 1e6 ELSE 0 END)) AS s FROM p),
-x AS (SELECT source, (f + m * s) / (n + s) >= 0.9 AS host_rejected FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept, host_rejected FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source
+d AS (SELECT *, base_failed OR 10 * n_symbols > n_words AS failed, n_words < 100 OR 200 * n_repeat_words > 50 * n_words OR 20 * n_symbols > n_words AS near FROM b),
+h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (failed)::DOUBLE AS f FROM d GROUP BY 1),
+u AS (SELECT sum(n) AS t, sum(f) / sum(n) AS m, sum(f * f / n) AS ff, sum(n * n) AS nn, count(*) AS k FROM h),
+v AS (SELECT m, (ff - t * m * m - m * (1 - m) * (k - 1)) / nullif(m * (1 - m) * (t - nn / t - (k - 1)), 0) AS rho, m > 0 AND m < 1 AND t - nn / t - (k - 1) > 0 AS fits FROM u),
+s AS (SELECT m, CASE WHEN fits THEN 1 / greatest(1e-6, least(0.5, rho)) - 1 ELSE 1.0 END AS s FROM v),
+q AS (SELECT source, (f + m * s) / (n + s) AS rate, greatest(0.3, m + 2 * sqrt(m * (1 - m) / (s + 1))) AS far FROM h, s),
+x AS (SELECT source, CASE WHEN rate >= 0.9 THEN 'rejected' WHEN rate >= far THEN 'suspect' END AS host_verdict FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND coalesce(host_verdict, '') <> 'rejected' AND (coalesce(host_verdict, '') <> 'suspect' OR NOT near) AS kept, coalesce(host_verdict, '') = 'rejected' AS host_rejected, failed, host_verdict FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
 """
 
 def license_sql() -> str:
@@ -80,13 +83,13 @@ def license_sql() -> str:
     rows = ", ".join(f"('{name}', '{words}', {m}, {scale})" for name, words, m, scale in license_scan.template_shingles(license_scan.TEMPLATES))
     return rf"""
 WITH t AS (SELECT * FROM (VALUES {rows}) AS v(license, shingle, m, scale)),
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS p FROM w WHERE len(ws) >= 5),
-g AS (SELECT doc_id, p, concat_ws(' ', ws[p + 1], ws[p + 2], ws[p + 3], ws[p + 4], ws[p + 5]) AS shingle FROM s),
-x AS (SELECT doc_id, license, m, p, shingle, unnest([p // scale, greatest(p // scale - 1, 0)]) AS win FROM g JOIN t USING (shingle)),
-c AS (SELECT doc_id, license, win, count(DISTINCT shingle) / m::DOUBLE AS containment, min(p) AS p FROM x GROUP BY doc_id, license, win, m),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, win) AS r FROM c WHERE containment >= 0.8)
-SELECT doc_id, license, containment, p AS "at" FROM r WHERE r = 1
+w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, doc_id, ws, unnest(range(0, len(ws) - 4)) AS p FROM w WHERE len(ws) >= 5),
+g AS (SELECT r, doc_id, p, concat_ws(' ', ws[p + 1], ws[p + 2], ws[p + 3], ws[p + 4], ws[p + 5]) AS shingle FROM s),
+x AS (SELECT r, doc_id, license, m, p, shingle, unnest([p // scale, greatest(p // scale - 1, 0)]) AS win FROM g JOIN t USING (shingle)),
+c AS (SELECT r, doc_id, license, win, count(DISTINCT shingle) / m::DOUBLE AS containment, min(p) AS p FROM x GROUP BY r, doc_id, license, win, m),
+b AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY containment DESC, win) AS k FROM c WHERE containment >= 0.8)
+SELECT doc_id, license, containment, p AS "at" FROM b WHERE k = 1
 """
 
 
