@@ -1,18 +1,22 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of the training folds; unlabelled text is a sample of all documents. A linear
-model on features of the whole text minimises the non-negative unbiased PU risk
+Trusted positives are rows of the training folds that are labelled good; unlabelled text is a sample of all documents.
+Rows labelled bad are not used. A linear model on features of the whole text minimises the non-negative unbiased PU risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
-with the sigmoid loss; where the second part falls below zero the step goes back along it. The class prior is the
-share of good rows among the training labels. The model's margin is turned into a score by Platt scaling on the
-training labels. Labels, lang, source and doc_id are no inputs of a score.
+with the sigmoid loss; where the second part falls below zero the step goes back along it. The score is the logistic
+function of the margin, so the cut at 0.5 is the risk's own.
 
-The fit uses at most about `sample_rows` labelled and as many unlabelled rows, chosen by a hash of their ids; scores
-cover every row and its whole text.
+The class prior is estimated from positives and unlabelled rows alone, by the best bin: a classifier that tells them
+apart is fitted on one half of both; on the other half, the share of unlabelled rows above a score over the share of
+positives above it bounds the prior from above, for every score. The score with the least such ratio, chance included,
+gives the estimate.
+
+Features are made once for every document and written; their means and deviations are those of all documents. The fit
+uses at most about `sample_rows` labelled and as many unlabelled rows, chosen by a hash; scores cover every row.
 
 Defined cases: null text is empty and gets a score; rows with equal ids are scored alike if their texts are; a null id
-is not held out; without any labelled row (or an empty table) the model is flat and every score is 0.5; other columns
-are ignored.
+is not held out; a document labelled both good and bad is no positive; without any positive (or with an empty table) the
+model is flat and every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import map_texts, shingle_hashes, words_of
+from docloom.llm.common import map_texts, shingle_hashes, stage, words_of
 
 NAMES = (
     "log_words", "log_bytes", "word_bytes", "symbols", "bangs", "upper", "digits", "stops", "beyond_ascii", "lines", "pipes",
@@ -62,18 +66,13 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
     prior: float
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return _spread((x - self.mean) / self.scale) @ self.weights + self.bias
-
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.margin(x) + self.shift)
+        return _sigmoid(_spread((x - self.mean) / self.scale) @ self.weights + self.bias)
 
 
-FLAT = Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(3 * len(NAMES)), 0.0, 0.0, 0.0, 0.5)
+FLAT = Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), np.zeros(3 * len(NAMES)), 0.0, 0.5)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -86,11 +85,49 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.maximum(x - 1, 0), np.maximum(-x - 1, 0)], axis=1)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, quality: np.ndarray, steps: int = 600, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative PU risk by Adam over all rows, then scale the margins to scores."""
-    prior = float((quality.sum() + 1) / (len(quality) + 2))
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-9
+def told_apart(a: np.ndarray, b: np.ndarray, steps: int = 30, decay: float = 1e-3) -> np.ndarray:
+    """Weights, the bias last, of a logistic regression that tells rows of a from rows of b, both weighing the same."""
+    x = np.c_[np.concatenate([a, b]), np.ones(len(a) + len(b))]
+    y = np.r_[np.ones(len(a)), np.zeros(len(b))]
+    weight = np.where(y > 0, 0.5 / len(a), 0.5 / len(b))
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        q = _sigmoid(x @ w)
+        slope = x.T @ (weight * (q - y)) + decay * w
+        curve = (x * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ x + decay * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among unlabelled rows, from both sides' scores: the least upper bound over all cuts."""
+    cuts = np.unique(positive)
+    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, side="left") / len(s)
+    p, u = above(positive), above(unlabelled)
+    noise = sum(math.sqrt(math.log(4 / chance) / (2 * n)) for n in (len(positive), len(unlabelled)))
+    best = int(np.argmin((u + (1 + slack) * noise) / p))
+    return float(np.clip(u[best] / p[best], 1e-3, 1 - 1e-3))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows; half of both fits the scores, the other half is counted."""
+    half = lambda x, k: x[k::2] if len(x) > 1 else x
+    w = told_apart(half(positive, 0), half(unlabelled, 0))
+    scores = [half(x, 1) @ w[:-1] for x in (positive, unlabelled)]
+    return best_bin(*scores)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray | None = None, scale: np.ndarray | None = None, prior: float | None = None, steps: int = 600, rate: float = 0.03, decay: float | None = None) -> Model:
+    """Minimise the non-negative PU risk by Adam over all rows; the prior is estimated unless it is given, and so are the
+    features' means and deviations. Weights decay by one part in the number of positives."""
+    decay = 1 / len(positive) if decay is None else decay
+    mean = unlabelled.mean(axis=0) if mean is None else mean
+    scale = unlabelled.std(axis=0) + 1e-9 if scale is None else scale
     p, u = _spread((positive - mean) / scale), _spread((unlabelled - mean) / scale)
+    prior = class_prior(p, u) if prior is None else prior
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
@@ -110,30 +147,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, labelled: np.ndarray, qual
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    raw = Model(mean, scale, w, b, 1.0, 0.0, prior)
-    slope, shift = platt(raw.margin(labelled), quality)
-    return Model(mean, scale, w, b, slope, shift, prior)
-
-
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """slope and shift of the logistic curve through smoothed labels; the margin itself if a class is missing."""
-    good, bad = float(y.sum()), float(len(y) - y.sum())
-    if not good or not bad:
-        return 1.0, 0.0
-    spread = float(z.std()) or 1.0
-    x, t = z / spread, np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    a, c = 1.0, 0.0
-    for _ in range(steps):
-        q = _sigmoid(a * x + c)
-        h = q * (1 - q) + 1e-9
-        ga, gc = ((q - t) * x).sum() + 1e-3 * a, (q - t).sum()
-        haa, hac, hcc = (h * x * x).sum() + 1e-3, (h * x).sum(), h.sum()
-        d = haa * hcc - hac * hac
-        da, dc = (hcc * ga - hac * gc) / d, (haa * gc - hac * ga) / d
-        a, c = a - float(np.clip(da, -2, 2)), c - float(np.clip(dc, -2, 2))
-        if abs(da) + abs(dc) < 1e-9:
-            break
-    return a / spread, c
+    return Model(mean, scale, w, b, prior)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -141,41 +155,52 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _part(rows: int, of: int, seed: int) -> Column:
-    """About rows of so many rows, by a hash of their ids."""
-    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32)) < min(1 << 32, (rows << 32) // max(of, 1))
+    """About rows of so many rows, by a hash of what they hold."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "x"), F.lit(1 << 32)) < min(1 << 32, (rows << 32) // max(of, 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = 20_000, seed: int = 11) -> Model:
-    """A model of the labels' training folds. The driver gets features of at most about 2 * sample_rows rows."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n_known, n_docs = known.count(), docs.select("doc_id").count()
-    if not n_known or not n_docs:
+def featured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and x, the features of every whole text, written."""
+    made = map_texts(docs.select("doc_id", F.col(text).alias("text")), lambda texts: [[features(t) for t in texts]], "x array<double>")
+    return stage(made, "features")
+
+
+def train(rows: DataFrame, labels: DataFrame, sample_rows: int = 20_000, seed: int = 11) -> Model:
+    """A model of the labels' training folds. rows: doc_id, x. The driver gets at most about 2 * sample_rows rows."""
+    at = [F.col("x")[i] for i in range(len(NAMES))]
+    # one row: counts and moments over all documents
+    whole = rows.agg(F.count("*").alias("n"), F.array(*map(F.avg, at)).alias("mean"), F.array(*map(F.stddev_pop, at)).alias("scale")).first()
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    good = stage(known.where("quality > 0").select("doc_id"), "positives")
+    n_good = good.count()
+    if not whole.n or not n_good:
         return FLAT
-    known = known.where(_part(sample_rows, n_known, seed)).select(F.col("doc_id").alias("__id"), "quality")
-    rows = docs.select("doc_id", F.col(text).alias("text"), _part(sample_rows, n_docs, seed + 1).alias("plain"))
-    # about sample_rows rows of two numbers
-    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("__id"), "left").where("plain OR quality IS NOT NULL")
-    found = map_texts(rows.select("quality", "plain", "text"), lambda texts: [[features(t) for t in texts]], "x array<double>").collect()
-    x = np.array([r.x for r in found], dtype=float).reshape(len(found), len(NAMES))
-    y = np.array([-1 if r.quality is None else int(r.quality > 0) for r in found])
-    plain = np.array([bool(r.plain) for r in found])
-    if not (y == 1).any() or not plain.any():
+    few = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32)) < min(1 << 32, (sample_rows << 32) // n_good)
+    # about sample_rows ids
+    found = rows.join(F.broadcast(good.where(few).limit(2 * sample_rows)), "doc_id", "left_semi").select("x").limit(2 * sample_rows).collect()
+    plain = rows.where(_part(sample_rows, whole.n, seed + 1)).select("x").limit(2 * sample_rows).collect()
+    if not found or not plain:
         return FLAT
-    return fit(x[y == 1], x[plain], x[y >= 0], y[y >= 0])
+    positive, unlabelled = (np.array([r.x for r in part], dtype=float) for part in (found, plain))
+    return fit(positive, unlabelled, np.array(whole.mean), np.array(whole.scale) + 1e-9)
+
 
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of rows (doc_id, x)."""
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """doc_id and score of every whole text."""
+    def scored(batches):
+        import pyarrow as pa
 
-    def scored(texts: list) -> list:
-        if not texts:
-            return [[]]
-        return [model.score(np.array([features(t) for t in texts], dtype=float)).tolist()]
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return map_texts(docs.select("doc_id", F.col(text).alias("text")), scored, "score double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "x").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
 def classified(docs: DataFrame, labels: DataFrame, text: str = "text", **kwargs) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    rows = score(docs, train(docs, labels, text, **kwargs), text)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = featured(docs, text)
+    found = score(rows, train(rows, labels, **kwargs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
