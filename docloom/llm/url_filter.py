@@ -8,7 +8,8 @@ more than half. A host is blocked if its distrust makes up at least `threshold`
 neither reaches is allowed.
 
 Ranks are tables of hosts; every iteration joins them with the distinct host edges and writes the next table, so
-nothing of the graph is collected and no lineage grows.
+nothing of the graph is collected and no lineage grows; the table before it is deleted. Hosts with links to very many
+others are dealt to parts.
 
 Defined cases: null urls and urls without :// have an empty host and path, which no rule fits and which is allowed;
 null html has no links; links of a host to itself don't count, several links between two hosts are one edge with
@@ -22,7 +23,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import small, stage
+from docloom.llm import common
+from docloom.llm.common import discard, small, stage
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -63,16 +65,22 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterat
 
     Rank that reaches a host without links, or a seed of one, returns to the seeds of its kind.
     """
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
-    shares = stage(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    ranks = seeds.select("kind", "host", F.col("mass").alias("rank"))
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"), F.ceil(F.count("*") / common.HOT_ROWS).cast("int").alias("parts"))
+    shares = edges.join(out, ["kind", "src"]).withColumn("part", F.pmod(F.xxhash64("dst"), "parts").cast("int"))
+    shares = stage(shares.select("kind", F.col("src").alias("host"), "part", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
+    hot = stage(out.where("parts > 1").select("kind", F.col("src").alias("host"), "parts"), "hot")
+    parts = None if hot.isEmpty() else small(hot, 64)
+    ranks, before = seeds.select("kind", "host", F.col("mass").alias("rank")), None
     for _ in range(iterations):
-        moved = ranks.join(shares, (ranks["kind"] == shares["kind"]) & (F.col("host") == F.col("src"))).select(shares["kind"].alias("kind"), F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        dealt = ranks.withColumn("part", F.lit(0)) if parts is None else ranks.join(parts, ["kind", "host"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        moved = dealt.join(shares, ["kind", "host", "part"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         moved = stage(moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "moved")
+        discard(before)
+        before = moved
         # two rows: what each kind has kept in motion
         left = moved.groupBy("kind").agg(F.sum("rank").alias("moving"))
         back = seeds.join(F.broadcast(left), "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("moving", F.lit(0.0)))).alias("rank"))
-        ranks = stage(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
+        ranks = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
     return ranks
 
 
