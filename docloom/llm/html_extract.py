@@ -1,27 +1,33 @@
 """HTML extraction by template deduction over the pages of a host.
 
-Tokens of a page are its tags with their paths and the texts between them with theirs. Per host, tokens that occur in
-the same number in the same pages share an occurrence vector; they form an equivalence class. A class that spans at
-least `support` of the host's different pages goes through two checks, each a pass over all pages:
+Tokens of a page are its tags and the words of its texts, each with its path; a token that a page holds several times,
+and all pages that hold it hold it as often, has several roles, and each of its occurrences is a token of its own. Per
+host, tokens that occur in the same number in the same pages share an occurrence vector; they form an equivalence class.
+A class that spans at least `support` of the host's different pages goes through two checks, each a pass over all pages:
 
 - order: tokens that leave the class's order on some page are taken out of it, the rest must be at least `min_class`;
 - nesting: of two classes, the instances of one must lie in the same slot (between two neighbours) of the other or
   outside on all pages. Of two that don't nest, the one on more pages stays, of equal ones the larger.
 
-The classes left nest into the host's template; slots are what lies between their tokens. A page's main text are the
-slots' texts inside the content element, without the elements that hold menus, notices, adverts, forms, scripts and
-comments. A block all of whose texts are template tokens is boilerplate; a text of the same words elsewhere is not.
-
-Occurrence vectors are compared by order-independent sums of hashes of (page, count), so a class is found by grouping
-a host's tokens by that sum; tokens are counted per batch before they are shuffled, and no page list is gathered. Equal
-pages of a host count once. A host's template has a bounded size (tokens in at least `support` of its pages: the mean
-tokens of a page over support), and templates are broadcast only if all of them are small, else joined by host with
-salted keys.
-
-Defined cases: null or empty html gives an empty text; pages whose host has fewer than `min_pages` different pages
-have no template and are extracted by structure alone; rows with equal ids are extracted one by one; an empty table gives no
-rows; other columns are ignored; null urls share the empty host. Unclosed tags end where their parent ends; a comment
-or script without an end runs to the end of the page.
+The classes left nest into the host's template; slots are what lies between their tokens. The words in the slots of the
+first class that occurs once a page are summed over the host's pages, without elements that are no main text by
+themselves. The slots with the most words (at least `share` of the largest) hold the main text: on each page, the
+innermost element around all of them is the content element, or the article around that. Its texts are extracted, in the
+order of the page, without the elements that hold menus, notices, adverts, forms, scripts and comments. Where the page
+has no article of its own, a block all of whose words are the template's is boilerplate too.
+
+Only tokens in enough of a host's pages can be in a template, and most words are in few. Each task counts its pages'
+tokens per host and thins the counts as heavy hitters are found: it takes off the same from all counts, never more than
+half of what `support` asks for in all, so no token that could be in a template is lost, whatever the pages. The tokens
+left, a few times a page's tokens per host, are then counted exactly, on pages that are cut down to them once and
+written. Occurrence vectors are compared by order-independent sums of hashes of (page, count); no page list is gathered.
+Equal pages of a host count once. Tables with a row per host are broadcast only if all of them are small, else joined by
+host with salted keys.
+
+Defined cases: null or empty html gives an empty text; pages whose host has fewer than `min_pages` different pages, and
+pages without the template's slots, are extracted by structure alone (the article, or all that isn't dropped); rows with
+equal ids are extracted one by one; an empty table gives no rows; other columns are ignored; null urls share the empty
+host. Unclosed tags end where their parent ends; a comment or script without an end runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -31,18 +37,21 @@ import html
 import re
 from bisect import bisect_left
 from collections import Counter
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_BYTES, map_texts, small, stage
+from docloom.llm.common import BROADCAST_BYTES, map_texts, mix64, shingle_hashes, small, stage
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)(?:>|\Z)",
+    # a quote opens a value only right after an equals sign
+    r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)|[^>])*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 # HTML element names by what they do.
@@ -60,19 +69,29 @@ BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising bread
 BAD_OUTSIDE = frozenset("header masthead banner".split())  # an article's own header stays
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
 KEPT_BY_NAME = frozenset(["html", "body", "article", "main"])
+# Words that say nothing beside those.
+FILLERS = frozenset("a area bar block bottom box button buttons center container content full group holder inline inner item items label large left link links list main medium mini module outer panel placeholder post right row section site slot small sticky text title top unit wrap wrapper zone".split())
+
+
+def _noise(name: str, content: bool) -> bool:
+    """Whether a class or id name marks what isn't main text: by any of its words outside of the content, inside of it
+    only if it says nothing else."""
+    words = [w.rstrip("0123456789") or w for w in _WORDS.findall(name)]
+    if not content:
+        return not (BAD_WORDS | BAD_OUTSIDE).isdisjoint(words)
+    return not BAD_WORDS.isdisjoint(words) and all(w in BAD_WORDS or w in FILLERS or w[0].isdigit() for w in words)
 
 
 def _marks(rest: str, content: bool) -> tuple[str, bool]:
     """The class and id words of a tag, and whether they mark what isn't main text."""
     if not rest or rest.isspace():
         return "", False
-    bad_words = BAD_WORDS if content else BAD_WORDS | BAD_OUTSIDE
     names, bad = [], False
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             names.append(value)
-            bad = bad or not bad_words.isdisjoint(_WORDS.findall(value))
+            bad = bad or any(_noise(name, content) for name in value.split())
         elif key == "role":
             bad = bad or value.strip() in BAD_ROLES
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -80,35 +99,53 @@ def _marks(rest: str, content: bool) -> tuple[str, bool]:
     return " ".join(names), bad
 
 
-def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str, str]], list[str]]:
-    """Texts of a page: (block, in content, dropped, text, token) in order; and its template tokens in order.
+@dataclass(frozen=True)
+class Text:
+    """A text between tags: its block, element and path; whether it is in the content, or dropped."""
+
+    block: int
+    element: int
+    path: str
+    content: bool
+    dropped: bool
+    text: str
+
+
+@dataclass
+class Page:
+    """A page's events in order: texts, and tags as (token, element open before, element open after)."""
 
-    A block is what block elements or their ends enclose; texts of one block belong together.
-    """
-    texts: list[tuple[int, bool, bool, str, str]] = []
-    tokens: list[str] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # name, dropped so far, in content so far, path
-    block, at, path, dropped, content = 0, 0, "", False, False
+    events: list = field(default_factory=list)
+    parents: list[int] = field(default_factory=lambda: [0])  # of each element; element 0 is around all
+    names: list[str] = field(default_factory=lambda: [""])
+
+    @property
+    def texts(self) -> list[Text]:
+        return [e for e in self.events if type(e) is Text]
+
+
+def parse(page: str | None) -> Page:
+    """The events of a page. A block is what block elements or their ends enclose; texts of one block belong together."""
+    out = Page()
+    events, parents, names_of = out.events, out.parents, out.names
+    stack: list[tuple[str, bool, bool, str, int]] = []  # name, dropped so far, in content so far, path, element
+    block, at, path, dropped, content, element = 0, 0, "", False, False, 0
     page = page or ""
     n = len(page)
 
     def pop(k: int) -> None:
-        nonlocal path, dropped, content
+        nonlocal path, dropped, content, element
         del stack[k:]
-        dropped, content, path = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, False, "")
-
-    def add(text: str) -> None:
-        if text and not text.isspace():
-            tokens.append(f"{path}#{text.strip()}")
-            texts.append((block, content, dropped, text, tokens[-1]))
+        _, dropped, content, path, element = stack[-1] if stack else ("", False, False, "", 0)
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
-        add(page[at : m.start()])
+        if m.start() > at and not (text := page[at : m.start()]).isspace():
+            events.append(Text(block, element, path, content, dropped, text))
         at = m.end()
         name = m["name"]
         if name is None:
             continue
-        name = name.lower()
+        name, before = name.lower(), element
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -118,16 +155,14 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str, str]], lis
                     break
             if name in BLOCKS:
                 block += 1
-            tokens.append(f"{path}/{name}")
+            events.append((f"{path}/{name}", before, element))
             continue
         if name in BLOCKS:
             block += 1
         if name == "br":
-            texts.append((block, content, dropped, " ", ""))
-        names, bad = _marks(m["rest"], content)
-        tokens.append(f"{path}<{name} {names}")
-        if name in VOID or m["self"]:
-            continue
+            events.append(Text(block, element, path, content, dropped, " "))
+        rest = m["rest"]
+        names, bad = _marks(rest, content)
         if name in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -141,38 +176,146 @@ def parse(page: str | None) -> tuple[list[tuple[int, bool, bool, str, str]], lis
                 break
             if stack[k][0] in SCOPES:
                 break
+        token = f"{path}<{name} {names}"
+        if name in VOID or rest == "/" or rest[-2:-1] in " \"'\n\t" and rest[-1:] == "/":
+            events.append((token, before, element))
+            continue
         if name in RAW:
+            events.append((token, before, element))
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        inside = content or name in CONTENT
-        drop = dropped or name in DROPPED or name in DROPPED_OUTSIDE and not content or bad and name not in KEPT_BY_NAME
+        content, dropped = content or name in CONTENT, dropped or name in DROPPED or name in DROPPED_OUTSIDE and not content or bad and name not in KEPT_BY_NAME
         path = f"{path}>{name}"
-        stack.append((name, drop, inside, path))
-        dropped, content = drop, inside
-    add(page[at:])
-    return texts, tokens
+        parents.append(element)
+        names_of.append(name)
+        element = len(parents) - 1
+        stack.append((name, dropped, content, path, element))
+        events.append((token, before, element))
+    if at < n and not (text := page[at:]).isspace():
+        events.append(Text(block, element, path, content, dropped, text))
+    return out
 
 
-def _hash(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+_hashes: dict[str, int] = {}
 
 
-def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text's blocks, joined by an empty line. template: hashes of the host's template tokens that are texts."""
-    texts, _ = parse(page)
-    some = [t for t in texts if t[1] and not t[2] and not t[3].isspace()]
-    if not some:
-        some = [t for t in texts if not t[2]]
-    whole = some and some[0][1]
+def _hash(token: str) -> int:
+    found = _hashes.get(token)
+    if found is None:
+        if len(_hashes) > 100_000:
+            _hashes.clear()
+        found = _hashes[token] = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return found
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """A page's tokens: their hashes in order, the events they are of, and the words so far that aren't dropped."""
+
+    hashes: np.ndarray
+    event: np.ndarray
+    upto: np.ndarray
+
+
+def tokens(page: Page) -> Tokens:
+    """Tags by name, class and path; words by path."""
+    words: list[bytes] = []
+    sizes, own, kept = [], [], []
+    for e in page.events:
+        if type(e) is Text:
+            found = e.text.encode("utf-8", "surrogatepass").split()
+            words += found
+            sizes.append(len(found))
+            own.append(_hash(e.path))
+            kept.append(not e.dropped)
+        else:
+            sizes.append(1)
+            own.append(_hash(e[0]))
+            kept.append(False)
+    size = np.array(sizes, np.int64)
+    event = np.repeat(np.arange(len(size)), size)
+    out = np.array(own, np.int64)[event] if len(size) else np.empty(0, np.int64)
+    is_word = np.array([type(e) is Text for e in page.events], bool)[event] if len(size) else np.empty(0, bool)
+    if words:
+        mixed = out[is_word].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ shingle_hashes(words, 1)
+        out[is_word] = mix64(mixed).view(np.int64)
+    counted = is_word & (np.array(kept, bool)[event] if len(size) else is_word)
+    return Tokens(out, event, np.cumsum(counted) - counted)
+
+
+def _around(page: Page, elements: list[int]) -> int:
+    """The innermost element around all of elements."""
+
+    def chain(e: int) -> list[int]:
+        found = [e]
+        while e:
+            e = page.parents[e]
+            found.append(e)
+        return found[::-1]
+
+    same = chain(elements[0])
+    for e in elements[1:]:
+        other = chain(e)
+        same = [a for a, b in zip(same, other, strict=False) if a == b]
+    return same[-1]
+
+
+def content_element(page: Page, found: Tokens, slots: list[tuple[int, ...]]) -> int | None:
+    """The innermost element around a page's slots (token and its occurrence before, and after), or the article around
+    it; None on a page without the slots."""
+    inside: list[int] = []
+    for first, i, last, j in slots:
+        begin, end = np.flatnonzero(found.hashes == first), np.flatnonzero(found.hashes == last)
+        if len(begin) <= i or len(end) <= j or end[j] < begin[i]:
+            continue
+        a, b = page.events[found.event[begin[i]]], page.events[found.event[end[j]]]
+        inside += [a.element if type(a) is Text else a[2], b.element if type(b) is Text else b[1]]
+    if not inside:
+        return None
+    e = _around(page, inside)
+    at = e
+    while at and page.names[at] not in CONTENT:
+        at = page.parents[at]
+    return at or e
+
+
+@dataclass(frozen=True)
+class Template:
+    """A host's template: the hashes of its tokens, and its main slots (token and its occurrence before, and after)."""
+
+    tokens: np.ndarray
+    slots: list[tuple[int, ...]]
+
+
+def main_text(html_text: str | None, template: Template | None = None) -> str:
+    """The main text's blocks, joined by an empty line."""
+    page = parse(html_text)
+    whole = [e for e in page.events if type(e) is Text and not e.dropped]
+    within = whole
+    if template is not None:
+        found = tokens(page)
+        main = content_element(page, found, template.slots)
+        if main:
+            inside = [False] * len(page.parents)
+            inside[main] = True
+            for e in range(main + 1, len(inside)):
+                inside[e] = inside[page.parents[e]]
+            within = [t for t in whole if inside[t.element]]
+            if not any(not t.text.isspace() for t in within):
+                within = whole
+    article = [t for t in within if t.content]
+    if any(not t.text.isspace() for t in article):
+        within = article
+    elif template is not None:
+        # without an article: blocks with a word of their own
+        fixed = np.isin(found.hashes, template.tokens)
+        mine = {page.events[e].block for e in np.unique(found.event[~fixed]) if type(page.events[e]) is Text}
+        within = [t for t in within if t.block in mine]
     blocks: dict[int, list[str]] = {}
-    own: set[int] = set()  # blocks with a text in a slot
-    for block, content, dropped, text, token in texts:
-        if not dropped and (content or not whole):
-            blocks.setdefault(block, []).append(text)
-            if not text.isspace() and not (template and _hash(token) in template):
-                own.add(block)
-    joined = (" ".join(html.unescape("".join(parts)).split()) for block, parts in blocks.items() if block in own)
+    for t in within:
+        blocks.setdefault(t.block, []).append(t.text)
+    joined = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)
 
 
@@ -222,15 +365,18 @@ def disordered(tokens: list[int], classes: list[list[int]]) -> Counter:
     return Counter((c, p, 0, 0) for c, found in places.items() for p in displaced(found, len(classes[c])))
 
 
-INSIDE, ALL, ACROSS = 0, 1, 2
+INSIDE, ALL, ACROSS, OFTEN, WORDS = 0, 1, 2, 3, 4
 
 
-def nesting(tokens: list[int], classes: list[list[int]]) -> Counter:
-    """Instances of ordered classes on a page: (b, a, slot, INSIDE) b's that start in a slot of a, (b, b, 0, ALL) all of b's, (b, a, 0, ACROSS) b's that go on beyond the slot."""
+def nesting(tokens: list[int], classes: list[list[int]], upto: list[int] | None = None) -> Counter:
+    """Instances of ordered classes on a page: (b, a, slot, INSIDE) b's that start in a slot of a, (b, b, 0, ALL) all of
+    b's, (b, a, 0, ACROSS) b's that go on beyond the slot, (b, b, 0, OFTEN) pages with several b's, (b, b, slot, WORDS)
+    words in the slots of b, where upto has the words before each token."""
     where = {t: (c, p) for c, members in enumerate(classes) for p, t in enumerate(members)}
     facts: Counter = Counter()
     opened: dict[int, int] = {}  # the slot that each open instance is in, outer ones first
-    for t in tokens:
+    since: dict[int, int] = {}
+    for at, t in enumerate(tokens):
         if t not in where:
             continue
         c, p = where[t]
@@ -240,11 +386,18 @@ def nesting(tokens: list[int], classes: list[list[int]]) -> Counter:
         elif c in opened:
             inner = list(opened)
             facts.update((b, c, 0, ACROSS) for b in inner[inner.index(c) + 1 :])
+            if upto is not None and upto[at] > since[c]:
+                facts[c, c, opened[c], WORDS] += upto[at] - since[c]
+        if upto is not None:
+            since[c] = upto[at]
         if p == len(classes[c]) - 1:
             opened.pop(c, None)
         else:
             opened[c] = p
-    return facts
+    for b in range(len(classes)):
+        if facts[b, b, 0, ALL] > 1:
+            facts[b, b, 0, OFTEN] = 1
+    return +facts
 
 
 def ordered_classes(classes: list[list[int]], facts: list, min_class: int) -> list[list[int]]:
@@ -254,7 +407,7 @@ def ordered_classes(classes: list[list[int]], facts: list, min_class: int) -> li
     return [members for members in left if len(members) >= min_class]
 
 
-def nested_classes(classes: list[list[int]], facts: list, min_class: int) -> list[list[int]]:
+def nested_classes(classes: list[list[int]], facts: list, min_class: int = 0) -> list[list[int]]:
     """The classes, by rank, that nest with all of those before them."""
     total = {b: n for b, _, _, kind, n in facts if kind == ALL}
     clash: dict[int, set[int]] = {}
@@ -269,6 +422,15 @@ def nested_classes(classes: list[list[int]], facts: list, min_class: int) -> lis
     return [classes[c] for c in sorted(kept)]
 
 
+def main_slots(classes: list[list[int]], kept: list[list[int]], facts: list, share: float) -> list[tuple[int, int]]:
+    """(token before, token after) of the slots with the most words, of the first kept class that occurs once a page."""
+    numbers = [classes.index(members) for members in kept]
+    often = {b for b, _, _, kind, _ in facts if kind == OFTEN}
+    root = next((c for c in numbers if c not in often and any(b == c and kind == WORDS for b, _, _, kind, _ in facts)), None)
+    words = {slot: n for b, _, slot, kind, n in facts if b == root and kind == WORDS}
+    return [(classes[root][s], classes[root][s + 1]) for s in sorted(words) if words[s] >= share * max(words.values())]
+
+
 _FACT = "struct<b: int, a: int, slot: int, kind: int, n: bigint>"
 
 
@@ -281,17 +443,34 @@ def _with_host(rows: DataFrame, perhost: DataFrame, width, salts: int, how: str)
     return rows.withColumn("salt", salt).join(salted, ["host", "salt"], how).drop("salt")
 
 
-def _checked(rows: DataFrame, classes: DataFrame, seen, choose, min_class: int, salts: int) -> DataFrame:
-    """host, classes: those that choose leaves of each host, given the sums of what seen counts on each page."""
-    paired = _with_host(rows, classes, F.aggregate("classes", F.lit(64), lambda s, x: s + 8 * F.size(x) + 16), salts, "inner")
+#: A role is a token's number and, from 1, which of its occurrences it is; 0 stands for all of them.
+_ROLE = 20
+
+
+def roles(ids: list[int], classes: list[list[int]]) -> list[int]:
+    """The roles of a page's tokens, as the classes have them."""
+    split = {c >> _ROLE for members in classes for c in members if c & (1 << _ROLE) - 1}
+    seen: Counter = Counter()
+    out = []
+    for i in ids:
+        if i in split:
+            seen[i] += 1
+        out.append(i << _ROLE | seen[i])
+    return out
+
+
+def _facts(cut: DataFrame, classes: DataFrame, seen, salts: int) -> DataFrame:
+    """host, classes, facts: the sums over all pages of what seen(tokens, classes, words before) counts on each."""
+    width = F.aggregate("classes", F.lit(64), lambda s, x: s + 8 * F.size(x) + 16)
+    paired = _with_host(cut.select("host", "ids", "upto"), classes, width, salts, "inner")
 
     def count(batches):
         import pyarrow as pa
 
         for batch in batches:
             facts: Counter = Counter()
-            for host, page, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for key, n in seen([_hash(t) for t in parse(page)[1]], held).items():
+            for host, ids, upto, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for key, n in seen(roles(ids, held), held, upto).items():
                     facts[(host, *key)] += n
             keys = list(zip(*facts, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -299,68 +478,194 @@ def _checked(rows: DataFrame, classes: DataFrame, seen, choose, min_class: int,
                 names=["host", "b", "a", "slot", "kind", "n"],
             )
 
-    counted = paired.select("host", "html", "classes").mapInArrow(count, "host string, b int, a int, slot int, kind int, n long")
+    counted = paired.select("host", "ids", "upto", "classes").mapInArrow(count, "host string, b int, a int, slot int, kind int, n long")
     facts = counted.groupBy("host", "b", "a", "slot", "kind").agg(F.sum("n").alias("n"))
     facts = facts.groupBy("host").agg(F.collect_list(F.struct("b", "a", "slot", "kind", "n")).alias("facts"))
-    both = classes.join(facts, "host", "left").select("host", F.struct("classes", F.coalesce("facts", F.array().cast(f"array<{_FACT}>")).alias("facts")).alias("both"))
+    return classes.join(facts, "host", "left").select("host", F.struct("classes", F.coalesce("facts", F.array().cast(f"array<{_FACT}>")).alias("facts")).alias("both"))
 
-    def left(batch: list) -> list:
-        return [[choose(r["classes"], [tuple(f.values()) for f in r["facts"]], min_class) for r in batch]]
 
-    return map_texts(both, left, "classes array<array<long>>")
+class HeavyHitters:
+    """Counts of tokens, thinned: what is taken off all counts stays below `most` of the pages counted."""
 
+    def __init__(self, most: float):
+        self.most, self.pages, self.weight, self.lost, self.waiting = most, 0, 0, 0.0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-def template(pages: DataFrame, min_pages: int = 8, support: float = 0.5, min_class: int = 3, salts: int = 16) -> DataFrame:
-    """host, classes: the tokens of the host's nested classes, each in order."""
-    rows = different(pages.select(_host_of("url").alias("host"), F.col("html").alias("html")))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= min_pages)
+    def add(self, distinct: np.ndarray) -> None:
+        self.pages += 1
+        self.weight += len(distinct)
+        self.parts.append((distinct, np.ones(len(distinct))))
+        self.waiting += len(distinct)
+        if self.waiting > 1 << 16:
+            self.thin()
 
-    def vectors(batches):
+    def thin(self) -> None:
+        keys, where = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([n for _, n in self.parts]))
+        # so many counters that their least count stays below the bound
+        size = int(self.weight / (self.most * self.pages)) + 1
+        if len(counts) > size:
+            off = min(np.partition(counts, len(counts) - size - 1)[len(counts) - size - 1], self.most * self.pages - self.lost)
+            self.lost += max(off, 0.0)
+            counts = counts - max(off, 0.0)
+            keys, counts = keys[counts > 1e-9], counts[counts > 1e-9]
+        self.parts, self.waiting = [(keys, counts)], 0
+
+
+def _candidates(rows: DataFrame, sizes: DataFrame, support: float) -> DataFrame:
+    """host, known: sorted hashes of all tokens that may be in `support` of the host's pages. rows: host, html."""
+    most = support / 2
+
+    def count(batches):
         import pyarrow as pa
 
+        hosts: dict[str, HeavyHitters] = {}
+
+        def flush():
+            for hitters in hosts.values():
+                hitters.thin()
+            found = [(h, *x.parts[0]) for h, x in hosts.items()]
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([h for h, k, _ in found for _ in range(len(k))], pa.string()), pa.array(np.concatenate([k for _, k, _ in found]), pa.int64()), pa.array(np.concatenate([n for _, _, n in found]), pa.float64())],
+                names=["host", "token", "n"],
+            )
+            hosts.clear()
+            return made
+
+        held = 0
         for batch in batches:
-            counted: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, tokens = parse(page)
-                mark = _hash(page or "")
-                # in order of their first places
-                for before, (token, n) in enumerate(Counter(tokens).items(), 1):
-                    got = counted.setdefault((host, token), [0, 0, 0])
-                    got[0] += 1
-                    got[1] = (got[1] + _mixed(mark, n)) & 0x7FFFFFFFFFFF
-                    got[2] += before
-            hosts, tokens = [k[0] for k in counted], [k[1] for k in counted]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array([_hash(t) for t in tokens], pa.int64()), *(pa.array([v[i] for v in counted.values()], pa.int64()) for i in range(3))],
-                names=["host", "token", "pages", "vector", "place"],
-            )
+                distinct = np.unique(tokens(parse(page)).hashes)
+                if len(distinct):
+                    hosts.setdefault(host, HeavyHitters(most)).add(distinct)
+            held = sum(len(k) for x in hosts.values() for k, _ in x.parts)
+            if held > 1 << 21:  # many hosts with few pages each
+                yield flush()
+        if hosts:
+            yield flush()
+
+    counted = rows.mapInArrow(count, "host string, token long, n double").groupBy("host", "token").agg(F.sum("n").alias("n"))
+    enough = counted.join(sizes, "host").where(F.col("n") >= most * F.col("all") - 1e-6)
+    return enough.groupBy("host").agg(F.array_sort(F.collect_list("token")).alias("known"))
+
+
+def _cut(rows: DataFrame, known: DataFrame, salts: int) -> DataFrame:
+    """host, mark (a page's hash), ids (places in known of the page's tokens, in order), upto (words before each)."""
+    paired = _with_host(rows, known, F.size("known") * 8 + 64, salts, "inner")
+
+    def cut(batch: list) -> list:
+        out: list[list] = [[], [], []]
+        for r in batch:
+            found, own = tokens(parse(r["html"])), np.array(r["known"], np.int64)
+            at = np.minimum(np.searchsorted(own, found.hashes), len(own) - 1)
+            held = np.flatnonzero(own[at] == found.hashes)
+            for column, value in zip(out, (_hash_page(r["html"]), at[held].tolist(), found.upto[held].tolist()), strict=True):
+                column.append(value)
+        return out
 
-    partial = rows.mapInArrow(vectors, "host string, token long, pages long, vector long, place long")
+    return map_texts(paired.select("host", F.struct("html", "known").alias("page")), cut, "mark long, ids array<int>, upto array<int>")
+
+
+def _hash_page(page: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _vectors(cut: DataFrame) -> DataFrame:
+    """host, id (a role), pages, vector, place: in how many pages it is, its occurrence vector and its places' sum."""
+    mask = np.uint64(0x7FFFFFFFFFFF)
+    names = ["host", "id", "k", "pages", "vector", "once", "place", "lo", "hi"]
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            hosts: dict[str, list[np.ndarray]] = {}
+            for host, mark, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not ids:
+                    continue
+                order = np.argsort(np.array(ids, np.int64), kind="stable")
+                own, first, times = np.unique(np.array(ids, np.int64)[order], return_index=True, return_counts=True)
+                seen = np.uint64(mark & 0xFFFFFFFFFFFFFFFF)
+                mix = lambda n: mix64(seen ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & mask  # noqa: E731, B023
+                # a column per occurrence: id, which one, vector by count, vector of pages, place, count
+                rows = np.stack([np.repeat(own, times), np.arange(len(order)) - np.repeat(first, times), np.repeat(mix(times), times).astype(np.int64), np.repeat(mix(np.ones(1)), len(order)).astype(np.int64), order, np.repeat(times, times)])
+                hosts.setdefault(host, []).append(rows)
+            columns: list[list] = [[] for _ in names]
+            for host, parts in hosts.items():
+                rows = np.concatenate(parts, axis=1)
+                keys, where = np.unique(rows[0] << _ROLE | np.minimum(rows[1], (1 << _ROLE) - 2), return_inverse=True)
+                sums = []
+                for k in (2, 3, 4):
+                    total = np.zeros(len(keys), np.uint64)
+                    np.add.at(total, where, rows[k].astype(np.uint64))
+                    sums.append((total & mask if k < 4 else total).astype(np.int64))
+                lo, hi = np.full(len(keys), 1 << 60), np.zeros(len(keys), np.int64)
+                np.minimum.at(lo, where, rows[5])
+                np.maximum.at(hi, where, rows[5])
+                for column, value in zip(columns, ([host] * len(keys), keys >> _ROLE, keys & (1 << _ROLE) - 1, np.bincount(where), *sums, lo, hi), strict=True):
+                    column += value if isinstance(value, list) else value.tolist()
+            kinds = (pa.string(), *[pa.int64()] * 8)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    partial = cut.select("host", "mark", "ids").mapInArrow(count, "host string, " + ", ".join(f"{n} long" for n in names[1:]))
     modulus = F.lit(1 << 47)
-    tokens = partial.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), modulus).alias("vector"), F.sum("place").alias("place"))
-    often = tokens.where("pages >= 2").join(sizes, "host").where(F.col("pages") >= support * F.col("all"))
-    # a class: one occurrence vector; if its tokens have one order on all pages, it's that of their places' sums
-    classes = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "token"))).alias("members")).where(F.col("n") >= min_class)
-    ranked = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("p"), (-F.col("n")).alias("n"), "vector", F.col("members.token").alias("tokens")))).alias("ranked"))
-    found = stage(ranked.select("host", F.col("ranked.tokens").alias("classes")), "classes")
-    found = stage(_checked(rows, found, disordered, ordered_classes, min_class, salts), "ordered")
-    return stage(_checked(rows, found, nesting, nested_classes, min_class, salts), "nested").where(F.size("classes") > 0)
+    sums = partial.groupBy("host", "id", "k").agg(F.sum("pages").alias("pages"), F.pmod(F.sum("vector"), modulus).alias("vector"), F.pmod(F.sum("once"), modulus).alias("once"), F.sum("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # a token's occurrences on a page: as few rows as a page holds it times
+    token = Window.partitionBy("host", "id")
+    sums = sums.withColumn("even", F.min("lo").over(token) == F.max("hi").over(token)).where("even OR k = 0")
+    role = F.shiftleft("id", _ROLE).bitwiseOR(F.when(F.col("even"), F.col("k") + 1).otherwise(F.lit(0).cast("long")))
+    return sums.select("host", role.alias("id"), "pages", F.when(F.col("even"), F.col("once")).otherwise(F.col("vector")).alias("vector"), "place")
 
 
-def _mixed(mark: int, n: int) -> int:
-    x = (mark ^ (n * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 29)) & 0x7FFFFFFFFFFF
+def template(pages: DataFrame, min_pages: int = 8, support: float = 0.5, min_class: int = 3, share: float = 0.1, salts: int = 16) -> DataFrame:
+    """host, tokens (hashes of those whose roles are all in the host's nested classes), slots (its main ones: token and
+    its occurrence before, and after), classes (roles, each in order)."""
+    rows = different(pages.select(_host_of("url").alias("host"), F.col("html").alias("html")))
+    sizes = stage(rows.groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= min_pages), "sizes")
+    known = stage(_candidates(rows, sizes, support), "known")
+    cut = stage(_cut(rows, known, salts), "cut")
+    often = _vectors(cut).join(sizes, "host").where(F.col("pages") >= support * F.col("all"))
+    # a class: one occurrence vector; if its tokens have one order on all pages, it's that of their places' sums
+    classes = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("members")).where(F.col("n") >= min_class)
+    ranked = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("p"), (-F.col("n")).alias("n"), "vector", F.col("members.id").alias("ids")))).alias("ranked"))
+    found = stage(ranked.select("host", F.col("ranked.ids").alias("classes")), "classes")
+
+    def ordered(batch: list) -> list:
+        return [[ordered_classes(r["classes"], [tuple(f.values()) for f in r["facts"]], min_class) for r in batch]]
+
+    facts = _facts(cut, found, lambda ids, held, upto: disordered(ids, held), salts)
+    found = stage(map_texts(facts, ordered, "classes array<array<long>>").where(F.size("classes") > 0), "ordered")
+
+    def nested(batch: list) -> list:
+        out: list[list] = [[], [], []]
+        for r in batch:
+            facts = [tuple(f.values()) for f in r["facts"]]
+            kept = nested_classes(r["classes"], facts, min_class)
+            held = {c for members in kept for c in members}
+            last: dict[int, int] = {}
+            for c in held:
+                last[c >> _ROLE] = max(last.get(c >> _ROLE, 0), c & (1 << _ROLE) - 1)
+            out[0].append(kept)
+            out[1].append(sorted(i for i, k in last.items() if not k or all(i << _ROLE | j in held for j in range(1, k + 1))))
+            out[2].append([[a, b] for a, b in main_slots(r["classes"], kept, facts, share)])
+        return out
+
+    found = map_texts(_facts(cut, found, nesting, salts), nested, "classes array<array<long>>, tokens array<long>, slots array<array<long>>")
+    token = lambda i: F.element_at("known", (i + 1).cast("int"))
+    number = lambda c: F.shiftright(c, _ROLE)
+    which = lambda c: c.bitwiseAND(F.lit((1 << _ROLE) - 1)) - 1
+    slots = F.transform("slots", lambda x: F.array(token(number(x[0])), which(x[0]), token(number(x[1])), which(x[1])))
+    return stage(found.join(known, "host").select("host", "classes", F.transform("tokens", token).alias("tokens"), slots.alias("slots")), "nested")
 
 
 def extracted(pages: DataFrame, salts: int = 16, **kwargs) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    templates = stage(template(pages, salts=salts, **kwargs).select("host", F.flatten("classes").alias("tokens")), "templates")
+    templates = template(pages, salts=salts, **kwargs).select("host", "tokens", "slots")
     rows = pages.select("page_id", "url", "html", _host_of("url").alias("host"))
-    rows = _with_host(rows, templates, F.size("tokens") * 8 + 64, salts, "left")
+    rows = _with_host(rows, templates, F.size("tokens") * 8 + F.size("slots") * 32 + 64, salts, "left")
 
     def texts(batch: list) -> list:
-        found = [main_text(r["html"], set(r["tokens"] or ())) for r in batch]
+        found = [main_text(r["html"], Template(np.array(r["tokens"], np.int64), [tuple(s) for s in r["slots"]]) if r["slots"] else None) for r in batch]
         return [found, [len(t) for t in found]]
 
-    return map_texts(rows.select("page_id", "url", F.struct("html", "tokens").alias("page")), texts, "text string, n_chars long")
+    return map_texts(rows.select("page_id", "url", F.struct("html", "tokens", "slots").alias("page")), texts, "text string, n_chars long")
