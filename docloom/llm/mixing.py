@@ -2,9 +2,12 @@
 
 A document may belong to several sources. Documents are aggregated by membership pattern (the sorted set of their
 sources); patterns and sources form a flow network: a pattern offers its words once at cost 0, a second time at cost 1
-and so on (convex repetition costs), and each source asks for its target. The network has one node per pattern and is
-solved on the driver; `max_patterns` bounds it, and more patterns raise an error. Documents of a pattern are then laid
-out in a seeded order; the flow cuts that line, whole documents on one side of a cut get one repetition more.
+and so on (convex repetition costs), and each source asks for its target. Documents of a pattern are then laid out in a
+seeded order; the flow cuts that line, whole documents on one side of a cut get one repetition more.
+
+Up to `max_patterns` patterns and sources the network is solved on the driver. Beyond that targets are found by sums over
+the table of sources, sources that no pattern joins to others take their flow by an expression, and the network of the
+others is solved for each connected component of sources by itself, on executors. The results are the same.
 
 The seeded order never sorts a whole source in one task: a uniform hash deals documents to buckets of about
 `bucket_docs`, buckets are summed, and only the order inside a bucket is sorted.
@@ -16,12 +19,14 @@ out.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, small, stage
+from docloom.llm.common import WORD, join_hot, map_texts, small, stage
+from docloom.llm.near_dup import components
 
 
 def cycle_weights(n: int, weights: tuple[float, ...] = (3, 1, 2)) -> list[float]:
@@ -108,31 +113,107 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(sized: DataFrame, share: float = 1.5, most: int = 2, floor: float = 0.0, weights: tuple[float, ...] = (3, 1, 2), seed: int = 17, bucket_docs: int = 4096, max_patterns: int = 100_000) -> DataFrame:
-    """sized: doc_id, size (long), sources (array of string, its own first). Adds source_size and target (of the first
-    source), copies, taken (size * copies) and given (source, words: what the document gives to each source).
-    """
-    spark = sized.sparkSession
-    sized = stage(sized.select("doc_id", "size", F.coalesce("sources", F.array(F.lit(None).cast("string"))).alias("sources")).withColumn("pattern", F.array_sort(F.array_distinct("sources"))), "sized")
-    totals = sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    own = sized.groupBy(F.col("sources")[0].alias("source")).agg(F.sum("size").alias("words"))
-    found, owned = totals.limit(max_patterns + 1).collect(), own.limit(max_patterns + 1).collect()
-    if max(len(found), len(owned)) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns or sources")
+_PARTS = "array<struct<source: string, words: long>>"
+
+
+def _driver_plan(found: list, owned: list, share: float, most: int, floor: float, weights: tuple[float, ...]) -> tuple[list, list]:
+    """(pattern, flow, parts) rows and (source, source_size, target) rows."""
     names = sorted({s for r in found for s in r.pattern} | {r.source for r in owned}, key=lambda s: (s is None, s or ""))
     number, size_of = {s: i for i, s in enumerate(names)}, {r.source: r.words for r in owned}
     sizes = [size_of.get(s, 0) for s in names]
     goal = targets(sizes, cycle_weights(len(names), weights), share, most, floor)
     found.sort(key=lambda r: [(s is None, s or "") for s in r.pattern])
     sent = min_cost_flow([([number[s] for s in r.pattern], r.words) for r in found], [round(g) for g in goal], most)
-    cuts = [(r.pattern, r.words, max(1, -(-r.docs // bucket_docs)), sum(f.values()), [(names[i], w) for i, w in sorted(f.items()) if w]) for r, f in zip(found, sent, strict=True)]
-    flows = spark.createDataFrame(cuts, "pattern array<string>, words long, buckets long, flow long, parts array<struct<source: string, words: long>>")
-    aims = spark.createDataFrame([(s, z, float(g)) for s, z, g in zip(names, sizes, goal, strict=True)], "source string, source_size long, target double")
+    flows = [(r.pattern, sum(f.values()), [(names[i], w) for i, w in sorted(f.items()) if w]) for r, f in zip(found, sent, strict=True)]
+    return flows, [(s, z, float(g)) for s, z, g in zip(names, sizes, goal, strict=True)]
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources (source, words) with their number in order, null last, from 0: sorted in ranges."""
+    none = F.col("source").isNull()
+    dealt = stage(sources.withColumn("none", none).repartitionByRange("none", "source").withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per range
+    offsets = dealt.groupBy("range").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    within = Window.partitionBy("range").orderBy("none", "source")
+    rows = dealt.join(F.broadcast(offsets), "range").withColumn("i", F.col("offset") + F.row_number().over(within) - 1)
+    return stage(rows.select("source", "words", "i"), "numbered")
+
+
+def _spread_targets(sources: DataFrame, share: float, most: float, floor: float, weights: tuple[float, ...]) -> DataFrame:
+    """source, words, i, target: as targets() deals them, by sums over the table of sources."""
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("i") % len(weights) + 1).cast("int"))
+    rows = _numbered(sources).withColumns({"weight": weight, "room": (most - floor) * F.col("words")})
+    total = rows.agg(F.sum("words")).first()[0] or 0
+    left, per = (share - floor) * total, 0.0
+    while left > 0:
+        full = F.col("room") < per * F.col("weight")
+        r = rows.agg(F.sum(F.when(full, F.col("room")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        after = (left - r.held) / r.open if r.open else math.inf
+        if after <= per or after == math.inf:
+            per = max(per, after)
+            break
+        per = after
+    got = F.least(F.lit(per) * F.col("weight"), "room") if left > 0 else F.lit(0.0)
+    return stage(rows.select("source", "words", "i", (floor * F.col("words") + got).alias("target")), "targets")
+
+
+def _spread_plan(totals: DataFrame, own: DataFrame, share: float, most: int, floor: float, weights: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """What _driver_plan finds, as tables."""
+    named = totals.select(F.explode("pattern").alias("source")).distinct().withColumn("words", F.lit(0).cast("long"))
+    sources = own.unionByName(named).groupBy("source").agg(F.sum("words").alias("words"))
+    aims = _spread_targets(sources, share, most, floor, weights)
+    goal = F.rint("target").cast("long")
+    # networks: components of sources that some pattern joins
+    joined = totals.where(F.size("pattern") > 1).select("pattern", F.explode("pattern").alias("source"))
+    ends = joined.join(aims, joined["source"].eqNullSafe(aims["source"])).groupBy("pattern").agg(F.min("i").alias("v"), F.collect_set("i").alias("all"))
+    net = stage(components(ends.select(F.explode("all").alias("u"), "v")), "nets")
+    placed = aims.join(net.withColumnRenamed("node", "i"), "i", "left").withColumn("goal", goal)
+    members = totals.select("pattern", "words", F.explode("pattern").alias("source")).join(placed.select(F.col("source").alias("s"), "i", "goal", "component"), F.col("source").eqNullSafe(F.col("s")))
+    members = members.select("pattern", "words", "source", "i", "goal", "component")
+
+    flow = F.least(F.col("goal"), most * F.col("words"))
+    alone = members.where("component IS NULL").select("pattern", flow.alias("flow"), F.when(flow > 0, F.array(F.struct("source", flow.alias("words")))).otherwise(F.array()).cast(_PARTS).alias("parts"))
+    grouped = members.where("component IS NOT NULL").groupBy("component", "pattern", "words").agg(F.array_sort(F.collect_list(F.struct("i", "source", "goal"))).alias("sources"))
+    grouped = grouped.groupBy("component").agg(F.collect_list(F.struct("pattern", "words", "sources")).alias("net"))
+
+    def solved(nets: list) -> list:
+        out = []
+        for net in nets:
+            net.sort(key=lambda p: [s["i"] for s in p["sources"]])
+            known = {s["i"]: s for p in net for s in p["sources"]}
+            order = sorted(known)
+            number = {i: k for k, i in enumerate(order)}
+            sent = min_cost_flow([([number[s["i"]] for s in p["sources"]], p["words"]) for p in net], [known[i]["goal"] for i in order], most)
+            out.append([{"pattern": p["pattern"], "flow": sum(f.values()), "parts": [{"source": known[order[k]]["source"], "words": w} for k, w in sorted(f.items()) if w]} for p, f in zip(net, sent, strict=True)])
+        return [out]
+
+    flows = map_texts(grouped, solved, f"flows array<struct<pattern: array<string>, flow: long, parts: {_PARTS}>>")
+    flows = stage(alone.unionByName(flows.select(F.explode("flows").alias("f")).select("f.pattern", "f.flow", "f.parts")), "flows")
+    return flows, aims.select("source", F.col("words").alias("source_size"), "target")
+
+
+def mix(sized: DataFrame, share: float = 1.5, most: int = 2, floor: float = 0.0, weights: tuple[float, ...] = (3, 1, 2), seed: int = 17, bucket_docs: int = 4096, max_patterns: int = 100_000) -> DataFrame:
+    """sized: doc_id, size (long), sources (array of string, its own first). Adds source_size and target (of the first
+    source), copies, taken (size * copies) and given (source, words: what the document gives to each source).
+    """
+    spark = sized.sparkSession
+    sized = sized.select("doc_id", "size", F.coalesce("sources", F.array(F.lit(None).cast("string"))).alias("sources"))
+    sized = stage(sized.withColumns({"pattern": F.array_sort(F.array_distinct("sources")), "own": F.slice("sources", 1, 1)}), "sized")
+    totals = stage(sized.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "patterns")
+    own = sized.groupBy("own").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    own = stage(own.select(F.col("own")[0].alias("source"), "words", "docs"), "own")
+    if max(totals.count(), own.count()) <= max_patterns:
+        flows, aims = _driver_plan(totals.collect(), own.collect(), share, most, floor, weights)
+        flows = spark.createDataFrame(flows, f"pattern array<string>, flow long, parts {_PARTS}")
+        aims = spark.createDataFrame(aims, "source string, source_size long, target double")
+    else:
+        flows, aims = _spread_plan(totals, own.select("source", "words"), share, most, floor, weights)
+    flows = totals.select("pattern", "words", F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_docs)).cast("long").alias("buckets")).join(flows, "pattern")
 
     # position of each document on its pattern's seeded line
-    rows = sized.alias("d").join(small(flows, 256).alias("f"), F.col("d.pattern") == F.col("f.pattern")).select("d.*", "f.words", "f.buckets", "f.flow", "f.parts")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = rows.withColumn("order", order).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("buckets")))
+    rows = join_hot(sized, small(flows, 256), "pattern", hot=totals.select("pattern", F.col("docs").alias("count")))
+    rows = rows.withColumns({"order": F.xxhash64(F.lit(seed), "doc_id"), "bucket": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("buckets"))})
     within = Window.partitionBy("pattern", "bucket").orderBy("order", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bucket_sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum")).withColumn("offset", F.coalesce(F.sum("sum").over(before), F.lit(0))).select(F.col("pattern").alias("p"), F.col("bucket").alias("b"), "offset")
@@ -150,8 +231,9 @@ def mix(sized: DataFrame, share: float = 1.5, most: int = 2, floor: float = 0.0,
     rows = rows.withColumn("ends", ends)
     given = F.expr("transform(if(copies > 0, sequence(0L, copies - 1), array()), k -> named_struct('source', coalesce(element_at(filter(ends, e -> 2 * (k * words + at) + size <= 2 * e.end), 1).source, element_at(ends, -1).source), 'words', size))")
     rows = rows.withColumn("given", F.when(F.size("ends") > 0, given))
-    first = F.col("sources")[0]
-    return rows.join(small(aims, 64), first.eqNullSafe(F.col("source"))).select("doc_id", "size", "sources", F.col("source"), "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "given")
+    aims = aims.select(F.array("source").alias("own"), "source", "source_size", "target")
+    rows = join_hot(rows, small(aims, 64), "own", hot=own.select(F.array("source").alias("own"), F.col("docs").alias("count")))
+    return rows.select("doc_id", "size", "sources", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "given")
 
 
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
@@ -162,5 +244,7 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     sized = docs.select("doc_id", word_count("text").alias("size"), F.array("source").alias("sources"))
     taken = mix(sized, **kwargs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
     taken = stage(taken, "taken")
-    rows = docs.join(small(taken, 24), F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
+    # rows without an id share one row, apart from the others, who may be joined by a shuffle
+    none = docs.where("doc_id IS NULL").crossJoin(F.broadcast(taken.where("__id IS NULL")))
+    rows = docs.join(small(taken, 24), F.col("doc_id") == F.col("__id")).unionByName(none).where("__copies > 0")
     return rows.select("*", F.explode(F.expr("sequence(1L, __copies)")).alias("__copy")).select(*docs.columns)
