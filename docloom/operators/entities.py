@@ -81,8 +81,11 @@ def merge(*lists: Column) -> Column:
     """Entities of the lists in order; of equal lower-cased texts with one label the first stays."""
     joined = F.concat(*(F.coalesce(x, F.array().cast(f"array<{ENTITY}>")) for x in lists))
     name = lambda e: F.concat_ws("\x01", F.lower(e["text"]), e["label"])
-    first = lambda every: let(F.transform(every, name), lambda keys: F.filter(every, lambda e, i: F.array_position(keys, name(e)) == i + 1))
-    return let(joined, first)
+    keyed = lambda every: F.array_sort(F.transform(every, lambda e, i: F.struct(name(e).alias("k"), i.alias("i"))))
+    # sorted by name and place, an entity is its name's first if the one before it has another name
+    firsts = lambda keys: F.filter(keys, lambda x, at: (at == 0) | (F.element_at(keys, F.greatest(at, F.lit(1)))["k"] != x["k"]))
+    places = lambda every: let(keyed(every), lambda keys: F.array_sort(F.transform(firsts(keys), lambda x: x["i"])))
+    return let(joined, lambda every: let(places(every), lambda kept: F.transform(kept, lambda i: F.element_at(every, i + 1))))
 
 
 def model_label(label: Column, text: Column) -> Column:
@@ -137,15 +140,24 @@ def link(mentions: DataFrame) -> DataFrame:
     return mentions.withColumns({"linked_to": where, "canonical": canonical(F.col("text"), F.col("label")), "related": F.array().cast("array<string>")})
 
 
-def knowledge_base(linked: DataFrame) -> DataFrame:
-    """canonical, label (of the first mention), mention_count, documents, mentions (five distinct at most), first_doc.
+def knowledge_base(linked: DataFrame, spellings: int = 5) -> DataFrame:
+    """canonical, label (of the first mention), mention_count, n_docs, mentions (distinct, `spellings` at most), first_doc.
 
-    Mentions are counted before they are gathered, so a frequent name brings one row per spelling, not per mention.
+    A name's documents are a table of their own (`documents_of`): the commonest name stands in most of them. Mentions are
+    counted, and spellings cut, before anything is gathered.
     """
     spelled = linked.groupBy("canonical", "text").agg(F.count("*").alias("n"), F.min(F.struct("doc_name", "label")).alias("first"))
-    names = spelled.groupBy("canonical").agg(F.min("first").alias("first"), F.sum("n").alias("mention_count"), F.slice(F.array_sort(F.collect_set("text")), 1, 5).alias("mentions"))
-    documents = linked.select("canonical", "doc_name").distinct().groupBy("canonical").agg(F.array_sort(F.collect_list("doc_name")).alias("documents"))
-    return names.join(documents, "canonical").select("canonical", F.col("first.label").alias("label"), "mention_count", "documents", "mentions", F.col("first.doc_name").alias("first_doc"))
+    place = Window.partitionBy("canonical").orderBy("text")
+    few = spelled.select("canonical", "text").withColumn("r", F.row_number().over(place)).where(F.col("r") <= spellings)
+    few = few.groupBy("canonical").agg(F.array_sort(F.collect_list("text")).alias("mentions"))
+    names = spelled.groupBy("canonical").agg(F.min("first").alias("first"), F.sum("n").alias("mention_count"))
+    counts = documents_of(linked).groupBy("canonical").agg(F.count("*").alias("n_docs"))
+    return names.join(counts, "canonical").join(few, "canonical").select("canonical", F.col("first.label").alias("label"), "mention_count", "n_docs", "mentions", F.col("first.doc_name").alias("first_doc"))
+
+
+def documents_of(linked: DataFrame) -> DataFrame:
+    """canonical, doc_name: each document of a name once."""
+    return linked.select("canonical", "doc_name").distinct()
 
 
 def related(linked: DataFrame, targets: DataFrame, most: int = 10) -> DataFrame:

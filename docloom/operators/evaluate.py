@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docloom.functions.constants import CHECK_STOP_WORDS
 from docloom.functions.text import let, round4, sentences, word_set, words
 from docloom.operators.explain import claims
+from docloom.operators.vectors import joinable
 
 
 def retrieval_metrics(retrieved: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -32,6 +33,25 @@ def retrieval_metrics(retrieved: DataFrame, relevant: DataFrame, queries: DataFr
     return rows.select("query_id", ratio("hits", "n").alias("precision"), ratio("hits", "total").alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def containing(docs: DataFrame, items: DataFrame, gram: int = 5) -> DataFrame:
+    """query_id, id: the documents (id, text) whose text holds an item's (query_id, text), character by character.
+
+    A text that holds an item holds its inner words whole, so candidates are found by the first run of `gram` of them, an
+    equi-join, and then compared. Items of too few words are compared with every text.
+    """
+    split = lambda c: F.split(c, r"(?U)\s+")
+    run = lambda ws, i: F.xxhash64(F.array_join(F.slice(ws, i, gram), " "))
+    asked = items.where("text <> ''").select("query_id", F.col("text").alias("item"), split("text").alias("ws"))
+    long_ = asked.where(F.size("ws") >= gram + 2).select("query_id", "item", run(F.col("ws"), F.lit(2)).alias("g"))
+    short = asked.where(F.size("ws") < gram + 2).select("query_id", "item")
+    rows = docs.where("id IS NOT NULL").select("id", F.col("text").alias("t"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - gram + 1, F.lit(1))), lambda i: run(F.col("ws"), i))
+    held = rows.withColumn("ws", split("t")).withColumn("g", F.explode(runs)).drop("ws")
+    near = held.join(joinable(long_), "g").where(F.contains("t", F.col("item"))).select("query_id", "id")
+    every = rows.join(joinable(short), F.contains("t", F.col("item"))).select("query_id", "id")
+    return near.unionByName(every).distinct()
+
+
 def mean_reciprocal_rank(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.avg("reciprocal_rank").alias("mrr"))
 

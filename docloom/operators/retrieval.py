@@ -51,10 +51,11 @@ def candidates(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     dense row keeps its lexical score wherever it stands.
     """
     near = min_max(best(dense, 3 * k)).select("query_id", "id", F.col("norm").alias("semantic"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("norm", 9)), "id")
-    scaled = min_max(lexical).withColumn("place", F.row_number().over(order)).select("query_id", "id", F.col("norm").alias("lexical"), "place")
-    both = near.join(scaled, ["query_id", "id"], "full").where(F.col("semantic").isNotNull() | (F.col("place") <= 2 * k))
-    return both.select("query_id", "id", F.coalesce("semantic", F.lit(0.0)).alias("semantic"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"))
+    scaled = min_max(lexical).select("query_id", "id", F.col("norm").alias("lexical"))
+    top = best(scaled, 2 * k, score="lexical").select("query_id", "id", "lexical")
+    held = near.join(scaled, ["query_id", "id"], "left")
+    more = top.join(near, ["query_id", "id"], "left_anti").withColumn("semantic", F.lit(0.0))
+    return held.select("query_id", "id", "semantic", F.coalesce("lexical", F.lit(0.0)).alias("lexical")).unionByName(more.select("query_id", "id", "semantic", "lexical"))
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = DEFAULTS.dense_top_k) -> DataFrame:

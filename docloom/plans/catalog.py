@@ -7,15 +7,17 @@ Every query takes whole tables and whole texts; k is the only limit, where top-k
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.constants import CLAIM_STOP_WORDS, ENTITY_PATTERNS, QUERY_STOP_WORDS
+from docloom.functions.constants import CLAIM_STOP_WORDS, ENTITY_PATTERNS, LEGEND, NO_CONTEXT, QUERY_STOP_WORDS, SECTION_PATTERNS, WEAK_SUPPORT
 from docloom.operators import answer, chunking, corpus, entities, evaluate, explain, index, lexical, retrieval, vectors
-from docloom.session import materialize
+from docloom.session import materialize, shared_dir
+from docloom.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +38,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, source: DataFrame, what: str, build: Callable[[], DataFrame], files: int = 1000) -> DataFrame:
+    """What build makes of source, written once per application and state of source's files, for all queries that read it.
+
+    Sources of more files are not told apart cheaply; what is made of them is written for each query.
+    """
+    found = source.inputFiles()
+    if len(found) > files:
+        return materialize(build(), what)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def status(file: str):
+        path = hadoop.Path(file)
+        s = path.getFileSystem(conf).getFileStatus(path)
+        return file, s.getLen(), s.getModificationTime()
+
+    def there(df: DataFrame) -> bool:
+        return all(hadoop.Path(f).getFileSystem(conf).exists(hadoop.Path(f)) for f in df.inputFiles()[:1])
+
+    key = (spark.sparkContext.applicationId, what, *sorted(map(status, found)))
+    if key not in _SHARED or not there(_SHARED[key]):
+        _SHARED[key] = materialize(build(), what)
+    return _SHARED[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, where it has fewer files than there are cores: one small file would be one task's work.
 
@@ -246,16 +275,55 @@ def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SECTIONED = "concat('SECTION ', doc_id % 500 + 1, '. Title', chr(10), text, chr(10), 'Article 21. Life', chr(10), text, chr(10), '1. Short title', chr(10), text)"
 
 
-@query()
+
+def _found_sql(source: str, parts: list[tuple[str, str]]) -> str:
+    """f: doc_id, t, j (the pattern's number), label, raw, start of all matches of (label, pattern), by split texts."""
+    marked = lambda p: "string_split(regexp_replace(t, '" + p.replace("'", "''") + r"', concat(chr(2), '\0', chr(3)), 'g'), chr(2))"
+    each = " UNION ALL ".join(f"SELECT doc_id, {j} AS j, '{label}' AS label, unnest({marked(p)}) AS piece, generate_subscripts({marked(p)}, 1) AS i FROM d0" for j, (label, p) in enumerate(parts))
+    return (
+        f"d0 AS (SELECT doc_id, {source} AS t FROM documents), z AS ({each}), zz AS (SELECT *, length(replace(piece, chr(3), '')) AS n FROM z), "
+        "f AS (SELECT doc_id, j, label, split_part(piece, chr(3), 1) AS raw, sum(n) OVER (PARTITION BY doc_id, j ORDER BY i) - n AS start, i FROM zz QUALIFY i > 1)"
+    )
+
+
+_BLANK = "concat(' ', chr(10), chr(9), chr(13))"
+
+
+def _sections_sql() -> str:
+    """sc: doc_id, type, number, title, start, end, pos of the headings of _SECTIONED."""
+    found = _found_sql(_SECTIONED, [(str(j), "(?m)" + p) for j, p in enumerate(SECTION_PATTERNS)])
+    group = lambda k: "CASE j " + " ".join("WHEN {} THEN regexp_extract(raw, '{}', {})".format(j, p.replace("'", "''"), k) for j, p in enumerate(SECTION_PATTERNS)) + " END"
+    return (
+        f"WITH {found}, g AS (SELECT doc_id, j, raw, start, start + length(raw) AS end_, upper(trim({group(1)}, {_BLANK})) AS type, trim({group(2)}, {_BLANK}) AS title FROM f), "
+        f"u AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, start, end_, lower(trim(raw, {_BLANK})) ORDER BY j) = 1), "
+        r"sc AS (SELECT doc_id, type, regexp_extract(title, '^\S+') AS number, title, start, end_, row_number() OVER (PARTITION BY doc_id ORDER BY start, j) - 1 AS pos FROM u)"
+    )
+
+
+@query(
+    f"{_sections_sql()}, n AS (SELECT doc_id, type, number, start, pos, lead(start) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM sc), "
+    f"b AS (SELECT doc_id, pos, type, number, start, trim(substr(t, start::BIGINT + 1, coalesce(next, length(t))::BIGINT - start::BIGINT), {_BLANK}) AS c FROM n JOIN d0 USING (doc_id)), k AS (SELECT * FROM b WHERE length(c) >= 150), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM k) "
+    "SELECT substr(md5(concat(doc_id, '_', chunk_index)), 1, 12) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_name, chunk_index, total_chunks, type AS section, number AS section_num, CAST(start AS BIGINT) AS char_start, md5(c) AS digest FROM o"
+)
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.chunk_documents(documents(spark, sf_dir, _SECTIONED).withColumn("doc_name", F.col("doc_id").cast("string")))
-    return rows.select("chunk_id", "doc_name", "chunk_index", "total_chunks", "section", "section_num", "char_start", F.md5("text").alias("digest"))
+    long_ = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select("chunk_id", "doc_name", long_("chunk_index"), long_("total_chunks"), "section", "section_num", long_("char_start"), F.md5("text").alias("digest"))
 
 
-@query()
+@query(f'{_sections_sql()} SELECT doc_id, pos, type, number, title, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS "end" FROM sc')
 def detect_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, _SECTIONED).select("doc_id", F.posexplode(chunking.detect_sections("text")).alias("pos", "s"))
-    return rows.select("doc_id", "pos", "s.*")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "s.type", "s.number", "s.title", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@query("SELECT doc_id, o AS \"offset\", CASE WHEN length(text) >= o OR length(text) + 2 + 7 < o THEN CASE WHEN length(text) >= o THEN 1 ELSE 4 END ELSE 4 END AS page_num FROM documents, (VALUES (0), (500), (100000)) AS v(o)")
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets in documents of two pages, the text and seven characters more; pages are numbered 1 and 4."""
+    pages = F.array(F.struct(F.lit(1).alias("page_num"), F.col("text")), F.struct(F.lit(4).alias("page_num"), F.lit("the end").alias("text")))
+    rows = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(500), F.lit(100000))).alias("offset"))
+    return rows.select("doc_id", "offset", chunking.page_number(F.col("offset"), pages).alias("page_num"))
 
 
 # --- entities -------------------------------------------------------------------------------------------------------
@@ -275,8 +343,8 @@ _M = _matches_sql()
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id (the document's), label, text, pos of the legal texts, by expressions alone."""
-    found = entities.matches(documents(spark, sf_dir, LEGAL), "doc_id")
-    return found.withColumnRenamed("doc_id", "chunk_id")
+    made = lambda: entities.matches(documents(spark, sf_dir, LEGAL), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return shared(spark, table(spark, sf_dir, "documents"), "mentions", made)
 
 
 @query(f"{_M} SELECT label, count(*) AS n_mentions, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY label")
@@ -291,10 +359,16 @@ def ner_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "e.label", "e.text").agg(F.count("*").alias("n"))
 
 
-@query()
+_SPANS = (
+    f"WITH {_found_sql(LEGAL, [(label, ('(?i)' if fold else '') + p) for label, p, fold in ENTITY_PATTERNS])}, "
+    f"sp AS (SELECT doc_id, label, trim(raw, {_BLANK}) AS text, start::BIGINT AS start, start::BIGINT + length(raw) AS end_, row_number() OVER (PARTITION BY doc_id ORDER BY start, -length(raw), j, i) - 1 AS pos FROM f WHERE length(trim(raw, {_BLANK})) >= 2)"
+)
+
+
+@query(f'{_SPANS} SELECT doc_id, pos, text, label, start, end_ AS "end", substr(t, greatest(start - 50, 0) + 1, end_ + 50 - greatest(start - 50, 0)) AS context FROM sp JOIN d0 USING (doc_id)')
 def ner_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, LEGAL).select("doc_id", "text", F.posexplode(entities.extract_spans("text")).alias("pos", "e"))
-    return rows.select("doc_id", "pos", "e.*", entities.with_context(F.col("text"), F.col("e.start"), F.col("e.end")).alias("context")).drop("source")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "e.text", "e.label", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), entities.with_context(F.col("text"), F.col("e.start"), F.col("e.end")).alias("context"))
 
 
 @query(f"{_M} SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, label, lower(text) FROM m) GROUP BY doc_id")
@@ -329,7 +403,14 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_KB_ROWS} SELECT canonical, count(*) AS mention_count, count(DISTINCT doc_id) AS n_docs, array_to_string(list_sort(list(DISTINCT text))[1:5], '|') AS mentions FROM l GROUP BY canonical")
 def knowledge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = entities.knowledge_base(_linked(spark, sf_dir))
-    return base.select("canonical", "mention_count", F.size("documents").cast("long").alias("n_docs"), F.array_join("mentions", "|").alias("mentions"))
+    return base.select("canonical", "mention_count", "n_docs", F.array_join("mentions", "|").alias("mentions"))
+
+
+@query(f"{_KB_ROWS} SELECT doc_id AS document, label, text, canonical, count(*) AS n FROM l GROUP BY ALL")
+def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    held = mentions(spark, sf_dir).select(F.col("chunk_id").alias("doc_name"), "label", "text", none.alias("section"), none.alias("section_num"), F.lit(None).cast("int").alias("page_num"))
+    return entities.link(held).groupBy(F.col("linked_to.document").alias("document"), "label", "text", "canonical").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -371,10 +452,19 @@ def entity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.statistics(index.postings(m), index.labels(m))
 
 
-@query(f"{_KEYED} SELECT label, count(DISTINCT key) AS n_keys, md5(array_to_string(list_sort(list(DISTINCT key)), '|')) AS digest FROM k GROUP BY label")
+@query(f"{_KEYED} SELECT DISTINCT label, key FROM k")
 def entities_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.entities_by_label(index.labels(mentions(spark, sf_dir)))
-    return rows.select("label", F.size("keys").cast("long").alias("n_keys"), F.md5(F.array_join("keys", "|")).alias("digest"))
+    return index.entities_by_label(index.labels(mentions(spark, sf_dir)))
+
+
+@query(f"{_KEYED} SELECT 'total_entities' AS name, count(DISTINCT key) AS value FROM x UNION ALL SELECT 'total_postings', count(*) FROM x UNION ALL SELECT 'vector_store_size', count(*) FROM embeddings UNION ALL SELECT concat('label:', label), count(DISTINCT key) FROM k GROUP BY label")
+def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mentions(spark, sf_dir)
+    return index.statistics(index.postings(m), index.labels(m), table(spark, sf_dir, "embeddings"))
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, table(spark, sf_dir, "documents"), "postings", lambda: index.postings(mentions(spark, sf_dir)))
 
 
 _ASKED = "SELECT * FROM (VALUES (1, ' Supreme Court of India'), (1, 'bail'), (2, 'fine of Rs. 300'), (2, 'article 7 of the constitution of india'), (3, 'nothing of the kind')) AS v(query_id, entity)"
@@ -394,7 +484,7 @@ _FUZZY = (
 
 @query(f"{_FUZZY} SELECT entity, key, doc_id AS chunk_id, round(similarity, 6) AS similarity FROM h JOIN x USING (key)")
 def entity_lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.lookup_fuzzy(index.postings(mentions(spark, sf_dir)), spark.sql(_ASKED))
+    rows = index.lookup_fuzzy(_postings(spark, sf_dir), spark.sql(_ASKED))
     return rows.select("entity", "key", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -403,7 +493,7 @@ def entity_lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "r AS (SELECT query_id, doc_id, total, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id AS chunk_id, round(total / n, 6) AS score, rank FROM r JOIN n USING (query_id) WHERE rank <= 10"
 )
 def entity_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.retrieve(index.postings(mentions(spark, sf_dir)), spark.sql(_ASKED))
+    rows = index.retrieve(_postings(spark, sf_dir), spark.sql(_ASKED))
     return rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -443,7 +533,7 @@ def vector_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("SELECT item_id, 384 AS dim, 1.0::DOUBLE AS norm FROM benchmark")
 def vector_fallback_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", vectors.embed_fallback("text").alias("v"))
     return rows.select("item_id", F.size("v").alias("dim"), F.round(vectors.dot(F.col("v"), F.col("v")), 4).alias("norm"))
@@ -459,7 +549,8 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _index(spark: SparkSession, sf_dir: str) -> lexical.Bm25Index:
     """The documents' index with its postings written once: they feed term weights and scores."""
     docs = documents(spark, sf_dir)
-    return lexical.of_postings(materialize(lexical.build(docs, "doc_id").postings, "terms"), lexical.document_count(docs))
+    terms = shared(spark, table(spark, sf_dir, "documents"), "terms", lambda: lexical.build(docs, "doc_id").postings)
+    return lexical.of_postings(terms, lexical.document_count(table(spark, sf_dir, "documents")))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,10 +616,15 @@ def entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Vectors aren't keyed to documents: vector i stands for document i, and item i asks with vector i.
 _DENSE = f"ds AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DOT} AS score FROM embeddings a JOIN benchmark ON a.vec_id = item_id, embeddings b JOIN documents ON b.vec_id = doc_id), dt AS ({_TOP.format(s='ds')})"
 _HYBRID = (
-    f"WITH {_BM25}, {_DENSE}, d6 AS (SELECT * FROM dt WHERE rank <= 60), dn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS semantic FROM d6 WINDOW w AS (PARTITION BY query_id)), "
+    f"{_M}, {_BM25}, {_DENSE}, d6 AS (SELECT * FROM dt WHERE rank <= 60), dn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS semantic FROM d6 WINDOW w AS (PARTITION BY query_id)), "
     "ln AS (SELECT query_id, id, norm AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, id) AS place FROM nm), "
     "cd AS (SELECT query_id, id, coalesce(semantic, 0) AS semantic, coalesce(lexical, 0) AS lexical FROM dn FULL JOIN ln USING (query_id, id) WHERE semantic IS NOT NULL OR place <= 40), "
-    "hs AS (SELECT query_id, id, floor(least(greatest(0.7::DOUBLE * semantic + 0.2::DOUBLE * lexical + (CASE WHEN id % 20 / 20.0::DOUBLE <= 0.15 THEN 0.03::DOUBLE ELSE 0 END) - (CASE WHEN contains(lower(text), 'prayer') THEN 0.08::DOUBLE ELSE 0 END), 0), 1) * 10000 + 0.5) / 10000 AS score FROM cd JOIN documents ON id = doc_id), "
+    f"qn AS (SELECT query_id, qt, {_INTENT} AS intent FROM (SELECT item_id AS query_id, lower(text) AS q, {_TOKENS.format(t='text')} AS qt FROM benchmark)), "
+    f"eo AS (SELECT cd.query_id, cd.id, least(1.0::DOUBLE, 0.25 * count(*)) AS overlap FROM cd JOIN qn ON cd.query_id = qn.query_id JOIN m ON m.doc_id = cd.id WHERE len(list_intersect({_TOKENS.format(t='m.text')}, qt)) > 0 GROUP BY 1, 2), "
+    "cf AS (SELECT cd.query_id, cd.id, semantic, lexical, coalesce(overlap, 0) AS overlap, intent FROM cd JOIN qn ON cd.query_id = qn.query_id LEFT JOIN eo ON cd.query_id = eo.query_id AND cd.id = eo.id), "
+    "hs AS (SELECT query_id, id, floor(least(greatest(0.7::DOUBLE * semantic + 0.2::DOUBLE * lexical + 0.08::DOUBLE * overlap + (CASE WHEN intent = 'section' AND contains(lower(text), 'section') THEN 0.08::DOUBLE ELSE 0 END) "
+    "+ (CASE WHEN intent = 'definition' AND (contains(lower(text), 'means') OR contains(lower(text), 'refers to') OR contains(lower(text), 'includes')) THEN 0.06::DOUBLE ELSE 0 END) "
+    "+ (CASE WHEN intent = 'condition' AND (contains(lower(text), 'provided that') OR contains(lower(text), 'subject to') OR contains(lower(text), 'shall')) THEN 0.06::DOUBLE ELSE 0 END) + (CASE WHEN id % 20 / 20.0::DOUBLE <= 0.15 THEN 0.03::DOUBLE ELSE 0 END) - (CASE WHEN contains(lower(text), 'prayer') THEN 0.08::DOUBLE ELSE 0 END), 0), 1) * 10000 + 0.5) / 10000 AS score FROM cf JOIN documents ON id = doc_id), "
     f"hr AS ({_TOP.format(s='hs')})"
 )
 
@@ -537,13 +633,14 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _corpus_vectors(spark, sf_dir)
     held = store.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     asked = store.join(_questions(spark, sf_dir).select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
-    return vectors.scores(held, asked)
+    return vectors.search(held, asked, 60).drop("rank")
 
 
 @query(f"{_HYBRID} SELECT query_id, id, rank, round(score, 4) AS score FROM hr WHERE rank <= 20")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 20).alias("chunk_index"), F.lit(20).alias("total_chunks"), F.array().cast("array<string>").alias("entity_texts"))
-    asked = _questions(spark, sf_dir).withColumn("intent", F.lit("general"))
+    named = mentions(spark, sf_dir).groupBy(F.col("chunk_id").alias("id")).agg(F.collect_list("text").alias("entity_texts"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 20).alias("chunk_index"), F.lit(20).alias("total_chunks")).join(named, "id")
+    asked = _questions(spark, sf_dir).withColumn("intent", retrieval.intent(F.col("text")))
     rows = retrieval.hybrid(_dense(spark, sf_dir), _bm25(spark, sf_dir), chunks, asked)
     return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
@@ -581,7 +678,14 @@ def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query()
+_SPLIT = r"list_distinct(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
+
+
+@query(
+    f"WITH {_BM25}, p AS (SELECT bt.query_id, bt.id, bt.score AS original, {_SPLIT.format(t='b.text')} AS qs, {_SPLIT.format(t='d.text')} AS ts FROM bt JOIN documents d ON bt.id = doc_id JOIN benchmark b ON bt.query_id = item_id WHERE rank <= 20), "
+    f"s AS (SELECT query_id, id, original, len(list_intersect(qs, ts))::DOUBLE / greatest(len(qs), 1) AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) "
+    "SELECT query_id, id, rank, round(score, 6) AS score, round(original, 6) AS original_score FROM r WHERE rank <= 5"
+)
 def rerank_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a plug-in scorer: the share of the question's characters that are in the text."""
     found = lexical.top_k(_bm25(spark, sf_dir), 20).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(_questions(spark, sf_dir).select("query_id", F.col("text").alias("question")), "query_id")
@@ -650,22 +754,90 @@ def sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.col("passage_rank").cast("long").alias("passage_rank"), F.col("sent_idx").cast("long").alias("sent_idx"), F.round("score", 4).alias("score"), F.md5("sentence").alias("digest"))
 
 
-@query()
+_CHOSEN = (
+    _ANSWER.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", cn AS (SELECT query_id, CAST(id AS VARCHAR) AS chunk_id, id, rank, sent_idx, sentence, score, passage_score, lower(sentence) AS l, {_WORDS.format(t='sentence')} AS ws, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, round(passage_score, 9) DESC, rank, sent_idx) AS n FROM sc WHERE score > 0), "
+    "pk AS (SELECT query_id, n, true AS picked, [l] AS ls, [ws] AS sets FROM cn WHERE n = 1 UNION ALL SELECT cn.query_id, cn.n, w.picked, CASE WHEN w.picked THEN list_append(pk.ls, cn.l) ELSE pk.ls END, CASE WHEN w.picked THEN list_append(pk.sets, cn.ws) ELSE pk.sets END "
+    "FROM pk JOIN cn ON cn.query_id = pk.query_id AND cn.n = pk.n + 1, LATERAL (SELECT len(pk.ls) < 5 AND NOT list_contains(pk.ls, cn.l) AND len(list_filter(pk.sets, lambda s: len(s) > 0 AND len(cn.ws) > 0 AND len(list_intersect(s, cn.ws))::DOUBLE / len(list_distinct(list_concat(s, cn.ws))) > 0.8)) = 0 AS picked) w), "
+    "ch AS (SELECT cn.*, row_number() OVER (PARTITION BY cn.query_id ORDER BY rank, sent_idx) AS pos FROM pk JOIN cn USING (query_id, n) WHERE picked), "
+    "ci AS (SELECT query_id, chunk_id, id, passage_score, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS citation_id FROM ch GROUP BY query_id, chunk_id, id, passage_score)"
+)
+
+
+@query(f"{_CHOSEN} SELECT query_id, pos, chunk_id, rank AS passage_rank, sent_idx, round(score, 4) AS score, sentence FROM ch")
 def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answer.selected(answer.scored_sentences(_passages(spark, sf_dir), _asked(spark, sf_dir)))
-    return rows.select("query_id", "pos", "chunk_id", "passage_rank", "sent_idx", "score", "sentence")
+    long_ = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select("query_id", long_("pos"), "chunk_id", long_("passage_rank"), long_("sent_idx"), F.round("score", 4).alias("score"), "sentence")
 
 
-@query()
+@query(f"{_CHOSEN} SELECT query_id, citation_id, chunk_id, source AS doc_name, id % 7 AS page_num, lang AS section, 'local' AS source FROM ci JOIN documents ON id = doc_id")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = materialize(_passages(spark, sf_dir), "passages")
     chosen = answer.selected(answer.scored_sentences(passages, _asked(spark, sf_dir)))
-    return answer.citations(chosen, passages).select("query_id", "citation_id", "chunk_id", "doc_name", "page_num", "section", "source")
+    rows = answer.citations(chosen, passages)
+    return rows.select("query_id", F.col("citation_id").cast("long").alias("citation_id"), "chunk_id", "doc_name", F.col("page_num").cast("long").alias("page_num"), "section", "source")
+
+
+# The first sentence of a fifth of the items' passages is all that they have: too little for a sentence that scores.
+_WEAK = "query_id % 5 = 2"
+_ANSWERED = (
+    f"{_CHOSEN.replace('FROM pr JOIN documents ON id = doc_id WHERE rank <= 5)', f'FROM pr JOIN documents ON id = doc_id WHERE rank <= 5 AND query_id % 7 <> 3)').replace('AS ss FROM ps)', 'AS ss FROM (SELECT * REPLACE (CASE WHEN ' + _WEAK + ' THEN concat(chr(45), chr(32), chr(35), id) ELSE text END AS text) FROM ps))')}, "
+    "sg AS (SELECT ch.query_id, pos, sentence, citation_id, ch.id, lang, concat(sentence, ' [', citation_id, ']') AS line FROM ch JOIN ci USING (query_id, chunk_id) JOIN documents d ON ch.id = d.doc_id), "
+    "ga AS (SELECT query_id, string_agg(sentence, ' ' ORDER BY pos) AS text, string_agg(line, ' ' ORDER BY pos) AS lines, string_agg(concat('- ', line, ' (', lang, ', p.', id % 7, ')'), chr(10) ORDER BY pos) AS points FROM sg GROUP BY 1), "
+    "gc AS (SELECT query_id, string_agg(concat('- [', citation_id, '] ', source, ', section ', lang, ', page ', id % 7, ', source local'), chr(10) ORDER BY citation_id) AS cites, count(*) AS n, avg(passage_score) AS p, string_agg(chunk_id, '|' ORDER BY citation_id) FILTER (citation_id <= 3) AS ids FROM ci JOIN documents ON id = doc_id GROUP BY 1), "
+    "gs AS (SELECT query_id, avg(score) AS s FROM ch GROUP BY 1), gk AS (SELECT query_id, text, lines, points, cites, n, ids, floor(least(greatest(0.55::DOUBLE * least(greatest(s, 0), 1) + 0.45::DOUBLE * least(greatest(p, 0), 1), 0), 1) * 10000 + 0.5) / 10000 AS confidence FROM ga JOIN gc USING (query_id) JOIN gs USING (query_id)), "
+    "tp AS (SELECT query_id, min(id) FILTER (rank = 1) AS top, max(score) FILTER (rank = 1) AS score, count(*) FILTER (rank <= 3) AS n, string_agg(CAST(id AS VARCHAR), '|' ORDER BY rank) FILTER (rank <= 3) AS ids FROM ps GROUP BY 1), "
+    "kd AS (SELECT item_id AS query_id, CASE WHEN top IS NULL THEN 'insufficient_context' WHEN gk.text IS NULL THEN 'weak_support' ELSE 'grounded_extractive' END AS answer_type, gk.text AS text, lines, points, cites, gk.n AS gn, gk.ids AS gids, gk.confidence AS gc, top, tp.score AS ts, tp.n AS tn, tp.ids AS tids FROM benchmark LEFT JOIN tp ON item_id = tp.query_id LEFT JOIN gk ON item_id = gk.query_id), "
+    "dt2 AS (SELECT *, CASE WHEN text LIKE '%.' THEN text ELSE concat(text, '.') END AS said, concat('#', top, '.') AS short FROM kd)"
+)
 
 
-@query()
+@query(
+    f"{_ANSWERED} SELECT query_id, answer_type, CASE answer_type WHEN 'grounded_extractive' THEN said WHEN 'weak_support' THEN '{WEAK_SUPPORT}' ELSE '{NO_CONTEXT}' END AS simple_answer, CASE answer_type WHEN 'grounded_extractive' THEN text WHEN 'weak_support' THEN short ELSE '' END AS answer_text, "
+    f"CASE answer_type WHEN 'grounded_extractive' THEN concat('## Answer', chr(10), chr(10), lines, chr(10), chr(10), '## Evidence', chr(10), chr(10), points, chr(10), chr(10), '## Citations', chr(10), chr(10), cites) WHEN 'weak_support' THEN concat('{WEAK_SUPPORT}', chr(10), chr(10), '## Best Available Passage', chr(10), '> ', short) ELSE '{NO_CONTEXT}' END AS markdown_answer, "
+    "CASE answer_type WHEN 'grounded_extractive' THEN gn WHEN 'weak_support' THEN tn ELSE 0 END AS n_citations, CASE answer_type WHEN 'grounded_extractive' THEN gids WHEN 'weak_support' THEN tids ELSE '' END AS supporting, "
+    "CASE answer_type WHEN 'grounded_extractive' THEN gc WHEN 'weak_support' THEN floor(least(greatest(ts, 0), 1) * 10000 + 0.5) / 10000 ELSE 0 END AS confidence FROM dt2"
+)
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.answers(materialize(_passages(spark, sf_dir), "passages"), _asked(spark, sf_dir))
+    """All outcomes: a fifth of the items have passages too short to score, a seventh have none."""
+    passages = _passages(spark, sf_dir).where("query_id % 7 <> 3")
+    passages = passages.withColumn("text", F.when(F.expr(_WEAK), F.concat(F.lit("- #"), "chunk_id")).otherwise(F.col("text")))
+    rows = answer.answers(materialize(passages, "passages"), _asked(spark, sf_dir))
+    ids = F.array_join(F.transform("supporting_passages", lambda p: p["chunk_id"]), "|")
+    return rows.select("query_id", "answer_type", "simple_answer", "answer_text", "markdown_answer", F.size("citations").cast("long").alias("n_citations"), ids.alias("supporting"), "confidence")
+
+
+@query(
+    f"{_CHOSEN} SELECT query_id, pos, sentence AS text, citation_id, chunk_id, 'local' AS source, id % 7 AS page_num, lang AS section FROM (SELECT ch.query_id, ch.pos, ch.sentence, ci.citation_id, ch.chunk_id, ch.id FROM ch JOIN ci USING (query_id, chunk_id)) JOIN documents ON id = doc_id"
+)
+def evidence_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answer.answers(materialize(_passages(spark, sf_dir), "passages"), _asked(spark, sf_dir)).where("answer_type = 'grounded_extractive'")
+    rows = rows.select("query_id", F.posexplode("evidence_points").alias("pos", "e"))
+    return rows.select("query_id", (F.col("pos") + 1).cast("long").alias("pos"), "e.text", F.col("e.citation_ids")[0].cast("long").alias("citation_id"), "e.chunk_id", "e.source", F.col("e.page_num").cast("long").alias("page_num"), "e.section")
+
+
+@query(f"{_ROUTE} SELECT query_id, round(confidence, 4) AS confidence, 0.75::DOUBLE AS threshold, true AS fallback_enabled, CASE WHEN confidence < 0.75 THEN 'web_search' ELSE 'local' END AS route FROM c")
+def route_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = lexical.top_k(lexical.normalized_scores(_bm25(spark, sf_dir)), 3)
+    held = scaled.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "norm"))), lambda r: r["norm"]).alias("s"))
+    return held.select("query_id", answer.route_info(F.col("s"), True).alias("i")).select("query_id", F.round("i.confidence", 4).alias("confidence"), "i.threshold", "i.fallback_enabled", "i.route")
+
+
+@query(
+    f"{_ROUTE}, p AS (SELECT query_id, id, norm AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(norm, 9) DESC, id) AS rank FROM nm), w AS (SELECT query_id, CAST(x.r AS BIGINT) AS rank, concat('http://w/', x.r) AS chunk_id, least(1.0, x.r * 0.6::DOUBLE) AS score FROM c, (VALUES (1), (2)) AS x(r) WHERE confidence < 0.95 AND query_id % 2 = 0), "
+    "n AS (SELECT query_id, count(*) AS n FROM w GROUP BY 1), a AS (SELECT query_id, rank, chunk_id, score, 0 AS part FROM w UNION ALL SELECT query_id, rank, CAST(id AS VARCHAR), score, 1 FROM p WHERE rank <= 5) "
+    "SELECT a.query_id, row_number() OVER (PARTITION BY a.query_id ORDER BY part, a.rank) AS rank, chunk_id, round(score, 6) AS score, CASE WHEN confidence < 0.95 THEN 'web_search' ELSE 'local' END AS route, coalesce(n, 0) AS web_results, CASE WHEN confidence < 0.95 AND n IS NULL THEN 'web_search_returned_no_results' END AS web_error FROM a JOIN c ON a.query_id = c.query_id LEFT JOIN n ON a.query_id = n.query_id"
+)
+def web_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that finds two pages for every second item."""
+    passages = materialize(_passages(spark, sf_dir), "passages")
+    asked = passages.select("query_id").distinct()
+    pages = spark.createDataFrame([(1,), (2,)], "rank int")
+    external = asked.where("query_id % 2 = 0").crossJoin(F.broadcast(pages)).select("query_id", "rank", F.concat(F.lit("http://w/"), "rank").alias("chunk_id"), F.lit("web text").alias("text"), (F.col("rank") * 0.6).alias("score"))
+    used, routes = answer.routed(passages, asked, external, True, 0.95)
+    rows = used.join(routes, "query_id")
+    return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "route", F.col("web_results_count").cast("long").alias("web_results"), "web_error")
 
 
 @query(f"{_M}, f AS (SELECT doc_id, label, text, concat(text, ' (', label, ')') AS name FROM m) SELECT doc_id, count(DISTINCT lower(name)) AS n FROM f GROUP BY doc_id")
@@ -744,29 +916,45 @@ def claim_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.col("claim_idx").cast("long").alias("claim_idx"), explain.claim_confidence(F.col("similarity")).alias("c")).select("query_id", "claim_idx", "c.confidence", "c.supported")
 
 
-_AGREE = "SELECT l_orderkey AS id, list(l_discount * 10 ORDER BY l_linenumber) AS s, list(l_tax * 10 ORDER BY l_linenumber) AS t, list(l_suppkey ORDER BY l_linenumber) AS d FROM lineitem GROUP BY 1"
+_AGREE = "SELECT l_orderkey AS id, list(l_discount * 10 ORDER BY l_linenumber, l_discount, l_tax) AS s, list(l_tax * 10 ORDER BY l_linenumber, l_discount, l_tax) AS t, list(l_suppkey ORDER BY l_linenumber) AS d, list(lower(l_returnflag)) AS f, list(lower(l_linestatus)) AS l FROM lineitem GROUP BY 1"
 
 
 @query(
-    f"WITH r AS ({_AGREE}), m AS (SELECT id, list_sum(s) / len(s) AS a, list_max(s) AS top, list_sum(t) / len(t) AS b, len(list_filter(t, lambda x: x > 0.3))::DOUBLE / len(t) AS g, len(list_distinct(d)) AS n FROM r) "
-    "SELECT id, round(0.3 * (0.6 * (CASE WHEN a > 1 THEN least(1, (a + 10) / 20) ELSE a END) + 0.4 * (CASE WHEN top > 1 THEN least(1, (top + 10) / 20) ELSE top END)) + 0.25 * 0.7 + 0.3 * (0.5 * b + 0.5 * g) + 0.15 * (CASE WHEN n >= 3 THEN 1.0 WHEN n = 2 THEN 0.8 ELSE 0.5 END), 6) AS confidence FROM m"
+    f"WITH r AS ({_AGREE}), m AS (SELECT id, list_sum(s) / len(s) AS a, list_max(s) AS top, list_sum(t) / len(t) AS b, len(list_filter(t, lambda x: x > 0.3))::DOUBLE / len(t) AS g, len(list_distinct(d)) AS n, len(list_filter(['r', 'a', 'o'], lambda e: list_contains(f, e) OR len(list_filter(l, lambda x: contains(x, e))) > 0)) / 3.0::DOUBLE AS e FROM r) "
+    "SELECT id, floor((0.3::DOUBLE * (0.6::DOUBLE * (CASE WHEN a > 1 THEN least(1, (a + 10) / 20) ELSE a END) + 0.4::DOUBLE * (CASE WHEN top > 1 THEN least(1, (top + 10) / 20) ELSE top END)) + 0.25::DOUBLE * e + 0.3::DOUBLE * (0.5::DOUBLE * b + 0.5::DOUBLE * g) + 0.15::DOUBLE * (CASE WHEN n >= 3 THEN 1.0::DOUBLE WHEN n = 2 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END)) * 10000 + 0.5) / 10000 AS confidence, round(e, 6) AS coverage FROM m"
 )
 def confidence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over order lines as stand-ins: discounts as passage scores, taxes as similarities, suppliers as documents."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_discount") * 10).alias("s"), (F.col("l_tax") * 10).alias("t"), "l_suppkey"))).alias("x"))
+    """Over order lines as stand-ins: discounts as passage scores, taxes as similarities, suppliers as documents, flags as
+    the passages' entities and line states as their texts."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_discount") * 10).alias("s"), (F.col("l_tax") * 10).alias("t"), "l_suppkey", "l_returnflag", "l_linestatus"))).alias("x"))
     pick = lambda f: F.transform("x", lambda r: r[f])
-    none = F.array().cast("array<string>")
-    parts = (explain.retrieval_quality(pick("s")), explain.entity_coverage(none, none, none), explain.claim_alignment(pick("t")), explain.source_diversity(pick("l_suppkey")))
-    return rows.select("id", F.round(0.3 * parts[0] + 0.25 * parts[1] + 0.3 * parts[2] + 0.15 * parts[3], 6).alias("confidence"))
+    asked = F.array(F.lit("R"), F.lit("A"), F.lit("o"), F.lit("r"))
+    covered = explain.entity_coverage(asked, pick("l_linestatus"), pick("l_returnflag"))
+    whole = explain.overall_confidence(explain.retrieval_quality(pick("s")), covered, explain.claim_alignment(pick("t")), explain.source_diversity(pick("l_suppkey")), passages=F.size("x"))
+    return rows.select("id", whole.alias("confidence"), F.round(covered, 6).alias("coverage"))
 
 
-@query()
+_MARKED = (
+    _SPANS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", an AS (SELECT doc_id, pos, label, text, start, end_, true AS kept, end_ AS reach FROM sp WHERE pos = 0 UNION ALL SELECT sp.doc_id, sp.pos, sp.label, sp.text, sp.start, sp.end_, sp.start >= an.reach, CASE WHEN sp.start >= an.reach THEN sp.end_ ELSE an.reach END FROM an JOIN sp ON sp.doc_id = an.doc_id AND sp.pos = an.pos + 1), "
+    "mk AS (SELECT doc_id, label, text, start, end_, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM an WHERE kept)"
+)
+
+
+@query(f'{_MARKED} SELECT doc_id, pos, text, label, start, end_ AS "end" FROM mk')
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, LEGAL).withColumn("e", entities.extract_spans("text")).select("doc_id", F.posexplode(explain.annotations(F.col("text"), F.col("e"))).alias("pos", "a"))
-    return rows.select("doc_id", "pos", "a.*")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "a.text", "a.label", F.col("a.start").cast("long").alias("start"), F.col("a.end").cast("long").alias("end"))
 
 
-@query()
+_STYLE = "CASE label " + " ".join(f"WHEN '{label}' THEN 'background:{bg};color:{text};border:1px solid {border}'" for label, bg, text, border, _ in LEGEND) + " END"
+
+
+@query(
+    f"{_MARKED}, pc AS (SELECT doc_id, pos, substr(t, before + 1, start - before) AS lead, substr(t, start + 1, end_ - start) AS own, label, {_STYLE} AS style FROM mk JOIN d0 USING (doc_id)), "
+    "md AS (SELECT doc_id, string_agg(concat(lead, '**', own, '** `[', label, ']`'), '' ORDER BY pos) AS markdown, string_agg(concat(lead, '<span class=\"entity\" style=\"', style, ';padding:2px 6px;border-radius:4px;font-weight:500;\" data-label=\"', label, '\" title=\"', label, '\">', own, '<sup style=\"font-size:0.7em;margin-left:2px;opacity:0.7;\">', label, '</sup></span>'), '' ORDER BY pos) AS html FROM pc GROUP BY 1), "
+    "en AS (SELECT doc_id, max(end_) AS reach FROM mk GROUP BY 1) SELECT doc_id, md5(concat(markdown, substr(t, reach + 1))) AS markdown, md5(concat(html, substr(t, reach + 1))) AS html FROM md JOIN en USING (doc_id) JOIN d0 USING (doc_id)"
+)
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, LEGAL).withColumn("e", entities.extract_spans("text")).withColumn("marks", explain.annotations(F.col("text"), F.col("e")))
     return rows.select("doc_id", F.md5(explain.highlight_markdown(F.col("text"), F.col("marks"))).alias("markdown"), F.md5(explain.highlight_html(F.col("text"), F.col("marks"))).alias("html"))
@@ -777,7 +965,7 @@ def display_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.round(explain.display_score(F.col("value") - 50), 6).alias("shown"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join("('" + "', '".join(row) + "')" for row in LEGEND) + ") AS v(label, bg, text, border, description)")
 def entity_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.legend(spark)
 
@@ -788,9 +976,9 @@ _HITS = f"WITH {_BM25}, r AS (SELECT query_id, id, rank FROM bt WHERE rank <= 10
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevance by containment: the items are the stated queries, broadcast only if counted and few."""
-    docs, q = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
-    relevant = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(vectors.joinable(q), F.contains("t", F.col("text"))).select("query_id", "id")
+    """Relevance by containment."""
+    docs, q = documents(spark, sf_dir), _questions(spark, sf_dir)
+    relevant = evaluate.containing(docs.select(F.col("doc_id").alias("id"), "text"), q)
     return evaluate.retrieval_metrics(lexical.top_k(_bm25(spark, sf_dir), 10), relevant, q)
 
 
@@ -819,7 +1007,16 @@ def entity_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", evaluate.entity_f1(some("COURT", "STATUTE", "ACT"), some("COURT", "JUDGE", "ACT")).alias("f")).select("doc_id", "f.*")
 
 
-@query()
+_LIST = r"list_filter(regexp_split_to_array(lower({t}), '\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"WITH RECURSIVE t AS ({_TURNS}), w AS (SELECT query_id, {_LIST.format(t='answer')} AS a, {_LIST.format(t=chr(34) + 'r' + chr(34))} AS b FROM (SELECT *, concat_ws(' ', before, question) AS r FROM t)), "
+    "g AS (SELECT query_id, 0 AS i, list_transform(b, lambda x: 0) AS row FROM w UNION ALL SELECT g.query_id, g.i + 1, list_transform(range(1, len(s.met) + 1), lambda j: list_max(s.met[1:j])) FROM g JOIN w ON w.query_id = g.query_id AND g.i < len(w.a) AND len(w.b) > 0, "
+    "LATERAL (SELECT list_transform(range(1, len(w.b) + 1), lambda j: greatest(g.row[j], (CASE WHEN j > 1 THEN g.row[j - 1] ELSE 0 END) + (w.b[j] = w.a[g.i + 1])::INT)) AS met) s), "
+    "n AS (SELECT w.query_id, len(a) AS na, len(b) AS nb, coalesce(g.row[len(b)], 0)::DOUBLE AS n FROM w JOIN g ON g.query_id = w.query_id AND g.i = len(w.a)), f AS (SELECT query_id, n, n / nullif(na, 0) AS p, n / nullif(nb, 0) AS r FROM n) "
+    "SELECT query_id, coalesce(floor(p * 10000 + 0.5) / 10000, 0) AS precision, coalesce(floor(r * 10000 + 0.5) / 10000, 0) AS recall, coalesce(floor((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) * 10000 + 0.5) / 10000, 0) AS f1 FROM f"
+)
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     return t.select("query_id", evaluate.rouge_l(F.col("answer"), F.concat_ws(" ", "before", "question")).alias("r")).select("query_id", "r.*")
@@ -863,27 +1060,156 @@ def eval_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.evaluate_dataset(rows).select("total_samples", F.round("faithfulness_mean", 3).alias("faithfulness_mean"))
 
 
+_SHARES = f"len(list_intersect({_WORDS.format(t='claim')}, {_WORDS.format(t='s')}))"
+
+
+@query(
+    f"WITH t AS ({_TURNS}), c AS (SELECT query_id, question AS claim, concat_ws(' ', answer, before) AS ev FROM t), x AS (SELECT query_id, claim, {_SENTENCES.format(t='ev')} AS ss FROM c), y AS (SELECT query_id, claim, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM x), "
+    f"r AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY {_SHARES} DESC, i) AS k FROM y), g AS (SELECT query_id, substr(string_agg(s, ' ' ORDER BY k), 1, 1500) AS trimmed FROM r WHERE k <= 8 GROUP BY 1) SELECT query_id, coalesce(trimmed, '') AS trimmed FROM c LEFT JOIN g USING (query_id)"
+)
+def trimmed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir)
+    return t.select("query_id", evaluate.trim_evidence(F.col("question"), F.concat_ws(" ", "answer", "before")).alias("trimmed"))
+
+
+# --- sources and tables -----------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docloom/folder-{uuid.uuid4().hex}"
+
+
+def _saved_documents(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a JSON file for each nation (text or content) and a text file for each region."""
+    folder = _folder(spark)
+    nations = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("text"), F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).alias("content"))
+    nations.coalesce(1).write.option("maxRecordsPerFile", 1).json(folder)
+    table(spark, sf_dir, "region").select(F.concat("r_name", F.lit(" region"))).coalesce(1).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+@query("SELECT '.json' AS doc_type, n_name AS text, true AS unpaged FROM nation UNION ALL SELECT '.txt', concat(r_name, ' region'), true FROM region")
+def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.read_documents(spark, _saved_documents(spark, sf_dir))
+    return rows.select("doc_type", T.strip("text").alias("text"), (F.col("pages").isNull() & F.col("error").isNull()).alias("unpaged"))
+
+
+@query("SELECT '.json' AS doc_type, count(*) AS n, 3 AS scan_order FROM nation UNION ALL SELECT '.txt', count(*), 2 FROM region")
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.scan(spark, _saved_documents(spark, sf_dir))
+    listed = files.listing(found)
+    return listed.join(found.select("doc_name", "scan_order"), "doc_name").groupBy("doc_type", F.col("scan_order").cast("int").alias("scan_order")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS id, 'kept' AS state FROM documents UNION ALL SELECT NULL, 'cleared' UNION ALL SELECT NULL, 'absent'")
+def table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved and read again; cleared; never saved."""
+    base, schema = _folder(spark), "doc_id long, text string"
+    docs = documents(spark, sf_dir)
+    for name in ("kept", "cleared"):
+        tables.save(docs, f"{base}/{name}")
+    tables.clear(spark, f"{base}/cleared", schema)
+    rows = tables.load(spark, f"{base}/kept", schema).select(F.col("doc_id").alias("id"), F.lit("kept").alias("state"))
+    empty = lambda n: tables.load(spark, f"{base}/{n}", schema).agg(F.when(F.count("*") == 0, F.lit(n)).alias("state")).select(F.lit(None).cast("long").alias("id"), "state")
+    return rows.unionByName(empty("cleared")).unionByName(empty("absent"))
+
+
+@query("SELECT event_type AS question, CAST(event_id AS VARCHAR) AS answer, value AS confidence FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended in three parts, then the newest 500."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("question"), F.col("event_id").cast("string").alias("answer"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("timestamp"), F.col("value").alias("confidence"), F.lit(1).alias("num_sources"), (F.col("event_id") % 3).alias("part"))
+    for part in range(3):
+        tables.append_history(rows.where(F.col("part") == part), path)
+    return tables.history(spark, path).select("question", "answer", "confidence")
+
+
+@query(f"{_M}, g AS (SELECT doc_id FROM documents WHERE source = 'src1') SELECT 'chunks' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (FROM g) UNION ALL SELECT 'mentions', count(*) FROM m WHERE doc_id NOT IN (FROM g)")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's chunks go by its name, what hangs on them by their ids."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("doc_id").alias("chunk_id"))
+    left = tables.delete_documents({"chunks": chunks, "mentions": mentions(spark, sf_dir)}, spark.createDataFrame([("src1",)], "doc_name string"))
+    count = lambda n: left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
+    return count("chunks").unionByName(count("mentions"))
+
+
+@query("SELECT r_name AS question, NULL::VARCHAR AS error FROM region WHERE r_regionkey = 0 UNION ALL SELECT NULL, 'No QA evaluation data found'")
+def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first file of a folder with one for each region; a folder that isn't there."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").coalesce(1).select(F.col("r_name").alias("question"), F.lit("a").alias("answer"))
+    rows.write.option("maxRecordsPerFile", 1).json(folder)
+    found = tables.qa_dataset(spark, folder).unionByName(tables.qa_dataset(spark, f"{folder}-absent"))
+    return found.select("question", "error")
+
+
+@query("SELECT r_name AS text, r_regionkey AS start, 4 AS \"end\", 'ACT' AS label FROM region WHERE r_regionkey = 0")
+def ner_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").coalesce(1)
+    span = F.array(F.col("r_regionkey").cast("string"), F.lit("4"), F.lit("ACT"))
+    rows.select(F.col("r_name").alias("text"), F.array(span).alias("entities")).write.option("maxRecordsPerFile", 1).json(folder)
+    return tables.ner_dataset(spark, folder).select("text", F.explode("entities").alias("e")).select("text", "e.start", "e.end", "e.label")
+
+
+@query("SELECT 'added' AS state, 2 * count(*) AS n FROM embeddings UNION ALL SELECT 'cleared', 0")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, schema = _folder(spark), "id long, vector array<float>"
+    store = _corpus_vectors(spark, sf_dir).select("id", "vector")
+    tables.save(vectors.add_vectors(store, store.withColumn("id", -F.col("id") - 1)), f"{base}/added")
+    tables.save(store, f"{base}/cleared")
+    tables.clear(spark, f"{base}/cleared", schema)
+    size = lambda n: tables.load(spark, f"{base}/{n}", schema).agg(F.count("*").alias("n")).select(F.lit(n).alias("state"), "n")
+    return size("added").unionByName(size("cleared"))
+
+
 # --- corpus ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"{_M} SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT round(avg(length(t)), 1) FROM d) AS avg_chunk_chars, (SELECT max(length(t)) FROM d) AS max_chunk_chars, (SELECT count(*) FROM m) AS total_entities, (SELECT count(DISTINCT (source, lang)) FROM documents) AS distinct_pages")
+@query(f"{_M} SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT round(avg(length(t)), 1) FROM d) AS avg_chunk_chars, (SELECT max(length(t)) FROM d) AS max_chunk_chars, (SELECT count(*) FROM m) AS total_entities, (SELECT count(DISTINCT (source, lang)) FROM documents WHERE doc_id % 3 > 0) AS distinct_pages, (SELECT count(DISTINCT source) + 1 FROM documents) AS total_documents, "
+    "(SELECT concat('.pdf=1|.txt=', count(DISTINCT source)) FROM documents) AS types, (SELECT string_agg(concat(label, '=', n), '|' ORDER BY label) FROM (SELECT label, count(*) AS n FROM m GROUP BY label)) AS labels")
 def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("lang").alias("page_num"), F.expr(LEGAL).alias("text"))
-    names = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".txt")).alias("doc_name")).distinct()
-    return corpus.metrics(chunks, mentions(spark, sf_dir), names).select("total_chunks", "avg_chunk_chars", "max_chunk_chars", "total_entities", "distinct_pages")
+    """A third of the chunks have no page; one document has no chunks."""
+    page = F.when(F.col("doc_id") % 3 > 0, F.col("lang"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), page.alias("page_num"), F.expr(LEGAL).alias("text"))
+    names = table(spark, sf_dir, "documents").select(F.concat("source", F.lit(".txt")).alias("doc_name")).distinct().unionByName(spark.createDataFrame([("Empty.PDF",)], "doc_name string"))
+    counts = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+    found = corpus.metrics(chunks, mentions(spark, sf_dir), names)
+    return found.select("total_chunks", "avg_chunk_chars", "max_chunk_chars", "total_entities", "distinct_pages", "total_documents", counts("documents_by_type").alias("types"), counts("entities_by_label").alias("labels"))
 
 
-@query("SELECT source AS doc_name, count(*) AS chunks, count(DISTINCT (lang, 'x')) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@query(
+    "SELECT source AS doc_name, '.txt' AS document_type, count(*) AS chunks, count(*) FILTER (doc_id % 3 > 0) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1 "
+    "UNION ALL SELECT 'none.pdf', '.pdf', 0, 0, 0"
+)
 def metrics_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.by_document(table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("lang").alias("section"), F.lit("x").alias("section_num"), "text"))
+    """A third of the chunks have no section; one document has no chunks."""
+    docs = table(spark, sf_dir, "documents")
+    listed = docs.select(F.col("source").alias("doc_name"), F.lit(".txt").alias("document_type")).distinct().unionByName(spark.createDataFrame([("none.pdf", ".pdf")], "doc_name string, document_type string"))
+    chunks = docs.select(F.col("source").alias("doc_name"), F.when(F.col("doc_id") % 3 == 1, F.col("lang")).when(F.col("doc_id") % 3 == 2, "x").otherwise("").alias("section"), F.lit("x").alias("section_num"), "text")
+    return corpus.by_document(chunks, listed)
 
 
-@query()
+_PAGES = r"list_filter(list_transform(string_split(regexp_replace(t, '(?m)^(#{1,3} )', concat(chr(1), '\1'), 'g'), chr(1)), lambda x: trim(x, concat(' ', chr(10)))), lambda x: x <> '')"
+_PREVIEW = f"CASE WHEN length({_COLLAPSED.format(t='{t}')}) <= 240 THEN {_COLLAPSED.format(t='{t}')} ELSE concat(rtrim(substr({_COLLAPSED.format(t='{t}')}, 1, 237)), '...') END"
+
+
+@query(
+    rf"WITH d AS (SELECT doc_id, {PAGED} AS t FROM documents), p AS (SELECT doc_id, {_PAGES} AS ps FROM d), r AS (SELECT doc_id, ps, array_to_string(ps, concat(chr(10), chr(10))) AS t FROM p), "
+    rf"a AS (SELECT doc_id, ps, t AS raw, {_PLAIN.format(t=_FIXED)} AS t FROM r), b AS (SELECT doc_id, ps, raw, {_JOINED.format(t='t')} AS t FROM a), c AS (SELECT doc_id, ps, raw, {_SPACED.format(t='t')} AS t FROM b), e AS (SELECT doc_id, ps, raw, {_TRIM.format(t=_REPEATED.format(t='t'))} AS t FROM c) "
+    r"SELECT concat(doc_id, '.pdf') AS doc_name, '.pdf' AS document_type, 'markdown' AS parser, length(raw) AS raw_chars, length(t) AS clean_chars, len(ps) AS page_count, "
+    r"array_to_string(list_sort(list_distinct(flatten(list_transform(ps[1:8], lambda x: list_transform(regexp_extract_all(x, '(?m)^(#{1,6})\s+(.+)$', 2), lambda y: trim(y)))))), '|') AS titles, "
+    r"array_to_string(list_transform(ps[1:8], lambda x: concat(length(x), ' ', CASE WHEN regexp_matches(x, '(?m)^\|.+\|$') THEN 'true' ELSE 'false' END)), '|') AS pages, "
+    rf"{_PREVIEW.format(t='raw')} AS raw_preview, {_PREVIEW.format(t='t')} AS clean_preview FROM e"
+)
 def document_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, _SECTIONED).select(F.col("doc_id").cast("string").alias("doc_name"), F.col("text").alias("raw"), T.clean("text").alias("clean"))
-    chunks = chunking.chunk_documents(docs.select("doc_name", F.col("clean").alias("text")))
-    rows = corpus.traces(docs, chunks)
-    return rows.select("doc_name", "raw_chars", "clean_chars", "total_chunks", F.size("chunk_samples").alias("samples"), F.array_join("section_titles", "|").alias("titles"))
+    docs = documents(spark, sf_dir, PAGED).select(F.concat("doc_id", F.lit(".pdf")).alias("doc_name"), "text")
+    docs = docs.withColumn("pages", files.pages_of_markdown(F.col("text"), F.col("doc_name")))
+    raw = files.text_of_pages(F.col("pages"))
+    docs = docs.select("doc_name", "pages", raw.alias("raw"), T.clean(raw).alias("clean"))
+    rows = corpus.traces(docs, chunking.chunk_documents(docs.select("doc_name", F.col("clean").alias("text"))))
+    pages = F.transform("page_samples", lambda p: F.concat(p["char_count"].cast("string"), F.lit(" "), p["has_tables"].cast("string")))
+    return rows.select("doc_name", "document_type", "parser", "raw_chars", "clean_chars", F.col("page_count").cast("long").alias("page_count"), F.array_join("section_titles", "|").alias("titles"), F.array_join(pages, "|").alias("pages"), "raw_preview", "clean_preview")
 
 
 @query(f"{_M} SELECT doc_id AS doc_name, count(*) AS total, count(DISTINCT label) AS n_labels FROM m GROUP BY 1")
@@ -906,17 +1232,14 @@ def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming aggregation, run until all that is there has been read."""
-    import uuid
-
-    from docloom.streaming.ingest import event_counts
+    from docloom.streaming.ingest import count_events
 
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if path.endswith("/") else sf_dir + "/events.parq*")
-    name = f"events_{uuid.uuid4().hex}"
-    started = event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = f"{shared_dir(spark)}/docloom/events-{uuid.uuid4().hex}"
+    counted = count_events(stream.withColumn("ts", F.col("ts").cast("timestamp")), f"{out}/counts", f"{out}/checkpoint")
+    return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query()

@@ -81,15 +81,20 @@ def pages_of_markdown(text: Column, source_file: Column, parser: str = "markdown
     return F.transform(some, lambda p, i: page(i + 1, p, source_file, F.size(some), parser)).cast(f"array<{PAGE}>")
 
 
-def page(number: Column, text: Column, source_file: Column, total: Column, parser: str, tables: Column | None = None) -> Column:
-    meta = F.struct(source_file.alias("source_file"), total.alias("total_pages"), F.lit(None).cast("double").alias("page_width"), F.lit(None).cast("double").alias("page_height"), F.lit(parser).alias("parser"), (has_tables(text) if tables is None else tables).alias("has_tables"), section_titles(text).alias("sections"))
+def page(number: Column, text: Column, source_file: Column, total: Column, parser: Column | str, tables: Column | None = None) -> Column:
+    meta = F.struct(source_file.alias("source_file"), total.alias("total_pages"), F.lit(None).cast("double").alias("page_width"), F.lit(None).cast("double").alias("page_height"), (F.lit(parser) if isinstance(parser, str) else parser).alias("parser"), (has_tables(text) if tables is None else tables).alias("has_tables"), section_titles(text).alias("sections"))
     return F.struct(number.cast("int").alias("page_num"), text.alias("text"), meta.alias("metadata"))
 
 
-def pages_of_texts(texts: Column, source_file: Column, parser: str) -> Column:
-    """array of pages from an array of raw page texts: noise removed, section references made headings."""
-    cleaned = F.transform(texts, lambda t: annotate_sections(clean_pdf_noise(t)))
-    return F.transform(cleaned, lambda t, i: page(i + 1, t, source_file, F.size(cleaned), parser)).cast(f"array<{PAGE}>")
+def pages_of_texts(texts: Column, source_file: Column, parser: Column | str, tables: Column | None = None) -> Column:
+    """array of pages from an array of raw page texts: noise removed, tables appended as they are, section references
+    made headings. tables: per page an array of markdown tables."""
+    cleaned = F.transform(texts, clean_pdf_noise)
+    held = cleaned if tables is None else F.zip_with(cleaned, tables, lambda t, own: F.when(F.size(own) > 0, F.concat_ws("\n\n", t, F.array_join(own, "\n\n"))).otherwise(t))
+    made = F.transform(held, annotate_sections)
+    has = (lambda i: None) if tables is None else (lambda i: F.size(F.element_at(tables, i + 1)) > 0)
+    name = F.lit(parser) if isinstance(parser, str) else parser
+    return F.transform(made, lambda t, i: page(i + 1, t, source_file, F.size(made), name, has(i))).cast(f"array<{PAGE}>")
 
 
 def text_of_pages(pages: Column) -> Column:
@@ -97,41 +102,76 @@ def text_of_pages(pages: Column) -> Column:
     return F.array_join(F.filter(F.transform(pages, lambda p: p["text"]), lambda t: t != ""), "\n\n")
 
 
-PdfParser = Callable[[bytes], list[str]]
+#: From a document to its pages: texts, or (text, tables) with tables as rows of cells.
+PdfParser = Callable[[bytes], list]
 
 
-def installed_pdf_parser() -> PdfParser:
-    """The first parser that is installed: one with tables, else a plain one; none raises ImportError."""
+def tabled_pages(content: bytes) -> list:
+    """Pages with their tables, by the parser that finds them."""
     import io
 
-    try:
-        import pdfplumber
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        return [(p.extract_text() or "", p.extract_tables() or []) for p in pdf.pages]
+
+
+def plain_pages(content: bytes) -> list:
+    """Pages without tables."""
+    import io
+
+    from PyPDF2 import PdfReader
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+
+
+#: Tried in order; a parser that isn't installed, fails or finds no page gives way to the next.
+PARSERS: tuple[tuple[str, PdfParser], ...] = (("pdfplumber", tabled_pages), ("pypdf2", plain_pages))
+
+
+def parse_first(content: bytes, parsers: tuple[tuple[str, PdfParser], ...] = PARSERS) -> tuple[str | None, list, str | None]:
+    """The first parser's name and pages; if none has any, the errors."""
+    errors = []
+    for name, parser in parsers:
+        try:
+            if pages := parser(content):
+                return name, pages, None
+        except Exception as e:  # one broken document must not end the job; its error is kept
+            errors.append(f"{name}: {type(e).__name__}: {e}")
+    return None, [], "; ".join(errors) or "no pages"
+
+
+def installed_pdf_parser() -> PdfParser:
+    """The parsers that are there, as one plug-in."""
+
+    def parse(content: bytes) -> list:
+        _, pages, error = parse_first(content)
+        if error:
+            raise ValueError(error)
+        return pages
 
-        def tabled(content: bytes) -> list[str]:
-            with pdfplumber.open(io.BytesIO(content)) as pdf:
-                return ["\n\n".join([p.extract_text() or "", *("\n".join("| " + " | ".join(str(c or "") for c in row) + " |" for row in t) for t in p.extract_tables() or [])]) for p in pdf.pages]
+    return parse
 
-        return tabled
-    except ImportError:
-        from pypdf import PdfReader
 
-        return lambda content: [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+def table_text(rows: list) -> str:
+    """A table's rows of cells as a pipe table with a separator after its first row."""
+    lines = ["| " + " | ".join(str(c if c is not None else "").replace("\n", " ").strip() for c in row) + " |" for row in rows]
+    return "\n".join([lines[0], "| " + " | ".join("---" for _ in rows[0]) + " |", *lines[1:]]) if lines else ""
 
 
 def parse_pdf(content: Column | str, parser: Callable[[], PdfParser] = installed_pdf_parser) -> Column:
-    """struct (texts, error): page texts by a plug-in; a document that fails has its error and no texts."""
+    """struct (texts, tables, error): page texts and markdown tables by a plug-in; a document that fails has its error."""
 
-    @F.pandas_udf("struct<texts: array<string>, error: string>")
+    @F.pandas_udf("struct<texts: array<string>, tables: array<array<string>>, error: string>")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         loaded = parser()
         for contents in batches:
             rows = []
             for c in contents:
-                try:
-                    rows.append((loaded(bytes(c)), None))
-                except Exception as e:  # one broken document must not end the job; its error is kept
-                    rows.append(([], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["texts", "error"])
+                _, pages, error = parse_first(bytes(c), (("parser", loaded),))
+                pages, error = [p if isinstance(p, tuple) else (p, []) for p in pages], error and error.removeprefix("parser: ")
+                rows.append(([t for t, _ in pages], [[x for x in map(table_text, own) if x] for _, own in pages], error))
+            yield pd.DataFrame(rows, columns=["texts", "tables", "error"])
 
     return parsed(content)
 
@@ -146,6 +186,6 @@ def read_documents(spark: SparkSession, folder: str, pdf_parser: Callable[[], Pd
     if pdf_parser is None:
         paged = pdfs.select("doc_name", "doc_type", F.lit("").alias("text"), none.alias("pages"), F.lit("no PDF parser given").alias("error"))
     else:
-        held = pdfs.select("doc_name", "doc_type", parse_pdf("content", pdf_parser).alias("p")).select("doc_name", "doc_type", pages_of_texts(F.col("p.texts"), F.col("doc_name"), "plugin").alias("pages"), F.col("p.error").alias("error"))
+        held = pdfs.select("doc_name", "doc_type", parse_pdf("content", pdf_parser).alias("p")).select("doc_name", "doc_type", pages_of_texts(F.col("p.texts"), F.col("doc_name"), "plugin", F.col("p.tables")).alias("pages"), F.col("p.error").alias("error"))
         paged = held.select("doc_name", "doc_type", text_of_pages(F.col("pages")).alias("text"), "pages", "error")
     return plain.unionByName(objects).unionByName(paged)

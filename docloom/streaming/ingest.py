@@ -34,3 +34,20 @@ def start(stream: DataFrame, out: str, checkpoint: str, config: EngineConfig = D
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """events (ts, event_type, value) per window and type, rows later than the watermark dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def count_events(events: DataFrame, out: str, checkpoint: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """event_counts of a stream, run until all that is there has been read; what changes in a batch is written to a table.
+
+    A batch's rows hold the counts so far, so the last batch of a window and type has its result. Nothing is kept on the
+    driver; a batch that is run again overwrites its own folder.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counted = event_counts(events, window, late)
+    counted.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = events.sparkSession.read.schema("start timestamp, event_type string, n long, total double, batch int").parquet(out)
+    last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
+    return last.select("start", "event_type", "last.n", "last.total")

@@ -105,5 +105,37 @@ def test_corpus(spark):
     assert corpus.entity_rollup(mentions).first().samples == ["X Act (ACT)", "d (DATE)"]
     docs = spark.createDataFrame([("a.txt", "raw text", "clean"), ("none", "", "")], "doc_name string, raw string, clean string")
     got = {r.doc_name: r for r in corpus.traces(docs, chunks).collect()}
-    assert got["a.txt"].section_titles == ["SECTION 1"] and got["none"].total_chunks == 0 and len(got["a.txt"].chunk_samples) == 2
+    assert got["none"].total_chunks == 0 and len(got["a.txt"].chunk_samples) == 2
+    assert (got["a.txt"].section_titles, got["a.txt"].parser, got["a.txt"].page_count, got["a.txt"].raw_preview) == ([], "text", 1, "raw text")
+    # titles come from the pages' headings; missing pages are no page reference, empty sections no section
+    paged = docs.withColumn("pages", files.pages_of_markdown(F.lit("# B\nx\n# A\n| a |\n# B\ny"), F.col("doc_name")))
+    t = {r.doc_name: r for r in corpus.traces(paged, chunks).collect()}["a.txt"]
+    assert (t.section_titles, t.parser, t.page_count, [p.has_tables for p in t.page_samples]) == (["A", "B"], "markdown", 3, [False, True, False])
+    more = chunks.unionByName(spark.createDataFrame([("a.txt", None, "z", 2, "", None), ("b.pdf", None, "z", 1, "PART", "2")], chunks.schema))
+    assert corpus.metrics(more, mentions, docs).first().distinct_pages == 2
+    listed = {r.doc_name: (r.chunks, r.sections, r.chars) for r in corpus.by_document(more, docs.select("doc_name").unionByName(spark.createDataFrame([("b.pdf",)], "doc_name string"))).collect()}
+    assert listed == {"a.txt": (3, 1, 16), "none": (0, 0, 0), "b.pdf": (2, 1, 2)}
     assert spark.range(1).select(corpus.progress(F.lit(1), F.lit(4)).alias("p")).first().p == 25.0
+
+
+def test_parsers_give_way(spark):
+    def fails(content):
+        raise RuntimeError("no")
+
+    assert files.parse_first(b"x", (("a", fails), ("b", lambda c: []), ("c", lambda c: ["page"]))) == ("c", ["page"], None)
+    assert files.parse_first(b"x", (("a", fails), ("b", lambda c: []))) == (None, [], "a: RuntimeError: no")
+    row = spark.createDataFrame([(bytearray(b"x"),)], "content binary")
+    load = lambda: lambda b: [("CONFIDENTIAL\nbody", [[["h", None], ["1", "a\nb"]]]), ("two", [])]
+    pages = row.select(files.parse_pdf("content", load).alias("p")).select(files.pages_of_texts(F.col("p.texts"), F.lit("d.pdf"), "x", F.col("p.tables")).alias("pages")).first().pages
+    assert pages[0].text == "body\n\n| h |  |\n| --- | --- |\n| 1 | a b |" and pages[1].text == "two" and [p.metadata.has_tables for p in pages] == [True, False]
+
+
+def test_datasets_with_errors(spark, tmp_path):
+    assert tables.qa_dataset(spark, str(tmp_path)).first().error == "No QA evaluation data found"
+    (tmp_path / "b.json").write_text("[]")
+    assert tables.qa_dataset(spark, str(tmp_path)).first().error == "QA evaluation data is empty"
+    (tmp_path / "a.json").write_text(json.dumps([{"question": "q"}, {"question": "r", "answer": "s"}]))
+    rows = tables.qa_dataset(spark, str(tmp_path)).collect()
+    assert [(r.question, r.answer, r.error) for r in rows] == [("q", None, None), ("r", "s", None)]
+    (tmp_path / "0.json").write_text("{broken")
+    assert tables.ner_dataset(spark, str(tmp_path)).first().error.startswith("Failed to load NER training data")
