@@ -3,7 +3,7 @@
 Tokens of a page are its tags and the words of its texts, each with its path; a token that a page holds several times,
 and all pages that hold it hold it as often, has several roles, and each of its occurrences is a token of its own. Per
 host, tokens that occur in the same number in the same pages share an occurrence vector; they form an equivalence class.
-A class that spans at least `support` of the host's different pages goes through two checks, each a pass over all pages:
+A class that spans at least `support` of the host's different pages goes through two checks over all pages:
 
 - order: tokens that leave the class's order on some page are taken out of it, the rest must be at least `min_class`;
 - nesting: of two classes, the instances of one must lie in the same slot (between two neighbours) of the other or
@@ -38,6 +38,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -82,6 +84,7 @@ def _noise(name: str, content: bool) -> bool:
     return not BAD_WORDS.isdisjoint(words) and all(w in BAD_WORDS or w in FILLERS or w[0].isdigit() for w in words)
 
 
+@lru_cache(maxsize=20_000)
 def _marks(rest: str, content: bool) -> tuple[str, bool]:
     """The class and id words of a tag, and whether they mark what isn't main text."""
     if not rest or rest.isspace():
@@ -99,8 +102,7 @@ def _marks(rest: str, content: bool) -> tuple[str, bool]:
     return " ".join(names), bad
 
 
-@dataclass(frozen=True)
-class Text:
+class Text(NamedTuple):
     """A text between tags: its block, element and path; whether it is in the content, or dropped."""
 
     block: int
@@ -261,10 +263,19 @@ def _around(page: Page, elements: list[int]) -> int:
     return same[-1]
 
 
-def content_element(page: Page, found: Tokens, slots: list[tuple[int, ...]]) -> int | None:
+def tags(page: Page) -> Tokens:
+    """Those of tokens() that are tags."""
+    event = [i for i, e in enumerate(page.events) if type(e) is not Text]
+    return Tokens(np.array([_hash(page.events[i][0]) for i in event], np.int64), np.array(event, np.int64), np.empty(0, np.int64))
+
+
+def content_element(page: Page, slots: list[tuple[int, ...]]) -> int | None:
     """The innermost element around a page's slots (token and its occurrence before, and after), or the article around
-    it; None on a page without the slots."""
+    it; None on a page without the slots. Words are looked at only where a slot isn't between two tags."""
     inside: list[int] = []
+    found = tags(page)
+    if not {h for first, _, last, _ in slots for h in (first, last)} <= set(found.hashes.tolist()):
+        found = tokens(page)
     for first, i, last, j in slots:
         begin, end = np.flatnonzero(found.hashes == first), np.flatnonzero(found.hashes == last)
         if len(begin) <= i or len(end) <= j or end[j] < begin[i]:
@@ -294,8 +305,7 @@ def main_text(html_text: str | None, template: Template | None = None) -> str:
     whole = [e for e in page.events if type(e) is Text and not e.dropped]
     within = whole
     if template is not None:
-        found = tokens(page)
-        main = content_element(page, found, template.slots)
+        main = content_element(page, template.slots)
         if main:
             inside = [False] * len(page.parents)
             inside[main] = True
@@ -309,6 +319,7 @@ def main_text(html_text: str | None, template: Template | None = None) -> str:
         within = article
     elif template is not None:
         # without an article: blocks with a word of their own
+        found = tokens(page)
         fixed = np.isin(found.hashes, template.tokens)
         mine = {page.events[e].block for e in np.unique(found.event[~fixed]) if type(page.events[e]) is Text}
         within = [t for t in within if t.block in mine]
@@ -365,7 +376,7 @@ def disordered(tokens: list[int], classes: list[list[int]]) -> Counter:
     return Counter((c, p, 0, 0) for c, found in places.items() for p in displaced(found, len(classes[c])))
 
 
-INSIDE, ALL, ACROSS, OFTEN, WORDS = 0, 1, 2, 3, 4
+INSIDE, ALL, ACROSS, OFTEN, WORDS, MOVED = range(6)
 
 
 def nesting(tokens: list[int], classes: list[list[int]], upto: list[int] | None = None) -> Counter:
@@ -447,20 +458,38 @@ def _with_host(rows: DataFrame, perhost: DataFrame, width, salts: int, how: str)
 _ROLE = 20
 
 
-def roles(ids: list[int], classes: list[list[int]]) -> list[int]:
-    """The roles of a page's tokens, as the classes have them."""
-    split = {c >> _ROLE for members in classes for c in members if c & (1 << _ROLE) - 1}
-    seen: Counter = Counter()
-    out = []
-    for i in ids:
-        if i in split:
-            seen[i] += 1
-        out.append(i << _ROLE | seen[i])
-    return out
+@dataclass(frozen=True)
+class Held:
+    """A host's classes, and what finds their tokens among a page's."""
+
+    classes: list[list[int]]
+    ids: np.ndarray
+    split: frozenset[int]
+
+    @classmethod
+    def of(cls, classes: list[list[int]]) -> Held:
+        codes = np.array([c for members in classes for c in members], np.int64)
+        return cls(classes, np.unique(codes >> _ROLE), frozenset((codes[codes & (1 << _ROLE) - 1 > 0] >> _ROLE).tolist()))
+
+    def roles(self, ids: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """The roles of a page's tokens that the classes may hold, and their places among ids."""
+        at = np.flatnonzero(np.isin(ids, self.ids))
+        seen: Counter = Counter()
+        out = []
+        for i in ids[at].tolist():
+            if i in self.split:
+                seen[i] += 1
+            out.append(i << _ROLE | seen[i])
+        return out, at
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and where each row's begin and the last ones end."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
 
 
 def _facts(cut: DataFrame, classes: DataFrame, seen, salts: int) -> DataFrame:
-    """host, classes, facts: the sums over all pages of what seen(tokens, classes, words before) counts on each."""
+    """host, classes, facts: the sums over all pages of what seen(roles, classes, words before) counts on each."""
     width = F.aggregate("classes", F.lit(64), lambda s, x: s + 8 * F.size(x) + 16)
     paired = _with_host(cut.select("host", "ids", "upto"), classes, width, salts, "inner")
 
@@ -469,8 +498,15 @@ def _facts(cut: DataFrame, classes: DataFrame, seen, salts: int) -> DataFrame:
 
         for batch in batches:
             facts: Counter = Counter()
-            for host, ids, upto, held in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for key, n in seen(roles(ids, held), held, upto).items():
+            hosts: dict[str, Held] = {}
+            (ids, at), (upto, _) = _lists(batch.column(1)), _lists(batch.column(2))
+            for row, host in enumerate(batch.column(0).to_pylist()):
+                held = hosts.get(host)
+                if held is None:
+                    held = hosts[host] = Held.of(batch.column(3)[row].as_py())
+                page = slice(at[row], at[row + 1])
+                own, places = held.roles(ids[page])
+                for key, n in seen(own, held.classes, upto[page][places].tolist()).items():
                     facts[(host, *key)] += n
             keys = list(zip(*facts, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -553,17 +589,24 @@ def _cut(rows: DataFrame, known: DataFrame, salts: int) -> DataFrame:
     """host, mark (a page's hash), ids (places in known of the page's tokens, in order), upto (words before each)."""
     paired = _with_host(rows, known, F.size("known") * 8 + 64, salts, "inner")
 
-    def cut(batch: list) -> list:
-        out: list[list] = [[], [], []]
-        for r in batch:
-            found, own = tokens(parse(r["html"])), np.array(r["known"], np.int64)
-            at = np.minimum(np.searchsorted(own, found.hashes), len(own) - 1)
-            held = np.flatnonzero(own[at] == found.hashes)
-            for column, value in zip(out, (_hash_page(r["html"]), at[held].tolist(), found.upto[held].tolist()), strict=True):
-                column.append(value)
-        return out
+    def cut(batches):
+        import pyarrow as pa
 
-    return map_texts(paired.select("host", F.struct("html", "known").alias("page")), cut, "mark long, ids array<int>, upto array<int>")
+        for batch in batches:
+            values, at = _lists(batch.column(2))
+            marks, ids, upto, sizes = [], [], [], [0]
+            for row, page in enumerate(batch.column(1).to_pylist()):
+                found, own = tokens(parse(page)), values[at[row] : at[row + 1]]
+                place = np.minimum(np.searchsorted(own, found.hashes), len(own) - 1)
+                held = np.flatnonzero(own[place] == found.hashes)
+                marks.append(_hash_page(page))
+                ids.append(place[held].astype(np.int32))
+                upto.append(found.upto[held].astype(np.int32))
+                sizes.append(sizes[-1] + len(held))
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), lists(ids), lists(upto)], names=["host", "mark", "ids", "upto"])
+
+    return paired.select("host", "html", "known").mapInArrow(cut, "host string, mark long, ids array<int>, upto array<int>")
 
 
 def _hash_page(page: str | None) -> int:
@@ -580,11 +623,13 @@ def _vectors(cut: DataFrame) -> DataFrame:
 
         for batch in batches:
             hosts: dict[str, list[np.ndarray]] = {}
-            for host, mark, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if not ids:
+            values, at = _lists(batch.column(2))
+            for row, (host, mark) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                ids = values[at[row] : at[row + 1]].astype(np.int64)
+                if not len(ids):
                     continue
-                order = np.argsort(np.array(ids, np.int64), kind="stable")
-                own, first, times = np.unique(np.array(ids, np.int64)[order], return_index=True, return_counts=True)
+                order = np.argsort(ids, kind="stable")
+                own, first, times = np.unique(ids[order], return_index=True, return_counts=True)
                 seen = np.uint64(mark & 0xFFFFFFFFFFFFFFFF)
                 mix = lambda n: mix64(seen ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) & mask  # noqa: E731, B023
                 # a column per occurrence: id, which one, vector by count, vector of pages, place, count
@@ -630,27 +675,34 @@ def template(pages: DataFrame, min_pages: int = 8, support: float = 0.5, min_cla
     ranked = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("p"), (-F.col("n")).alias("n"), "vector", F.col("members.id").alias("ids")))).alias("ranked"))
     found = stage(ranked.select("host", F.col("ranked.ids").alias("classes")), "classes")
 
-    def ordered(batch: list) -> list:
-        return [[ordered_classes(r["classes"], [tuple(f.values()) for f in r["facts"]], min_class) for r in batch]]
-
-    facts = _facts(cut, found, lambda ids, held, upto: disordered(ids, held), salts)
-    found = stage(map_texts(facts, ordered, "classes array<array<long>>").where(F.size("classes") > 0), "ordered")
-
-    def nested(batch: list) -> list:
-        out: list[list] = [[], [], []]
+    def checked(batch: list) -> list:
+        """What is left of each host's classes, their tokens and main slots; whether the order of some was mended first."""
+        out: list[list] = [[], [], [], []]
         for r in batch:
             facts = [tuple(f.values()) for f in r["facts"]]
-            kept = nested_classes(r["classes"], facts, min_class)
+            wrong = [f for f in facts if f[3] == MOVED]
+            kept = ordered_classes(r["classes"], wrong, min_class) if wrong else nested_classes(r["classes"], facts, min_class)
             held = {c for members in kept for c in members}
             last: dict[int, int] = {}
             for c in held:
                 last[c >> _ROLE] = max(last.get(c >> _ROLE, 0), c & (1 << _ROLE) - 1)
             out[0].append(kept)
             out[1].append(sorted(i for i, k in last.items() if not k or all(i << _ROLE | j in held for j in range(1, k + 1))))
-            out[2].append([[a, b] for a, b in main_slots(r["classes"], kept, facts, share)])
+            out[2].append([] if wrong else [[a, b] for a, b in main_slots(r["classes"], kept, facts, share)])
+            out[3].append(bool(wrong))
         return out
 
-    found = map_texts(_facts(cut, found, nesting, salts), nested, "classes array<array<long>>, tokens array<long>, slots array<array<long>>")
+    def both(own: list[int], held: list[list[int]], upto: list[int]) -> Counter:
+        moved = Counter({(c, p, 0, MOVED): n for (c, p, _, _), n in disordered(own, held).items()})
+        return moved + nesting(own, held, upto)
+
+    fields = "classes array<array<long>>, tokens array<long>, slots array<array<long>>, mended boolean"
+    found = stage(map_texts(_facts(cut, found, both, salts), checked, fields), "checked")
+    # where the order was mended, nesting is checked for what is left
+    again = stage(found.where("mended AND size(classes) > 0").select("host", "classes"), "mended")
+    found = found.where("NOT mended")
+    if not again.isEmpty():
+        found = found.unionByName(map_texts(_facts(cut, again, nesting, salts), checked, fields))
     token = lambda i: F.element_at("known", (i + 1).cast("int"))
     number = lambda c: F.shiftright(c, _ROLE)
     which = lambda c: c.bitwiseAND(F.lit((1 << _ROLE) - 1)) - 1
