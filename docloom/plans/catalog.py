@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.arrow import with_python
 from docloom.functions.constants import CLAIM_STOP_WORDS, ENTITY_PATTERNS, LEGEND, NO_CONTEXT, QUERY_STOP_WORDS, SECTION_PATTERNS, WEAK_SUPPORT
 from docloom.operators import answer, chunking, corpus, entities, evaluate, explain, index, lexical, retrieval, vectors
+from docloom.schema import CHUNK
 from docloom.session import materialize, shared_dir
 from docloom.sources import files, tables
 
@@ -267,7 +269,7 @@ _PACKED = (
 )
 def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, _SPREAD).select("doc_id", T.strip("text").alias("text"))
-    made = docs.where("text <> ''").select("doc_id", chunking.by_paragraphs(F.col("text"), chunking.DEFAULTS).alias("cs"))
+    made = with_python(docs, "text", chunking.chunk_paragraphs, f"array<{CHUNK}>", "cs")
     rows = made.select("doc_id", F.size("cs").cast("long").alias("total_chunks"), F.posexplode("cs").alias("i", "c"))
     return rows.select("doc_id", F.col("i").cast("long").alias("chunk_index"), "total_chunks", chunking.chunk_id(F.col("doc_id"), F.col("i")).alias("chunk_id"), F.length("c.text").cast("long").alias("n_chars"), F.md5("c.text").alias("digest"))
 

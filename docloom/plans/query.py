@@ -64,7 +64,8 @@ def respond(questions: DataFrame, results: DataFrame, chunks: DataFrame, config:
         explain.source_diversity(F.transform("ps", lambda p: p["doc_name"])),
         passages=F.size(scores),
     )
-    marks = explain.annotations(F.col("answer_text"), entities.extract_spans("answer_text"))
+    rows = rows.withColumn("spans", entities.extract_spans("answer_text"))
+    marks = explain.annotations(F.col("answer_text"), F.col("spans"))
     return rows.select(
         "query_id", "question", "intent", "answer_type", "simple_answer", "answer_text", "markdown_answer", "segments", "evidence_points", "citations", "key_entities", "supporting_passages", "claims",
         "route", "router_confidence", "web_results_count", "web_error", round4(clamp(F.greatest("confidence", rated))).alias("confidence"),

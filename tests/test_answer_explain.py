@@ -155,3 +155,57 @@ def test_models_plug_in(spark):
     rows = spark.createDataFrame([("claim here", "evidence here")], "claim string, evidence string")
     load = lambda: lambda e, c: pd.Series([[{"label": "LABEL_2", "score": 0.9}, {"label": "x", "score": 1.0}] for _ in e])
     assert tuple(evaluate.check_with_model(rows, load).first().check) == ("ENTAILMENT", 0.9)
+
+
+def test_weak_answers_cite_their_first_passages(spark):
+    rows = [(7, i, f"c{min(i, 3)}", f"- #{i}", 0.9 - i / 10, f"d{i}", i, None, None, [(f"E{i}", "ACT")]) for i in range(1, 5)]
+    passages = spark.createDataFrame(rows, f"query_id int, rank int, chunk_id string, text string, score double, doc_name string, page_num int, section string, source string, entities {ENTITY}")
+    asked = spark.createDataFrame([(7, "bail", "general", [])], "query_id int, question string, intent string, entity_texts array<string>")
+    r = answer.answers(passages, asked).first()
+    assert (r.answer_type, r.answer_text, r.confidence) == ("weak_support", "#1.", 0.8)
+    assert [(c.citation_id, c.chunk_id, c.doc_name, c.source) for c in r.citations] == [(1, "c1", "d1", "local"), (2, "c2", "d2", "local"), (3, "c3", "d3", "local")]
+    assert [(p.chunk_id, p.score) for p in r.supporting_passages] == [("c1", 0.8), ("c2", 0.7), ("c3", 0.6)]
+    assert r.key_entities == ["E1 (ACT)", "E2 (ACT)"] and r.segments is None
+    assert [(e.text, e.citation_ids, e.chunk_id) for e in r.evidence_points] == [("#1.", [1], "c1")]
+
+
+def test_evidence_and_missing_ids(spark, told):
+    assert [(e.text, e.citation_ids, e.page_num, e.section, e.source) for e in told[1].evidence_points][0] == ("Bail is granted by the court.", [1], 3, "ARTICLE", "local")
+    assert told[3].evidence_points == told[3].citations == told[3].supporting_passages == []
+    rows = [(1, 1, "", "Bail is granted by the court.", 0.8, "d1", 3, None, None, [])]
+    passages = spark.createDataFrame(rows, f"query_id int, rank int, chunk_id string, text string, score double, doc_name string, page_num int, section string, source string, entities {ENTITY}")
+    asked = spark.createDataFrame([(1, "When is bail granted?", "general", [])], "query_id int, question string, intent string, entity_texts array<string>")
+    r = answer.answers(passages, asked).first()
+    assert [(c.citation_id, c.doc_name) for c in r.citations] == [(1, "d1")] and len(r.segments) == 1
+
+
+def test_sentence_vectors_lead(spark, passages):
+    import pandas as pd
+
+    asked = spark.createDataFrame([(1, "weather", "general", [])], "query_id int, question string, intent string, entity_texts array<string>")
+
+    def load():
+        return lambda texts: pd.Series([[1.0, 0.0] if "rain" in t or "weather" in t else [0.0, 1.0] for t in texts])
+
+    got = {r.sentence: r.score for r in answer.scored_sentences(passages.where("query_id = 1"), asked, model=load).collect()}
+    assert got["It rained all day in the village."] == pytest.approx(0.65) and got["Bail is granted by the court."] == 0.0
+
+
+def test_question_path_with_a_search(spark):
+    from docloom.config import EngineConfig
+    from docloom.operators import index
+    from docloom.plans import ingest, query
+    from docloom.session import materialize
+
+    docs = spark.createDataFrame([("a.txt", "The Supreme Court of India granted bail to the accused in this matter. " * 4), ("b.txt", "Contracts are made by offer and acceptance between the parties to them. " * 4)], "doc_name string, text string")
+    chunks = materialize(ingest.tagged(ingest.chunks_of(docs)), "chunks")
+    postings = index.postings(ingest.mentions_of(chunks))
+    asked = spark.createDataFrame([(1, "Who granted bail to the accused?"), (2, "What is the tariff of llamas?")], "query_id long, question string")
+    web = spark.createDataFrame([(2, 1, "http://x", "The tariff of llamas is ten coins for every llama.", 3.0, "X")], "query_id long, rank int, chunk_id string, text string, score double, doc_name string")
+    config = EngineConfig(web_fallback=True, web_threshold=0.3)
+    got = {r.query_id: r for r in query.run(asked, chunks, postings, config=config, external=web).collect()}
+    assert (got[2].route, got[2].intent, got[2].web_results_count, got[2].web_error) == ("web_search", "external_web", 1, None)
+    assert "tariff of llamas" in got[2].simple_answer and got[2].citations[0].source == "web"
+    assert got[1].answer_type == "grounded_extractive" and got[1].web_results_count == 0
+    alone = {r.query_id: r for r in query.run(asked, chunks, postings, config=config).collect()}
+    assert alone[2].web_error == "web_search_unavailable" and alone[2].answer_type in ("insufficient_context", "weak_support", "grounded_extractive")
