@@ -10,7 +10,10 @@
 4. Keys whose members still lie in different components get the rest: their members are compared in blocks by the
    stored signature, each pair in the first key that it shares. Pairs across components whose estimate is within five
    standard deviations of the threshold are confirmed on the full sets: few pairs of a block by a join, many within
-   the block, to which its members then bring their sets. Nothing is capped, so no link between components is lost.
+   the block, to which its members then bring their sets. Keys of more than DENSE members (a boilerplate family, whose
+   texts are alike but mostly below the threshold) are first dealt again, by prefixes: with the shingles of all their
+   members sorted by how many hold them, two sets at the threshold share one of the rarest `n - ceil(t n) + 1` of each,
+   so only members that share such a shingle are compared. Nothing is capped, so no link between components is lost.
 5. Components by alternating large-star and small-star over the confirmed links, one table per iteration. Joins by the
    head of a star or the centre of a component deal keys of many rows to parts.
 
@@ -35,6 +38,8 @@ from docloom.llm.common import WORD, discard, join_hot, map_texts, mix64, shingl
 
 #: Members of a key that are compared with each other in one block.
 BLOCK = 500
+#: Members of a key beyond which they are dealt by the prefixes of their sets.
+DENSE = 2000
 #: A pair at the threshold shares no key with at most this probability.
 MISS = 1e-6
 
@@ -183,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
 class _Block:
     """Members of a key (or of two parts of a large one) and the pairs in it that may be links."""
 
-    def __init__(self, key: int, members: list[dict], percent: int, minima: int):
+    def __init__(self, key: int | None, members: list[dict], percent: int, minima: int):
         members = sorted(members, key=lambda r: r["id"])
         self.members, self.key, self.percent = members, key, percent
         self.ids, self.comps, self.n, self.sides = (np.array([r[c] for r in members], np.int64) for c in ("id", "comp", "n", "side"))
@@ -192,13 +197,13 @@ class _Block:
         self.least = percent / 100 - 5 * math.sqrt(percent * (100 - percent)) / 100 / math.sqrt(minima)
 
     def after(self, i: int) -> np.ndarray:
-        """Members beyond i that may link with it across components; each pair only in the first key that it shares."""
+        """Members beyond i that may link with it across components; with a key, each pair only in the first that it shares."""
         rest = slice(i + 1, None)
         fits = (self.comps[rest] != self.comps[i]) & (100 * np.minimum(self.n[rest], self.n[i]) >= self.percent * np.maximum(self.n[rest], self.n[i]))
         if self.sides.any():
             fits &= self.sides[rest] != self.sides[i]
         j = np.flatnonzero(fits) + i + 1
-        if len(j):
+        if len(j) and self.key is not None:
             j = j[self.keys[i, (self.keys[j] == self.keys[i]).argmax(axis=1)] == self.key]
         if len(j):
             j = j[(self.sigs[j] == self.sigs[i]).mean(axis=1) >= self.least]
@@ -214,7 +219,7 @@ def _candidates(percent: int, minima: int):
     def found(blocks: list) -> list:
         pairs, dense = [], []
         for b in blocks:
-            block = _Block(b["key"], b["members"], percent, minima)
+            block = _Block(None if b["prefix"] else b["key"], b["members"], percent, minima)
             near = [block.after(i) for i in range(len(block.ids))]
             few = sum(map(len, near)) <= 4 * len(near)
             pairs.append([{"u": int(block.ids[x]), "v": int(block.ids[i])} for i, j in enumerate(near) for x in j] if few else [])
@@ -231,7 +236,7 @@ def _linked(percent: int, minima: int):
     def found(blocks: list) -> list:
         out = []
         for b in blocks:
-            block, links = _Block(b["key"], b["members"], percent, minima), []
+            block, links = _Block(None if b["prefix"] else b["key"], b["members"], percent, minima), []
             sets = [np.frombuffer(r["shingles"], np.uint64) for r in block.members]
             for i in range(len(sets)):
                 for j in block.after(i):
@@ -246,27 +251,54 @@ def _linked(percent: int, minima: int):
     return found
 
 
+def _prefixes(dense: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """key (a shingle), id, n, members, comp: members of dense keys that share one of the rarest shingles of each.
+
+    A shingle that no other member has only takes its place in the prefix, so those are not joined with anything.
+    """
+    ids = stage(dense.select("id", "n", "comp").distinct(), "dense")
+    sets = shingle_sets(ids.select("id"), docs, classes, text, k)
+    listed = map_texts(sets.select("id", "shingles"), lambda many: [[np.frombuffer(b, np.int64) for b in many]], "xs array<long>")
+    rows = listed.select("id", F.explode("xs").alias("shingle"))
+    counts = stage(rows.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1"), "shingles")
+    shared = join_hot(rows, counts, "shingle", hot=counts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("xs"))
+    alone = F.col("n") - F.size("xs")
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    taken = shared.join(ids, "id").where(length > 0).select("id", "n", "comp", F.explode(F.slice("xs", F.lit(1), length.cast("int"))).alias("x")).select("x.shingle", "id", "n", "comp")
+    taken = stage(taken.withColumnRenamed("shingle", "key"), "prefixes")
+    met = taken.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    return taken.join(met.select("key", "members"), "key").select("key", "id", "n", "members", "comp")
+
+
 def _across(placed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k: int, banding: Banding) -> DataFrame:
     """Links (u, v) between components within keys; placed: key, id, n, members, comp."""
     percent, minima = banding.percent, banding.minima
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key").join(classes.select("id", "keys", "sig"), "id")
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("most")).where("lo <> hi")
+    split = stage(split.select("key", "most"), "split")
+    rest = placed.join(split.where(F.col("most") <= DENSE).select("key"), "key").withColumn("prefix", F.lit(False))
+    dense = split.where(F.col("most") > DENSE).select("key")
+    if not dense.isEmpty():
+        # as few keys as members in them make room for
+        again = _prefixes(placed.join(small(dense, 16), "key"), classes, docs, text, k, percent)
+        rest = rest.unionByName(again.withColumn("prefix", F.lit(True)))
+    rest = rest.join(classes.select("id", "keys", "sig"), "id")
     # a large key is dealt to parts, and every two parts are a block: BLOCK members on either side at most, about
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     side = F.when(F.col("part") <= F.col("other"), 0).otherwise(1)
-    rest = rest.select("key", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), F.struct("id", "n", "comp", "keys", "sig", side.alias("side")).alias("m"))
+    at = ("key", "prefix", "bi", "bj")
+    rest = rest.select("key", "prefix", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), F.struct("id", "n", "comp", "keys", "sig", side.alias("side")).alias("m"))
 
     def gathered(rows: DataFrame) -> DataFrame:
-        blocks = rows.groupBy("key", "bi", "bj").agg(F.collect_list("m").alias("members"))
-        return blocks.select("key", "bi", "bj", F.struct("key", "members").alias("block"))
+        blocks = rows.groupBy(*at).agg(F.collect_list("m").alias("members"))
+        return blocks.select(*at, F.struct("key", "prefix", "members").alias("block"))
 
     found = map_texts(gathered(rest), _candidates(percent, minima), f"pairs array<struct<u: long, v: long>>, dense array<struct<{MEMBER}>>")
     found = stage(found, "candidates")
-    sparse = confirmed(found.select(F.explode("pairs").alias("p")).select("p.u", "p.v"), docs, classes, text, k, percent)
-    dense = found.select("key", "bi", "bj", F.explode("dense").alias("m"))
+    sparse = confirmed(found.select(F.explode("pairs").alias("p")).select("p.u", "p.v").distinct(), docs, classes, text, k, percent)
+    dense = found.select(*at, F.explode("dense").alias("m"))
     sets = shingle_sets(dense.select("m.id").distinct(), docs, classes, text, k)
-    dense = dense.join(sets, F.col("m.id") == F.col("id")).select("key", "bi", "bj", F.col("m").withField("shingles", F.col("shingles")).alias("m"))
+    dense = dense.join(sets, F.col("m.id") == F.col("id")).select(*at, F.col("m").withField("shingles", F.col("shingles")).alias("m"))
     close = map_texts(gathered(dense), _linked(percent, minima), "links array<struct<u: long, v: long>>")
     return sparse.unionByName(close.select(F.explode("links").alias("p")).select("p.u", "p.v"))
 

@@ -44,3 +44,30 @@ def test_join_hot(spark):
         assert common.join_hot(many, one, "k", "left").count() == 125
     finally:
         common.HOT_ROWS = old
+
+
+def test_boilerplate_family(spark, monkeypatch):
+    """Texts of one long boilerplate with parts of their own: few links among many texts that share keys."""
+    import random
+
+    from tests.llm.test_brute_force import linked, shingles
+
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for d in range(240):
+        own = [f"own{d}_{i}" for i in range(rng.choice([10, 22, 30]))]
+        if d % 12 == 5:
+            own = [w if rng.random() < 0.9 else "other" for w in rows[-1][1].split()[150:]]
+        rows.append((d, " ".join(base + own), "x"))
+    want = linked({d: shingles(t, 3) for d, t, _ in rows}, 85)
+    assert 10 < len(set(want.values())) < 240
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole = lambda: {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
+    assert whole() == want
+    calls, real = [], near_dup._prefixes
+    monkeypatch.setattr(near_dup, "DENSE", 20)
+    monkeypatch.setattr(near_dup, "_prefixes", lambda *a: calls.append(1) or real(*a))
+    assert whole() == want and calls
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    assert whole() == want
