@@ -15,8 +15,8 @@ from docloom.config import DEFAULTS, EngineConfig
 from docloom.functions.text import run_lengths, tokens
 from docloom.operators.vectors import best, min_max
 
-#: Query terms (with repeats over queries) up to which they are broadcast.
-MAX_TERMS = 500_000
+#: Bytes of query terms (with repeats over queries) up to which they are broadcast.
+MAX_TERM_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,9 @@ def scores(index: Bm25Index, queries: DataFrame, text: str = "text", config: Eng
     """query_id, id, score for every pair with a positive score."""
     k1, b = config.bm25_k1, config.bm25_b
     wanted = query_terms(queries, text)
-    # the queries' terms are counted; if few, postings are cut to them where they lie and are not shuffled
-    few = (lambda df: F.broadcast(df)) if wanted.count() <= MAX_TERMS else (lambda df: df)
+    # the queries' terms are sized; if few, postings are cut to them where they lie and are not shuffled
+    size = wanted.agg(F.sum(F.length("term") * 4 + 48)).first()[0] or 0
+    few = (lambda df: F.broadcast(df)) if size <= MAX_TERM_BYTES else (lambda df: df)
     weighted = index.weights.join(few(wanted), "term").select("query_id", "term", "qtf", "idf")
     rows = index.postings.join(few(weighted), "term").crossJoin(F.broadcast(index.stats))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

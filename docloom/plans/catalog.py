@@ -68,12 +68,11 @@ def shared(spark: SparkSession, source: DataFrame, what: str, build: Callable[[]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where it has fewer files than there are cores: one small file would be one task's work.
-
-    Tables of many files stay as they are.
+    """df over all cores, where it would be read in fewer parts than there are cores: one small file would be one task's
+    work. Tables that are read in as many parts stay as they are.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
 
 
 # --- text -----------------------------------------------------------------------------------------------------------
