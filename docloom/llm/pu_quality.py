@@ -114,9 +114,11 @@ def best_bin(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1,
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among unlabelled rows; half of both fits the scores, the other half is counted."""
+    rng = np.random.default_rng(5)
+    mixed = [x[rng.permutation(len(x))] for x in (positive, unlabelled)]
     half = lambda x, k: x[k::2] if len(x) > 1 else x
-    w = told_apart(half(positive, 0), half(unlabelled, 0))
-    scores = [half(x, 1) @ w[:-1] for x in (positive, unlabelled)]
+    w = told_apart(*(half(x, 0) for x in mixed))
+    scores = [half(x, 1) @ w[:-1] for x in mixed]
     return best_bin(*scores)
 
 
