@@ -166,6 +166,14 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.preview("text").alias("preview"))
 
 
+_COMPATIBLE = f"concat('{chr(0xFB01)}{chr(0xFF21)}{chr(0x2460)}', text, '{chr(0xB2)}{chr(0xFF76)}{chr(0xFF9E)}')"
+
+
+@query(f"WITH m AS (SELECT doc_id, concat('fiA1', text, '2{chr(0x30AC)}') AS t FROM documents) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM m")
+def text_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(documents(spark, sf_dir, _COMPATIBLE), T.nfkc("text"))
+
+
 _TOKENS = r"regexp_extract_all(lower({t}), '[a-z0-9][a-z0-9\.\-/]*')"
 
 
@@ -1095,6 +1103,19 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_type", T.strip("text").alias("text"), (F.col("pages").isNull() & F.col("error").isNull()).alias("unpaged"))
 
 
+@query("SELECT 'notes.txt' AS doc_name, 'some text' AS text, NULL::VARCHAR AS error UNION ALL SELECT 'run.exe', NULL, 'unsupported file: run.exe'")
+def source_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document that is stored and read, and one that isn't allowed."""
+    folder, refused = _folder(spark), []
+    for name in ("notes.txt", "run.exe"):
+        try:
+            files.store(spark, folder, name, b"some text")
+        except ValueError as e:
+            refused.append((name, None, str(e)))
+    schema = "doc_name string, text string, error string"
+    return files.read_documents(spark, folder).select("doc_name", "text", "error").unionByName(spark.createDataFrame(refused, schema))
+
+
 @query("SELECT '.json' AS doc_type, count(*) AS n, 3 AS scan_order FROM nation UNION ALL SELECT '.txt', count(*), 2 FROM region")
 def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.scan(spark, _saved_documents(spark, sf_dir))
@@ -1125,6 +1146,30 @@ def history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.history(spark, path).select("question", "answer", "confidence")
 
 
+@query("SELECT 0 AS kept, count(*) AS after FROM region")
+def history_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's start empties the history; questions after it stand."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "region").select(F.col("r_name").alias("question"), F.lit("a").alias("answer"), F.col("r_regionkey").cast("string").alias("timestamp"), F.lit(0.5).alias("confidence"), F.lit(1).alias("num_sources"))
+    tables.append_history(rows, path)
+    tables.fresh_history(spark, path)
+    kept = tables.history(spark, path).agg(F.count("*").cast("int").alias("kept")).first().kept
+    tables.append_history(rows, path)
+    return tables.history(spark, path).agg(F.lit(kept).alias("kept"), F.count("*").alias("after"))
+
+
+@query(
+    "SELECT r_regionkey AS done, CASE WHEN r_regionkey = 0 THEN 'error' WHEN r_regionkey >= 3 THEN 'completed' ELSE 'processing' END AS status, CASE WHEN r_regionkey = 0 OR r_regionkey >= 3 THEN 'completed' ELSE 'parsing' END AS stage, "
+    "CASE WHEN r_regionkey = 0 THEN 100.0 ELSE (r_regionkey + 1) / 4.0 * 100 END::DOUBLE AS progress FROM region UNION ALL SELECT NULL, 'idle', 'idle', 0"
+)
+def ingestion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over four documents, one failed; one in which all failed; one without documents."""
+    done = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("done"))
+    failed = F.when(F.col("done") == 0, 4).otherwise(1)
+    runs = done.select("done", corpus.status(F.col("done"), F.lit(4), failed).alias("s")).unionByName(spark.range(1).select(F.lit(None).cast("int").alias("done"), corpus.status(F.lit(0), F.lit(0), F.lit(0)).alias("s")))
+    return runs.select("done", "s.status", F.col("s.current_stage").alias("stage"), "s.progress")
+
+
 @query(f"{_M}, g AS (SELECT doc_id FROM documents WHERE source = 'src1') SELECT 'chunks' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (FROM g) UNION ALL SELECT 'mentions', count(*) FROM m WHERE doc_id NOT IN (FROM g)")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's chunks go by its name, what hangs on them by their ids."""

@@ -28,6 +28,19 @@ def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES)
     return files.select("path", name.alias("doc_name"), suffix(name).alias("doc_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), order.alias("scan_order"), "content")
 
 
+def store(spark: SparkSession, folder: str, name: str, content: bytes) -> str:
+    """Write an uploaded document into the folder of documents; its path. Only the suffixes that are read are allowed."""
+    if not name.lower().endswith(SUFFIXES) or "/" in name or "\\" in name:
+        raise ValueError(f"unsupported file: {name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path.toString()
+
+
 def listing(files: DataFrame) -> DataFrame:
     """doc_name, doc_type, size_bytes, modified: the folder without its contents."""
     return files.select("doc_name", "doc_type", "size_bytes", "modified").orderBy("doc_name")

@@ -38,6 +38,12 @@ def append_history(df: DataFrame, path: str) -> None:
     df.select(*(f.split()[0] for f in HISTORY.split(", "))).write.mode("append").parquet(path)
 
 
+def fresh_history(spark: SparkSession, path: str) -> str:
+    """An empty history, for a session that starts without the questions of the last; its path."""
+    clear(spark, path, HISTORY)
+    return path
+
+
 def history(spark: SparkSession, path: str, n: int = DEFAULTS.history_limit) -> DataFrame:
     return latest(load(spark, path, HISTORY), n, "timestamp", "question")
 
