@@ -167,7 +167,7 @@ def _spread_plan(totals: DataFrame, own: DataFrame, share: float, most: int, flo
     # networks: components of sources that some pattern joins
     joined = totals.where(F.size("pattern") > 1).select("pattern", F.explode("pattern").alias("source"))
     ends = joined.join(aims, joined["source"].eqNullSafe(aims["source"])).groupBy("pattern").agg(F.min("i").alias("v"), F.collect_set("i").alias("all"))
-    net = stage(components(ends.select(F.explode("all").alias("u"), "v")), "nets")
+    net = components(ends.select(F.explode("all").alias("u"), "v"))
     placed = aims.join(net.withColumnRenamed("node", "i"), "i", "left").withColumn("goal", goal)
     members = totals.select("pattern", "words", F.explode("pattern").alias("source")).join(placed.select(F.col("source").alias("s"), "i", "goal", "component"), F.col("source").eqNullSafe(F.col("s")))
     members = members.select("pattern", "words", "source", "i", "goal", "component")

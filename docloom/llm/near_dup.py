@@ -134,18 +134,22 @@ def same_text(a: DataFrame, b: DataFrame):
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, text: str, k: int) -> DataFrame:
-    """id and shingles (the class's full set) for ids (id, distinct), from the texts."""
-    wanted = stage(ids.join(classes.select("id", "place.*"), "id"), "ids")
-    rows, wanted = located(docs, text), small(wanted, 48)
+    """id and shingles (the class's full set) for ids (id, distinct), from the texts: a written table, a row for each
+    place that holds the text, one but for rows that stand twice."""
+    found = stage(ids.join(classes.select("id", "place.*"), "id"), "ids")
+    rows, wanted = located(docs, text), small(found, 48)
     rows = rows.join(wanted, same_text(rows, wanted)).select("id", "text")
-    return stage(map_texts(rows, _sets(k), "shingles binary"), "sets").dropDuplicates(["id"])
+    sets = stage(map_texts(rows, _sets(k), "shingles binary"), "sets")
+    discard(found)
+    return sets
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """Those (u, v) of pairs whose full sets have 100 * intersection >= percent * union."""
+    """Those (u, v) of pairs whose full sets have 100 * intersection >= percent * union: a written table."""
     pairs = stage(pairs, "pairs")
     sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, classes, text, k)
-    u, v = sets.toDF("u", "su"), sets.toDF("v", "sv")
+    once = sets.dropDuplicates(["id"])
+    u, v = once.toDF("u", "su"), once.toDF("v", "sv")
     joined = join_hot(pairs, v, "v").join(u, "u").select("u", "v", "su", "sv")
 
     def check(batches):
@@ -157,11 +161,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str,
                 keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
             yield rows.loc[keep, ["u", "v"]]
 
-    return joined.mapInPandas(check, pairs.select("u", "v").schema)
+    out = stage(joined.mapInPandas(check, pairs.select("u", "v").schema), "confirmed")
+    discard(pairs)
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (u, v), by alternating large-star and small-star.
+    """node, component (its smallest node) for every node of edges (u, v), by alternating large-star and small-star: a
+    written table.
 
     Each round shortens every path to a component's smallest node, so the edges settle.
     """
@@ -182,7 +190,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = state
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stage(nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    discard(edges)
+    return out
 
 
 class _Block:
@@ -258,7 +268,7 @@ def _prefixes(dense: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     """
     ids = stage(dense.select("id", "n", "comp").distinct(), "dense")
     sets = shingle_sets(ids.select("id"), docs, classes, text, k)
-    listed = map_texts(sets.select("id", "shingles"), lambda many: [[np.frombuffer(b, np.int64) for b in many]], "xs array<long>")
+    listed = map_texts(sets.dropDuplicates(["id"]).select("id", "shingles"), lambda many: [[np.frombuffer(b, np.int64) for b in many]], "xs array<long>")
     rows = listed.select("id", F.explode("xs").alias("shingle"))
     counts = stage(rows.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1"), "shingles")
     shared = join_hot(rows, counts, "shingle", hot=counts).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("xs"))
@@ -266,12 +276,14 @@ def _prefixes(dense: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
     taken = shared.join(ids, "id").where(length > 0).select("id", "n", "comp", F.explode(F.slice("xs", F.lit(1), length.cast("int"))).alias("x")).select("x.shingle", "id", "n", "comp")
     taken = stage(taken.withColumnRenamed("shingle", "key"), "prefixes")
+    for done in (ids, sets, counts):
+        discard(done)
     met = taken.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     return taken.join(met.select("key", "members"), "key").select("key", "id", "n", "members", "comp")
 
 
 def _across(placed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k: int, banding: Banding) -> DataFrame:
-    """Links (u, v) between components within keys; placed: key, id, n, members, comp."""
+    """Links (u, v) between components within keys: a written table. placed: key, id, n, members, comp."""
     percent, minima = banding.percent, banding.minima
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("most")).where("lo <> hi")
     split = stage(split.select("key", "most"), "split")
@@ -298,9 +310,12 @@ def _across(placed: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k
     sparse = confirmed(found.select(F.explode("pairs").alias("p")).select("p.u", "p.v").distinct(), docs, classes, text, k, percent)
     dense = found.select(*at, F.explode("dense").alias("m"))
     sets = shingle_sets(dense.select("m.id").distinct(), docs, classes, text, k)
-    dense = dense.join(sets, F.col("m.id") == F.col("id")).select(*at, F.col("m").withField("shingles", F.col("shingles")).alias("m"))
+    dense = dense.join(sets.dropDuplicates(["id"]), F.col("m.id") == F.col("id")).select(*at, F.col("m").withField("shingles", F.col("shingles")).alias("m"))
     close = map_texts(gathered(dense), _linked(percent, minima), "links array<struct<u: long, v: long>>")
-    return sparse.unionByName(close.select(F.explode("links").alias("p")).select("p.u", "p.v"))
+    out = stage(sparse.unionByName(close.select(F.explode("links").alias("p")).select("p.u", "p.v")), "more")
+    for done in (split, found, sparse, sets):
+        discard(done)
+    return out
 
 
 def _classes(signed: DataFrame) -> DataFrame:
@@ -322,16 +337,20 @@ def _text_links(docs: DataFrame, classes: DataFrame, banding: Banding, text: str
     company = members.groupBy("id").agg(F.sum("members").alias("company"))
     ranked = members.join(company, "id").select("key", F.struct("company", (-F.col("id")).alias("id"), "n").alias("rank"))
     heads = ranked.groupBy("key").agg(F.max("rank").alias("rank")).select("key", (-F.col("rank.id")).alias("head"), F.col("rank.n").alias("hn"))
-    members = stage(join_hot(members, heads, "key", hot=counts.withColumnRenamed("members", "count")), "headed")
+    headed = stage(join_hot(members, heads, "key", hot=counts.withColumnRenamed("members", "count")), "headed")
+    discard(counts)
+    discard(members)
     fits = 100 * F.least("n", "hn") >= percent * F.greatest("n", "hn")
-    stars = members.where("id <> head").where(fits).select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    links = stage(confirmed(stars, docs, classes, text, k, percent), "links")
-    found = stage(components(links), "components")
+    stars = headed.where("id <> head").where(fits).select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
+    links = confirmed(stars, docs, classes, text, k, percent)
+    found = components(links)
 
     # keys whose members are not yet joined
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    placed = headed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     placed = stage(placed.select("key", "id", "n", "members", "comp"), "placed")
-    more = stage(_across(placed, classes, docs, text, k, banding), "more")
+    discard(headed)
+    more = _across(placed, classes, docs, text, k, banding)
+    discard(placed)
     return (links, found) if more.isEmpty() else (links.unionByName(more), None)
 
 
@@ -354,7 +373,7 @@ def _judged(docs: DataFrame, text: str, k: int, percent: int, by_id: bool) -> Da
     links, found = _text_links(docs, classes, banding, text, k)
     ids = _id_links(signed, classes) if by_id else None
     if found is None or ids is not None:
-        found = stage(components(links if ids is None else links.unionByName(ids)), "components")
+        found = components(links if ids is None else links.unionByName(ids))
     joined = stage(found.join(classes.select(F.col("id").alias("node"), "first"), "node"), "joined")
     least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     joined = join_hot(joined, least, "component").select(F.col("node").alias("id"), "component", "component_id")
