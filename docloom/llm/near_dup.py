@@ -150,18 +150,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str,
     sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, classes, text, k)
     once = sets.dropDuplicates(["id"])
     u, v = once.toDF("u", "su"), once.toDF("v", "sv")
-    joined = join_hot(pairs, v, "v").join(u, "u").select("u", "v", "su", "sv")
-
-    def check(batches):
-        for rows in batches:
-            keep = []
-            for a, b in zip(rows["su"], rows["sv"], strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = _both(a, b) if len(a) and len(b) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            yield rows.loc[keep, ["u", "v"]]
-
-    out = stage(joined.mapInPandas(check, pairs.select("u", "v").schema), "confirmed")
+    joined = join_hot(pairs, v, "v").join(u, "u").select("u", "v", F.struct("su", "sv").alias("sets"))
+
+    def check(rows: list) -> list:
+        linked = []
+        for r in rows:
+            a, b = np.frombuffer(r["su"], np.uint64), np.frombuffer(r["sv"], np.uint64)
+            both = _both(a, b) if len(a) and len(b) else 0
+            linked.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+        return [linked]
+
+    out = stage(map_texts(joined, check, "linked boolean").where("linked").select("u", "v"), "confirmed")
     discard(pairs)
     discard(sets)
     return out
