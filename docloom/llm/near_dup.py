@@ -150,7 +150,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str,
     sets = shingle_sets(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), docs, classes, text, k)
     once = sets.dropDuplicates(["id"])
     u, v = once.toDF("u", "su"), once.toDF("v", "sv")
-    joined = join_hot(pairs, v, "v").join(u, "u").select("u", "v", F.struct("su", "sv").alias("sets"))
+    # either end may stand in very many pairs
+    joined = join_hot(pairs, v, "v")
+    joined = join_hot(joined, u, "u", hot=pairs.groupBy("u").count()).select("u", "v", F.struct("su", "sv").alias("sets"))
 
     def check(rows: list) -> list:
         linked = []
