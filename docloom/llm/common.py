@@ -22,6 +22,19 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver (structs as dicts) as a DataFrame. createDataFrame() of a list passes them through Python
+    workers on the executors, which stay there beside those of the next steps; Arrow doesn't."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    fields = to_arrow_schema(kind)
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), kind)
+
+
 #: Rows of one key that a join leaves in one part.
 HOT_ROWS = 500
 

@@ -7,9 +7,10 @@ up to s shingles lies whole in one of them. With a containment of 0.8 or more th
 
 A band's key is the window's shingle of the least hash, so a window can agree with a template in a band only if it holds
 the shingle that is the template's own key there. Texts and windows that hold no such shingle are left out before
-anything is sketched: they cannot be retrieved. All shingles of the windows left are sketched, the sketches are joined
-with the templates' by band, and only what that retrieves is verified: the share of the template's shingles that the
-window holds.
+anything is sketched: they cannot be retrieved. Before that, texts that hold none of a few words of the templates are
+left out unsplit: each of them lacks more of every template than the containment allows. All shingles of the windows
+left are sketched, the sketches are joined with the templates' by band, and only what that retrieves is verified: the
+share of the template's shingles that the window holds.
 
 Texts are read in one pass without a shuffle; what follows works on the texts that hold a template's key.
 
@@ -21,13 +22,17 @@ an id or have none; an empty table gives no rows; other columns are ignored. Dat
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stage
+from docloom.llm.common import local_table, stage
 
 K, BANDS = 5, 64
+#: Words of at least so many letters are preferred as marks.
+MARK_CHARS = 7
 
 # The notices that are looked for (public license texts), by name.
 TEMPLATES: dict[str, str] = {
@@ -57,8 +62,41 @@ def template_shingles(templates: dict[str, str], k: int = K) -> list[tuple[str,
     return out
 
 
+def marks(shingles: list[tuple[str, str, int, int]], containment: float) -> list[str]:
+    """A few words, one of which a text holds (inside a word or as one) if it contains so much of some template.
+
+    Such a text lacks few of the template's shingles, so one of any larger number of them is there. Time after time the
+    word is taken that is in most of the shingles still wanted; longer words first, since short ones are everywhere.
+    """
+    left: dict[str, set[str]] = {}
+    for name, s, _, _ in shingles:
+        left.setdefault(name, set()).add(s)
+    need = {}
+    for name, own in left.items():
+        m = len(own)
+        need[name] = min(m, m - next((h for h in range(m) if h / m >= containment), m) + 1)
+    out = []
+    while left:
+        words = {w for own in left.values() for s in own for w in s.split(" ")}
+        count = {w: sum(min(need[name], sum(w in s for s in own)) for name, own in left.items()) for w in words}
+        mark = max(words, key=lambda w: (len(w) >= MARK_CHARS, count[w], w))
+        out.append(mark)
+        for name, own in list(left.items()):
+            left[name] = {s for s in own if mark not in s}
+            need[name] -= len(own) - len(left[name])
+            if need[name] <= 0:
+                del left[name]
+    return out
+
+
+def _marked(docs: DataFrame, words: list[str], text: str) -> DataFrame:
+    """Those of docs whose text, in lower case, holds one of the words."""
+    # an array of one, so that the text is lower-cased once
+    return docs.where(F.exists(F.array(F.lower(F.col(text))), lambda t: reduce(or_, (F.contains(t, F.lit(w)) for w in words), F.lit(False))))
+
+
 def _template_table(spark: SparkSession, templates: dict[str, str], k: int) -> DataFrame:
-    rows = spark.createDataFrame(template_shingles(templates, k), "license string, words string, m int, scale int")
+    rows = local_table(spark, template_shingles(templates, k), "license string, words string, m int, scale int")
     return rows.select("license", F.xxhash64("words").alias("shingle"), "m", "scale")
 
 
@@ -102,8 +140,10 @@ def windows(docs: DataFrame, known: DataFrame, text: str = "text", k: int = K) -
 
 def licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
     """doc_id, license, containment, at (the first matching word's number): a row for each license found in a row of docs."""
-    known = _template_table(docs.sparkSession, templates or TEMPLATES, K)
-    cut = stage(windows(docs, known, text), "windows")
+    templates = templates or TEMPLATES
+    known = _template_table(docs.sparkSession, templates, K)
+    some = _marked(docs, marks(template_shingles(templates, K), containment), text)
+    cut = stage(windows(some, known, text), "windows")
 
     own = sketched(cut.select("row", "scale", "window", F.explode("held").alias("shingle")), "row", "scale", "window")
     theirs = F.broadcast(sketched(known, "license", "scale"))  # BANDS rows a template

@@ -60,3 +60,28 @@ def test_bands_retrieve_few_of_the_windows(spark):
     assert 0 < cut.count() and retrieved <= cut.count()
     agreed = sketched.join(theirs, ["scale", "band", "minimum"]).count() / (cut.count() * license_scan.BANDS)
     assert agreed < 0.12
+
+
+def test_texts_without_a_templates_words_are_left_out_unsplit(spark, monkeypatch):
+    taken, shingled = [], license_scan.shingled
+    monkeypatch.setattr(license_scan, "shingled", lambda docs, *a: taken.append(docs.count()) or shingled(docs, *a))
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(60))) for i in range(40)] + [(40, license_scan.TEMPLATES["ISC"].upper()), (41, None), (42, "")]
+    got = license_scan.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license) for r in got] == [(40, "ISC")] and taken == [1]
+
+
+def test_what_contains_enough_of_a_template_holds_a_mark():
+    rng = random.Random(5)
+    for containment in (0.0, 0.3, 0.8, 1.0):
+        for own in ({"one": license_scan.TEMPLATES["MIT"]}, license_scan.TEMPLATES, {"a": "x y z x y z x y", "b": "too short", "c": "v 2 0 if a copy"}):
+            found = license_scan.template_shingles(own)
+            marks = license_scan.marks(found, containment)
+            by: dict = {}
+            for name, s, m, _ in found:
+                by.setdefault(name, (m, []))[1].append(s)
+            for m, shingles in by.values():
+                # the fewest that may be found, and those without a mark first: the worst choice
+                least = max(1, next(h for h in range(m + 1) if h / m >= containment))
+                rng.shuffle(shingles)
+                worst = sorted(shingles, key=lambda s: any(w in s for w in marks))[:least]
+                assert any(w in s for s in worst for w in marks)
