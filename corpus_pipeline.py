@@ -2,7 +2,7 @@
 
 quality rules drop documents, near-duplicates keep one of each group, found secrets are blanked out, sources are mixed
 (every document at least once, at most twice), and what is left is encoded. All stages but the last return the columns
-of documents.
+of documents. Before a stage the executors give back what the one before it has left in their heaps.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import mixing, near_dup, pieces, quality_rules, secret_scan
-from docloom.llm.common import documents, stage
+from docloom.llm.common import documents, release, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,18 +18,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return near_dup.deduplicated(docs, k=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return secret_scan.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return mixing.mixed_documents(docs, floor=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return pieces.encoded(docs)
 
 

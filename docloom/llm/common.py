@@ -35,6 +35,14 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), kind)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, a task for every core: heaps that earlier steps have grown shrink, and
+    the memory goes back to the system before the next step's Python workers need theirs."""
+    n = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")))
+    collected.toDF("done").write.format("noop").mode("overwrite").save()
+
+
 #: Rows of one key that a join leaves in one part.
 HOT_ROWS = 500
 

@@ -25,7 +25,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, join_hot, map_texts, small, stage
+from docloom.llm.common import WORD, join_hot, local_table, map_texts, small, stage
 from docloom.llm.near_dup import components
 
 
@@ -124,7 +124,7 @@ def _driver_plan(found: list, owned: list, share: float, most: int, floor: float
     goal = targets(sizes, cycle_weights(len(names), weights), share, most, floor)
     found.sort(key=lambda r: [(s is None, s or "") for s in r.pattern])
     sent = min_cost_flow([([number[s] for s in r.pattern], r.words) for r in found], [round(g) for g in goal], most)
-    flows = [(r.pattern, sum(f.values()), [(names[i], w) for i, w in sorted(f.items()) if w]) for r, f in zip(found, sent, strict=True)]
+    flows = [(r.pattern, sum(f.values()), [{"source": names[i], "words": w} for i, w in sorted(f.items()) if w]) for r, f in zip(found, sent, strict=True)]
     return flows, [(s, z, float(g)) for s, z, g in zip(names, sizes, goal, strict=True)]
 
 
@@ -205,8 +205,8 @@ def mix(sized: DataFrame, share: float = 1.5, most: int = 2, floor: float = 0.0,
     own = stage(own.select(F.col("own")[0].alias("source"), "words", "docs"), "own")
     if max(totals.count(), own.count()) <= max_patterns:
         flows, aims = _driver_plan(totals.collect(), own.collect(), share, most, floor, weights)
-        flows = spark.createDataFrame(flows, f"pattern array<string>, flow long, parts {_PARTS}")
-        aims = spark.createDataFrame(aims, "source string, source_size long, target double")
+        flows = local_table(spark, flows, f"pattern array<string>, flow long, parts {_PARTS}")
+        aims = local_table(spark, aims, "source string, source_size long, target double")
     else:
         flows, aims = _spread_plan(totals, own.select("source", "words"), share, most, floor, weights)
     flows = totals.select("pattern", "words", F.greatest(F.lit(1), F.ceil(F.col("docs") / bucket_docs)).cast("long").alias("buckets")).join(flows, "pattern")

@@ -25,7 +25,7 @@ import heapq
 import math
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -334,12 +334,20 @@ def _relaxed(runs: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     return found.astype(np.int32), np.bincount(owner, minlength=len(runs)), failed
 
 
+class _Numbers(dict):
+    """Runs and their numbers; a run that is asked for the first time gets the next one."""
+
+    def __missing__(self, run: str) -> int:
+        number = self[run] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts and keeps the runs it has met more than once, about KEPT_RUNS at most."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.ids, self.starts, self.met = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def runs(self, text: str | None) -> list[str]:
@@ -352,28 +360,29 @@ class Encoder:
         """Keep the runs that were met so often, the first `most` of them."""
         kept = np.flatnonzero(self.met >= often)[:most]
         names = list(self.index)
-        self.index = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.index = _Numbers((names[k], i) for i, k in enumerate(kept.tolist()))
         self.ids, upto = _gathered(self.ids, self.starts, kept)
         self.starts, self.met = upto, np.zeros(len(kept), np.int64)
 
     def learn(self, new: list[str]) -> None:
-        """Encode new runs, INDEX_CHARS at a time."""
+        """Encode the runs that got the latest numbers, INDEX_CHARS at a time."""
         for part in _chunks(new, INDEX_CHARS):
             ids, counts = encode_runs(part, self.vocab)
-            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
             self.ids = np.concatenate([self.ids, ids])
         self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets of the texts in them."""
-        split = [self.runs(t) for t in texts]
         if len(self.index) > KEPT_RUNS:
             self.forget()
-        if new := list(set().union(*split).difference(self.index)):
+        known = len(self.index)
+        # numbers take little memory; a text's runs as strings go with the text
+        each = [np.fromiter(map(self.index.__getitem__, runs), np.int32, len(runs)) for runs in map(self.runs, texts)]
+        if new := list(islice(self.index, known, None)):
             self.learn(new)
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        which = np.concatenate([np.empty(0, np.int32), *each])
         self.met += np.bincount(which, minlength=len(self.met))
         ids, upto = _gathered(self.ids, self.starts, which)
         return ids, upto[np.concatenate(([0], np.cumsum(n)))]

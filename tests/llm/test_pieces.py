@@ -52,3 +52,18 @@ def test_one_row_tables(spark, library):
     for text in ("g-ΩＡ,2", "", None, "q"):
         row = pieces.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
         assert list(row.ids) == library.encode(text or "") and row.round_trip
+
+
+def test_a_texts_runs_dont_stay_while_others_are_split():
+    import tracemalloc
+
+    own = pieces.Encoder(pieces.default_model())
+    texts = ["the cat and the dog in a house of wood " * 400 for _ in range(50)]
+    own.encode(texts)
+    tracemalloc.start()
+    ids, at = own.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == 51 and own.decode(ids[: at[1]].tolist()) == texts[0]
+    # bytes a run: numbers and offsets of all runs, not the runs themselves
+    assert peak / (50 * 10 * 400) < 100
